@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 import xxhash
 
 from tests.llm.helpers import empty, odd
@@ -45,8 +46,10 @@ def test_whole_table_against_brute_force(spark):
     assert got == want
 
 
-def test_links_keep_all_components_in_crowded_balls(spark):
+@pytest.mark.parametrize("dense", [8, 1024])
+def test_links_keep_all_components_in_crowded_balls(spark, monkeypatch, dense):
     """Near groups that are too large for pairs, chains, and fingerprints at exactly 3 and 4 bits."""
+    monkeypatch.setattr(N, "DENSE", dense)
     rng = random.Random(5)
     fps = {rng.getrandbits(64) for _ in range(40)}
     centre = rng.getrandbits(64)

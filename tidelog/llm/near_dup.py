@@ -5,8 +5,9 @@ taken up in one of two ways.
 
 1. All fingerprints: one third of the bits is erased (a third that holds a difference leaves at most two), and
    each emits the ball of radius 1 of the rest, about 132 variants in all. Fingerprints that share a variant
-   are candidates, and are verified.
-2. Members of variants that more than DENSE fingerprints share: balls over all 64 bits, radius 1 for each and,
+   are candidates, and are verified, a pair in one of its variants only.
+2. Members of variants that more than DENSE fingerprints share (up to there, comparing them costs less than the
+   variants below): balls over all 64 bits, radius 1 for each and,
    for fingerprints of odd parity, the flips of two bits in the same half. Of three differing bits two lie in the same
    half, and a distance of 3 means unlike parity, so the pair meets. Such a variant needs no verification: all
    its members are within 3 bits of any member of the radius-1 ball, so a star replaces all pairs, and
@@ -25,7 +26,7 @@ from xxhash import xxh64_intdigest
 
 from .common import by_batch, fresh, store
 
-RADIUS, SEED, DENSE = 3, 42, 16
+RADIUS, SEED, DENSE = 3, 42, 1024
 #: The thirds of a fingerprint, as masks.
 THIRDS = [(1 << 22) - 1, ((1 << 43) - 1) ^ ((1 << 22) - 1), ((1 << 64) - 1) ^ ((1 << 43) - 1)]
 #: Words hashed at a time.
@@ -84,7 +85,10 @@ def links(fps: DataFrame) -> DataFrame:
     per_key = Window.partitionBy("key")
     hits = store(erased_variants(fps).withColumn("n", F.count(F.lit(1)).over(per_key)).filter("n > 1"))
     few = hits.filter(F.col("n") <= DENSE)
-    pairs = few.select("key", F.col("fp").alias("a")).join(few.select("key", F.col("fp").alias("b")), "key").filter("a < b").filter(f"bit_count(a ^ b) <= {RADIUS}").select("a", "b").distinct()
+    x = "((a ^ b) & ~m)"
+    meet = f"transform(array({', '.join(f'{signed(m)}L' for m in THIRDS)}), m -> struct(bit_count{x} as far, CASE WHEN bit_count{x} = 2 THEN (a | m) ^ ({x} & -{x}) ELSE a | m END as key))"
+    first = f"element_at(filter({meet}, t -> t.far <= 2), 1).key"
+    pairs = few.select("key", F.col("fp").alias("a")).join(few.select("key", F.col("fp").alias("b")), "key").filter(f"a < b and bit_count(a ^ b) <= {RADIUS}").filter(f"key = {first}").select("a", "b").distinct()
     dense = hits.filter(F.col("n") > DENSE).select("fp").distinct()
     stars = ball_variants(dense).withColumn("a", F.min(F.when(F.col("near"), F.col("fp"))).over(per_key)).filter("a is not null and a <> fp").select(F.least("a", "fp").alias("a"), F.greatest("a", "fp").alias("b")).distinct()
     return pairs.unionByName(stars).distinct()
