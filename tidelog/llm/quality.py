@@ -80,13 +80,12 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, steps: int = 300, l2: float = 1e-4) -> Logistic:
     """Full-batch gradient descent with momentum, classes weighed alike."""
-    scale = np.maximum(np.abs(x).max(axis=0), 1e-6)
-    z = x / scale
+    scale = np.maximum(np.maximum(x.max(axis=0), -x.min(axis=0)), 1e-6)
     weight = np.where(y > 0.5, 0.5 / max(y.mean(), 1e-3), 0.5 / max(1 - y.mean(), 1e-3))
-    w, b, vw, vb = np.zeros(x.shape[1]), 0.0, 0.0, 0.0
-    for _ in range(steps):
-        g = weight * (sigmoid(z @ w + b) - y) / len(y)
-        vw, vb = 0.9 * vw - 0.5 * (z.T @ g + l2 * w), 0.9 * vb - 0.5 * g.sum()
+    w, b, vw, vb = np.zeros(x.shape[1], np.float32), 0.0, np.zeros(x.shape[1], np.float32), 0.0
+    for _ in range(steps):  # columns are scaled by way of the weights: the rows are never copied
+        g = (weight * (sigmoid(x @ (w / scale) + b) - y) / len(y)).astype(np.float32)
+        vw, vb = np.float32(0.9) * vw - np.float32(0.5) * ((x.T @ g) / scale + np.float32(l2) * w), 0.9 * vb - 0.5 * float(g.sum())
         w, b = w + vw, b + vb
     return Logistic(w / scale, float(b))
 
@@ -110,8 +109,8 @@ def co_train(labelled: dict[str, list], y: np.ndarray, pool: dict[str, list], ro
     """Views exchange confident pseudo-labels; the last fifth of the labelled rows is held back for calibration."""
     if len(y) < 10 or y.min() == y.max():
         return Model(None, None)
-    views = [np.asarray(text_view(labelled["text"]), np.float64), np.asarray(meta_view(labelled), np.float64)]
-    open_ = [np.asarray(text_view(pool["text"]), np.float64), np.asarray(meta_view(pool), np.float64)] if pool["text"] else [v[:0] for v in views]
+    views = [text_view(labelled["text"]), meta_view(labelled)]
+    open_ = [text_view(pool["text"]), meta_view(pool)] if pool["text"] else [v[:0] for v in views]
     held = np.arange(len(y)) % 5 == 4
     own = [(v[~held], y[~held]) for v in views]
     models = [fit_logistic(*o) for o in own]
@@ -141,8 +140,9 @@ def learn(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: in
     if len(sizes) < 2:
         return Model(None, None)
     share = F.create_map(*[F.lit(x) for r in sizes for x in (r["quality"], min(1.0, labelled / 2 / r["count"]))])
-    drawn = marks.filter(rank < F.element_at(share, F.col("quality")))
-    got = d.join(drawn, "doc_id").collect()
+    drawn = marks.filter(rank < F.element_at(share, F.col("quality"))).collect()[: 2 * labelled]
+    known = d.sparkSession.createDataFrame([(r["doc_id"], r["quality"]) for r in drawn], "doc_id long, quality int")
+    got = d.join(F.broadcast(known), "doc_id").collect()  # 2 x labelled short rows at most: no text is shuffled
     got = sorted(got, key=lambda r: (r["doc_id"] * 2654435761 % (1 << 32), r["doc_id"]))[: 2 * labelled]
     total = d.count()
     free = d.filter(rank < min(1.0, 1.2 * pool / max(total, 1))).join(marks, "doc_id", "left_anti").collect()[: 2 * pool]
