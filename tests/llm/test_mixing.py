@@ -48,3 +48,11 @@ def test_odd_rows_and_real_copies(spark):
     assert M.plan(empty(spark)).count() == 0 and M.mix(empty(spark)).count() == 0
     taken = M.plan(docs(spark, [(i, "w " * (i % 7 + 1), "en", f"s{i % 2}") for i in range(4000)])).groupBy("target").sum("taken").collect()
     assert all(abs(r[1] / r[0] - 1) < 0.05 for r in taken)
+
+
+def test_many_sources_are_salted(spark, monkeypatch):
+    df = docs(spark, [(i, "w " * (i % 7 + 1), "en", f"s{i % 5}" if i % 3 else None) for i in range(600)])
+    few = sorted(map(tuple, M.mix(df).collect()), key=repr)
+    monkeypatch.setattr(M, "FEW_SOURCES", 0)
+    assert few == sorted(map(tuple, M.mix(df).collect()), key=repr)
+    assert M.mix(odd(spark)).count() == M.plan(odd(spark)).toPandas().copies.sum() and M.mix(empty(spark)).count() == 0

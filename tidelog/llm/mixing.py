@@ -10,10 +10,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh
+from .common import fresh, store
 
 #: Weights of the sources in the order of their names, repeating; share of all sizes; most repetitions.
 WEIGHTS, SHARE, CAP, SEED = (5.0, 2.0, 1.0), 1.5, 2.0, "mix-1:"
+#: The table of rates is broadcast up to so many sources and characters in their names; beyond, sources are salted.
+FEW_SOURCES, FEW_CHARS, SALTS = 10_000, 1 << 20, 64
 
 
 def word_count(text: Column) -> Column:
@@ -60,11 +62,24 @@ def plan(docs: DataFrame) -> DataFrame:
     return joined.select(F.col("doc_id").cast("long").alias("doc_id"), "size", "source_size", "target", copies(F.col("rate"), F.col("doc_id")).alias("copies")).withColumn("taken", F.col("size") * F.col("copies")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def with_rates(docs: DataFrame, goal: DataFrame, name: str) -> DataFrame:
+    """docs with the columns of goal, whose column name matches source. No text is shuffled if goal is small, which is counted;
+    else each source is spread over SALTS parts, by a row's place in its input."""
+    n, chars = goal.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length(name)), F.lit(0))).first()
+    same = docs["source"].eqNullSafe(goal[name])
+    if n <= FEW_SOURCES and chars <= FEW_CHARS:
+        return docs.join(F.broadcast(goal), same)
+    salt, own = fresh(docs, "mix_salt"), fresh(docs, "mix_part")
+    parts = goal.withColumn(own, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = docs.withColumn(salt, (F.monotonically_increasing_id() % SALTS).cast("int"))
+    return rows.join(parts.hint("shuffle_merge"), rows["source"].eqNullSafe(parts[name]) & (rows[salt] == parts[own]))
+
+
 def mix(docs: DataFrame) -> DataFrame:
     """The mixed documents: every row of docs as often as it is taken, with the columns of docs."""
     name, rate, copy = (fresh(docs, x) for x in ("mix_name", "mix_rate", "mix_copy"))
     sizes = docs.groupBy("source").agg(F.sum(word_count(F.col("text"))).alias("source_size"))
-    goal = targets(sizes.select("source", "source_size")).select(F.col("source").alias(name), F.col("rate").alias(rate))
-    kept = docs.join(goal, docs["source"].eqNullSafe(goal[name])).withColumn(copy, copies(F.col(rate), docs["doc_id"]))
+    goal = store(targets(sizes.select("source", "source_size")).select(F.col("source").alias(name), F.col("rate").alias(rate)))
+    kept = with_rates(docs, goal, name).withColumn(copy, copies(F.col(rate), F.col("doc_id")))
     kept = kept.filter(F.col(copy) > 0).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copy))))
     return kept.select(*docs.columns)
