@@ -78,3 +78,11 @@ def test_round_trip(spark):
     assert [zlib.crc32(ids[s : s + n].tobytes()) for s, n in zip(long.start, long.length)] == long.ids_crc32.tolist()
     assert got[got.doc_id == 1].length.tolist() == [1] and len(got[got.doc_id == 3]) == 2
     assert P.pack(empty(spark)).count() == 0
+
+
+def test_shards_of_one_size(spark):
+    """A size ranked in many shards fills the same sequences, each place once."""
+    items = spark.range(700).selectExpr("id AS doc_id", "0 AS piece", "0L AS start", "CASE WHEN id % 3 = 0 THEN 500L WHEN id % 3 = 1 THEN 1024L ELSE 24L END AS length", "id AS ids_crc32")  # 117 shards a size at 2 each, 64 at 1000
+    places = lambda n: sorted(P.place(items, per_shard=n).select("length", "sequence_id", "offset").collect())
+    many = places(2)
+    assert len(many) == 700 and len({r[1:] for r in many}) == 700 and many == places(1000)

@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from .common import by_batch, store, tokenizer_path
 
 CAPACITY, END_ID = 1024, 2
-#: Shards in which the pieces of one size are ranked, so that a hot size is no single task.
-SHARDS = 64
+#: Shards in which the pieces of one size are ranked, so that a hot size is no single task: so many at least, and as many as keep a shard at PER_SHARD pieces.
+SHARDS, PER_SHARD = 64, 500_000
 #: Words of which a worker keeps the ids.
 CACHE = 300_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -216,27 +216,33 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID) -> D
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(by_batch(run, schema), PIECES)
 
 
-def place(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+def place(items: DataFrame, capacity: int = CAPACITY, per_shard: int = PER_SHARD) -> DataFrame:
     """items (doc_id, piece, start, length, ids_crc32) with sequence_id and offset."""
-    items = items.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SHARDS)).cast("int"))
-    # at most capacity x SHARDS counts reach the driver, whatever the number of pieces
-    counted = items.groupBy("length", "shard").agg(F.count(F.lit(1)).alias("n")).collect()
-    n = np.zeros((capacity + 1, SHARDS), np.int64)
-    for r in counted:
-        n[r["length"], r["shard"]] = r["n"]
-    before = np.cumsum(n, axis=1) - n
-    table = runs(pack_histogram({s: int(c) for s, c in enumerate(n.sum(axis=1)) if c}, capacity))
+    # the driver gets a count for each size, and one for each shard: capacity x SHARDS + pieces / per_shard rows at most
+    n = np.zeros(capacity + 1, np.int64)
+    for r in items.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect():
+        n[r["length"]] = r["n"]
+    shards = np.maximum(SHARDS, -(-n // per_shard))
+    start = np.cumsum(shards) - shards
+    of_size = F.element_at(F.array(*[F.lit(int(x)) for x in shards[1:]]), F.col("length").cast("int"))
+    items = items.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece"), of_size).cast("int"))
+    counted = np.zeros(shards.sum(), np.int64)
+    for r in items.groupBy("length", "shard").agg(F.count(F.lit(1)).alias("n")).collect():
+        counted[start[r["length"]] + r["shard"]] = r["n"]
+    before = np.cumsum(counted) - counted
+    before -= np.repeat(before[start], shards)
+    table = runs(pack_histogram({s: int(c) for s, c in enumerate(n) if c}, capacity))
     span = np.int64(1 << 48)
     keys = table[:, 0] * span + table[:, 1]
     w = Window.partitionBy("length", "shard").orderBy("doc_id", "piece", "ids_crc32")
     ranked = items.withColumn("rank", F.row_number().over(w))
-    shared = items.sparkSession.sparkContext.broadcast((before, table, keys))
+    shared = items.sparkSession.sparkContext.broadcast((start, before, table, keys))
 
     def run(batches):
-        before, table, keys = shared.value
+        start, before, table, keys = shared.value
         for b in batches:
             size, shard, rank = (b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("length", "shard", "rank"))
-            rank = before[size, shard] + rank - 1
+            rank = before[start[size] + shard] + rank - 1
             row = table[np.searchsorted(keys, size * span + rank, side="right") - 1] if b.num_rows else table[:0]
             along = rank - row[:, 1]
             yield pa.RecordBatch.from_arrays(
