@@ -42,8 +42,10 @@ def split_rows(items: DataFrame, limit: int, row_size: int) -> DataFrame:
 
     deep = F.ceil(F.log2(F.greatest(F.col("n_rows") / most, F.lit(1.0)))).cast("int") + 1
     parts = F.aggregate(F.sequence(F.lit(1), deep), start, lambda acc, _: halve(acc))
-    out = items.select("trans_seq_no", F.posexplode(parts).alias("seq_no", "p"), F.size(parts).alias("n"))
-    flag = F.when(F.col("n") == 1, 0).when(F.col("seq_no") == F.col("n") - 1, 2).otherwise(1)
+    # the last part is the one that reaches n_rows: asking for the size of parts would build them anew for every row
+    out = items.select("trans_seq_no", F.col("n_rows").cast("long").alias("n"), F.posexplode(parts).alias("seq_no", "p"))
+    last = F.col("p.hi") == F.col("n")
+    flag = F.when(last & (F.col("seq_no") == 0), 0).when(last, 2).otherwise(1)
     return out.select("trans_seq_no", F.col("seq_no").cast("long").alias("seq_no"), "p.lo", "p.hi", flag.cast("long").alias("split_flag"))
 
 
