@@ -36,3 +36,17 @@ def test_odd_rows(spark):
     assert [g[:2] for g in got] == [(1, 1), (2, 2), (3, 2), (4, 9)] and got[0][2] == 0.0 and got[3][2] == 5.0
     assert ann.search(df.limit(0), F.col("vec_id") == 0).count() == 0
     assert ann.search(df.filter("vec_id = 4"), F.col("vec_id") == 4).count() == 0
+
+
+def test_no_neighbour_is_lost_on_many_scattered_rows(spark):
+    """Far more rows than the sample of the books tells apart: the neighbours are those of brute force, copies and ties included."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(20_000, 32))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    x[100:400] = x[0]
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    got = ann.search(df, F.col("vec_id") % 1000 == 0, sample=500).toPandas()
+    for q in range(0, 20_000, 1000):
+        d = np.sqrt(((x - x[q]) ** 2).sum(1))
+        order = [i for i in np.lexsort((np.arange(len(x)), d)) if i != q][:10]
+        assert got[got.query_id == q].sort_values("rank").vec_id.tolist() == order

@@ -1,9 +1,10 @@
 """Approximate nearest neighbours by additive quantisation.
 
 A vector is the sum of one word from each of M full-dimensional codebooks. Codebooks are fitted to residuals on a
-bounded sample; codes are chosen by beam search. The index holds a row's codes and the squared norm of its
-reconstruction. A query scores a row from M table lookups and that norm; the best rows by that score are ranked
-again by their exact distance, on the original vectors.
+bounded sample; codes are chosen by beam search. The index holds a row's codes, the squared norm of its
+reconstruction and its distance from it, the error. A query scores a row from M table lookups and that norm: its true distance is
+the score give or take the error. Every row that may be among the k nearest by these bounds is ranked by its exact distance, on
+the original vectors, so none of the k is lost; good books only make the rows to rank fewer.
 """
 
 from __future__ import annotations
@@ -20,8 +21,8 @@ from .common import store
 BOOKS, WORDS, BEAM, ROUNDS = 8, 256, 8, 10
 #: Vectors that the codebooks are fitted on, at most.
 SAMPLE = 8192
-#: Rows of a block of codes, queries of a block, and rows ranked exactly for each query.
-ROW_BLOCK, QUERY_BLOCK, SHORTLIST = 16_384, 256, 200
+#: Rows of a block of the index and bytes of its vectors, at most; queries of a block.
+ROW_BLOCK, BLOCK_BYTES, QUERY_BLOCK = 16_384, 16 << 20, 256
 
 
 @dataclass
@@ -67,13 +68,30 @@ def fit(sample: np.ndarray, books: int = BOOKS, words: int = WORDS, rounds: int
     return Codebooks(np.stack(out))
 
 
+def nearest(x: np.ndarray, own: int, k: int, books: np.ndarray, ids: np.ndarray, vectors: np.ndarray, codes: np.ndarray, norm: np.ndarray, error: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places and exact distances of the k nearest rows of a block sorted by id, without rows of the id own; ties go to the smaller id."""
+    tables, xx = books @ x, x @ x
+    square = norm - 2 * sum(tables[m][codes[:, m]] for m in range(len(books))) + xx
+    # what rounding can do to the square, by the largest numbers that take part
+    slack = 1e-10 * (np.sqrt((books**2).sum(-1)).max(1).sum() ** 2 + xx)
+    high = np.sqrt(np.maximum(square, 0) + slack) + error
+    low = np.sqrt(np.maximum(square - slack, 0)) - error
+    other = ids != own
+    high[~other] = np.inf
+    take = min(k, len(ids))
+    maybe = np.flatnonzero(~(low > np.partition(high, take - 1)[take - 1]) & other)
+    exact = np.sqrt(((vectors[maybe] - x) ** 2).sum(1))
+    best = np.argsort(exact, kind="stable")[:k]
+    return maybe[best], exact[best]
+
+
 def usable(v: Column) -> Column:
     """Not null, no null or non-finite component, not zero."""
     number = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
     return F.coalesce((F.size(v) > 0) & F.forall(v, number) & F.exists(v, lambda x: x != 0.0), F.lit(False))
 
 
-def search(vectors: DataFrame, queries: Column, k: int = 10, sample: int = SAMPLE, shortlist: int = SHORTLIST) -> DataFrame:
+def search(vectors: DataFrame, queries: Column, k: int = 10, sample: int = SAMPLE) -> DataFrame:
     """query_id, rank, vec_id, score (Euclidean distance in double precision) of the k nearest rows of each query row.
 
     vectors: vec_id, embedding. queries: which rows are queries. Rows whose vector is null, empty, zero, not finite or
@@ -89,48 +107,38 @@ def search(vectors: DataFrame, queries: Column, k: int = 10, sample: int = SAMPL
     v = v.filter(F.size("embedding") == d)
     drawn = v.withColumn("r", F.xxhash64("vec_id", F.lit(3)).bitwiseAND(F.lit((1 << 52) - 1)) / float(1 << 52)).filter(F.col("r") < min(1.0, 1.2 * sample / n)).select("embedding", "r").orderBy("r").limit(sample).collect()
     books = spark.sparkContext.broadcast(fit(np.array([r["embedding"] for r in drawn]) if drawn else np.zeros((1, d))))
-    groups = max(1, -(-n // ROW_BLOCK))
+    per_block = max(1, min(ROW_BLOCK, BLOCK_BYTES // (8 * d)))
+    groups = max(1, -(-n // per_block))
 
-    # the index: a row of codes and norm for each vector, packed into blocks of about ROW_BLOCK
+    # the index: a row of codes, norm, error and vector for each vector, packed into blocks of about per_block
     def encode(frames):
         for f in frames:
             for at in range(0, len(f), 1024):
                 part = f.iloc[at : at + 1024]
-                codes, norm = books.value.encode(np.stack(part["embedding"].to_numpy()))
-                yield pd.DataFrame({"vec_id": part["vec_id"].to_numpy(), "codes": [c.tobytes() for c in codes], "norm": norm})
-
-    index = store(v.mapInPandas(encode, "vec_id long, codes binary, norm double").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(groups)).cast("int")))
-    blocks = index.groupBy("block").agg(F.collect_list(F.struct("vec_id", "codes", "norm")).alias("rows"))
-    asked = v.filter(queries).withColumn("part", F.pmod(F.xxhash64("vec_id", F.lit(5)), F.lit(max(1, groups * ROW_BLOCK // (QUERY_BLOCK * 100)))).cast("int"))
+                x = np.stack(part["embedding"].to_numpy()).astype(np.float64)
+                codes, norm = books.value.encode(x)
+                error = np.sqrt(((x - books.value.decode(codes)) ** 2).sum(1)) * (1 + 1e-9)
+                yield pd.DataFrame({"vec_id": part["vec_id"].to_numpy(), "codes": [c.tobytes() for c in codes], "norm": norm, "error": error, "vector": [r.tobytes() for r in x]})
+
+    index = store(v.mapInPandas(encode, "vec_id long, codes binary, norm double, error double, vector binary").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(groups)).cast("int")))
+    blocks = index.groupBy("block").agg(F.collect_list(F.struct("vec_id", "codes", "norm", "error", "vector")).alias("rows"))
+    asked = v.filter(queries).groupBy("vec_id").agg(F.min("embedding").alias("embedding")).withColumn("part", F.pmod(F.xxhash64("vec_id", F.lit(5)), F.lit(max(1, n // (QUERY_BLOCK * 100)))).cast("int"))
     packed = asked.groupBy("part").agg(F.collect_list(F.struct("vec_id", "embedding")).alias("asked"))
     tasks = packed.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).join(blocks, "block").select("asked", "rows")
 
     def score(frames):
         for f in frames:
             for asked, rows in zip(f["asked"], f["rows"], strict=True):
-                c = books.value.words
                 ids = np.array([r["vec_id"] for r in rows], np.int64)
                 order = np.argsort(ids, kind="stable")
                 ids = ids[order]
                 codes = np.frombuffer(b"".join(bytes(r["codes"]) for r in rows), np.uint8).reshape(len(rows), -1)[order]
-                norm = np.array([r["norm"] for r in rows])[order]
+                held = np.frombuffer(b"".join(bytes(r["vector"]) for r in rows), np.float64).reshape(len(rows), -1)[order]
+                norm, error = np.array([r["norm"] for r in rows])[order], np.array([r["error"] for r in rows])[order]
                 for q in asked:
-                    x = np.asarray(q["embedding"], np.float64)
-                    tables = c @ x
-                    near = norm - 2 * sum(tables[m][codes[:, m]] for m in range(len(c)))
-                    near[ids == q["vec_id"]] = np.inf
-                    take = min(shortlist, len(near))
-                    cut = np.partition(near, take - 1)[take - 1]
-                    best = np.concatenate([np.flatnonzero(near < cut), np.flatnonzero(near == cut)])[:take]
-                    best = best[np.isfinite(near[best])]
-                    yield pd.DataFrame({"query_id": q["vec_id"], "vec_id": ids[best], "near": near[best] + x @ x})
-
-    scored = tasks.mapInPandas(score, "query_id long, vec_id long, near double")
-    w = Window.partitionBy("query_id").orderBy("near", "vec_id")
-    keep = scored.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= shortlist).select("query_id", "vec_id").distinct()
-    # exact distances of the shortlist, on the original vectors
-    found = keep.join(v, "vec_id").select("query_id", "vec_id", F.col("embedding").alias("e"))
-    query = v.filter(queries).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")).dropDuplicates(["query_id"])
-    exact = found.join(query, "query_id").withColumn("score", F.sqrt(F.aggregate(F.zip_with("q", "e", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)))
+                    best, exact = nearest(np.asarray(q["embedding"], np.float64), q["vec_id"], k, books.value.words, ids, held, codes, norm, error)
+                    yield pd.DataFrame({"query_id": np.full(len(best), q["vec_id"]), "vec_id": ids[best], "score": exact})
+
+    scored = tasks.mapInPandas(score, "query_id long, vec_id long, score double")
     w = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return exact.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
