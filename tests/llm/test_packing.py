@@ -5,7 +5,7 @@ from collections import Counter
 import numpy as np
 from tokenizers import Tokenizer
 
-from tests.llm.helpers import LONG, ODD, empty, odd
+from tests.llm.helpers import LONG, ODD, docs, empty, odd
 from tidelog.llm import packing as P
 from tidelog.llm.common import tokenizer_path
 
@@ -86,3 +86,13 @@ def test_shards_of_one_size(spark):
     places = lambda n: sorted(P.place(items, per_shard=n).select("length", "sequence_id", "offset").collect())
     many = places(2)
     assert len(many) == 700 and len({r[1:] for r in many}) == 700 and many == places(1000)
+
+
+def test_added_tokens_are_their_own_ids(spark):
+    t = Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json"))
+    end = "<|endoftext|>"
+    texts = [f"ab {end} cd", end, f"{end}{end}", f" {end} b", f"a  {end}\n b", f"<|endoftext{end}|>", f"don't {end}'s", f"\u00e9t\u00e9{end}12 345 ", "<|ENDOFTEXT|>", *[t for _, t, *_ in ODD if t]]
+    got = {r.doc_id: (r.length, r.ids_crc32) for r in P.pieces(docs(spark, [(i, x, None, None) for i, x in enumerate(texts)]), capacity=1 << 30).collect()}
+    for i, x in enumerate(texts):
+        ids = np.array([*t.encode(x, add_special_tokens=False).ids, 2], "<u4")
+        assert got[i] == (len(ids), zlib.crc32(ids.tobytes())), x[:40]

@@ -9,6 +9,8 @@ executors rank the pieces of each size and look their places up.
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from collections import defaultdict
 from dataclasses import dataclass, field
@@ -185,7 +187,29 @@ class Tokenizer:
             return np.array(self.encoding.encode_ordinary(text), "<u4").tobytes()
 
 
+class Added:
+    """Ids of texts that may hold added tokens of the JSON file, such as <|endoftext|>: each is its own id wherever it stands, and the
+    parts between are encoded each for itself."""
+
+    def __init__(self, encode: Tokenizer, name: str = "byte_bpe_50k.json") -> None:
+        with open(tokenizer_path(name), encoding="utf-8") as file:
+            added = json.load(file)["added_tokens"]
+        odd = [t["content"] for t in added if t["single_word"] or t["lstrip"] or t["rstrip"]]
+        if odd:
+            raise ValueError(f"added tokens that take in or look at their neighbours: {odd}")
+        self.encode = encode
+        self.ids = {t["content"]: np.array([t["id"]], "<u4").tobytes() for t in added}
+        self.split = re.compile("(" + "|".join(map(re.escape, sorted(self.ids, key=len, reverse=True))) + ")").split if added else None
+
+    def __call__(self, text: str) -> bytes:
+        if not any(t in text for t in self.ids):
+            return self.encode(text)
+        parts = self.split(text)  # every other one is an added token
+        return b"".join(self.ids[p] if i % 2 else self.encode(p) for i, p in enumerate(parts))
+
+
 _tokenizer: dict[str, Tokenizer] = {}
+_added: dict[str, Added] = {}
 
 
 def tokenizer(name: str = "byte_bpe_50k.tiktoken") -> Tokenizer:
@@ -194,6 +218,12 @@ def tokenizer(name: str = "byte_bpe_50k.tiktoken") -> Tokenizer:
     return _tokenizer[name]
 
 
+def with_added(name: str = "byte_bpe_50k") -> Added:
+    if name not in _added:
+        _added[name] = Added(tokenizer(f"{name}.tiktoken"), f"{name}.json")
+    return _added[name]
+
+
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
     """(start, length) of the pieces of n ids: only the first may be shorter than the capacity."""
     first = n % capacity or capacity
@@ -206,7 +236,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID) -> D
     end = np.array([end_id], "<u4").tobytes()
 
     def run(x: dict[str, list]) -> dict[str, list]:
-        encode = tokenizer()
+        encode = with_added()
         rows = []
         for doc_id, text in zip(x["doc_id"], x["text"], strict=True):
             ids = encode(text or "") + end
