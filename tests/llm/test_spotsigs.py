@@ -42,3 +42,14 @@ def test_pruned_pairs_are_all_pairs(spark):
     want = {tuple(sorted((a, b))) for a, b in combinations(sets, 2) if S.jaccard(S.read(a), S.read(b)) >= 0.8}
     got = [tuple(sorted((r.a, r.b))) for r in S.similar(docs(spark, [(i, t, None, None) for i, t in enumerate(texts)])).collect()]
     assert len(want) >= 3 and sorted(got) == sorted(want)
+
+
+def test_likeness_does_not_jump_with_the_number_of_anchors():
+    """A text whose last quarter, with most of its anchors, is replaced stays alike, whichever side has few anchors."""
+    body = " ".join(f"w{i}" for i in range(120))
+    for n in range(8):
+        tail = " ".join(f"the v{i} x{i} y{i} z{i}" for i in range(n))
+        whole, edited = S.signatures(f"{body} {tail}"), S.signatures(f"{body} " + " ".join(f"u{i}" for i in range(5 * n)))
+        assert S.jaccard(whole, edited) > 0.3, n
+    few, more = "the a1 b1 c1 is d1 e1 f1 le g1 h1 i1", "the a1 b1 c1 is d1 e1 f1 le g1 h1 i1 la j1 k1 l1"
+    assert S.jaccard(S.signatures(few), S.signatures(more)) > 0.3

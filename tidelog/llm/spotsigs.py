@@ -1,7 +1,8 @@
 """Document fingerprints by SpotSigs.
 
-A signature is a common word (an anchor) and the chain of the next content words; a fingerprint is the set of a
-text's signatures. Sets are compared by Jaccard similarity, and only sets of lengths that can reach the
+A signature is a common word (an anchor) and the chain of the next content words. Every text also has the SHINGLES
+lowest hashes of its runs of four words, so that a text with few anchors, or none, is no special case. A fingerprint is the set of
+both. Sets are compared by Jaccard similarity, and only sets of lengths that can reach the
 threshold are compared at all: sets are partitioned by length, so that each is matched within its own partition and the next.
 """
 
@@ -22,14 +23,43 @@ from .common import by_batch, partitions
 #: Words that start a chain, the commonest of each language; and words that are no content.
 ANCHORS = frozenset("the is to der die ist le la est el los es".split())
 STOP = ANCHORS | frozenset("a an and are as at be by for from had has have he in it of on or she that this was were with und den das ein eine dem zu mit von im auf nicht sich auch les des un une et en du au que qui dans par pour sur ne pas de y las del se una con no su al lo como para".split())
-#: Content words of a chain. A text with fewer signatures than LEAST takes every word for an anchor.
-CHAIN, LEAST = 3, 4
+#: Content words of a chain; runs of words that each text gives besides its chains, at most.
+CHAIN, SHINGLES = 3, 64
+#: Words of which a worker keeps the hashes.
+CACHE = 300_000
 WORD = re.compile(r"\w+")
 RESULT = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64()), ("n_signatures", pa.int64())])
 
 
-def signatures(text: str, chain: int = CHAIN, least: int = LEAST) -> np.ndarray:
-    """The sorted distinct 32-bit hashes of a text's signatures."""
+class Hashes(dict):
+    """32-bit hashes of words."""
+
+    def __missing__(self, word: str) -> int:
+        h = xxh32_intdigest(word.encode("utf-8", "surrogatepass"))
+        if len(self) < CACHE and len(word) < 64:
+            self[word] = h
+        return h
+
+
+hashes = Hashes()
+
+
+def shingles(words: list[str], width: int, most: int) -> np.ndarray:
+    """The lowest distinct 32-bit hashes of the runs of so many words; a shorter text is one run."""
+    if not words:
+        return np.zeros(0, np.uint32)
+    each = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words)) + np.uint64(1)
+    width = min(width, len(words))
+    n = len(words) - width + 1
+    h = np.zeros(n, np.uint64)
+    for i in range(width):
+        h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + each[i : i + n]
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return np.unique((h >> np.uint64(32)).astype(np.uint32))[:most]
+
+
+def signatures(text: str, chain: int = CHAIN, most: int = SHINGLES) -> np.ndarray:
+    """The sorted distinct 32-bit hashes of a text's signatures: its anchors' chains and its lowest runs of words."""
     words = WORD.findall(text.lower())
     found: set[str] = set()
     content = [w for w in words if w not in STOP]
@@ -40,9 +70,8 @@ def signatures(text: str, chain: int = CHAIN, least: int = LEAST) -> np.ndarray:
                 at += 1
             elif w in ANCHORS and at + chain <= n:
                 found.add(" ".join((w, *content[at : at + chain])))
-    if len(found) < least:
-        found = {" ".join(words[i : i + chain + 1]) for i in range(max(1, len(words) - chain))} if words else set()
-    return np.unique(np.fromiter((xxh32_intdigest(s.encode("utf-8", "surrogatepass")) for s in found), np.uint32, len(found)))
+    chains = np.fromiter((xxh32_intdigest(s.encode("utf-8", "surrogatepass")) for s in found), np.uint32, len(found))
+    return np.union1d(chains, shingles(words, chain + 1, most))
 
 
 def written(sig: np.ndarray) -> str:
