@@ -42,3 +42,23 @@ def test_redaction_keeps_rows_and_clean_texts(spark):
     got = {r.doc_id: (r.text, r.n_chars) for r in S.redact(df).collect()}
     assert got == {1: ('a token = "[secret]" b', 22), 2: ("clean text", 10), 3: (None, None)}
     assert S.redact(odd(spark)).columns == odd(spark).columns and S.redact(odd(spark)).count() == 11
+
+
+def test_long_escaped_and_tabbed_literals_are_whole():
+    value = "".join(hashlib.sha256(bytes([i])).hexdigest().upper()[:50] + "xyz/" for i in range(120))
+    assert len(value) > 6000
+    for text in (f"private_key: {value}", f'private_key = "{value}"', f"<private_key>{value}</private_key>"):
+        assert found(text) == {value}
+        assert value[-50:] not in S.redacted(text, "[secret]")
+    assert found('db_credentials\t=\t"zQ8v1mKp0r"') == {"zQ8v1mKp0r"}
+    assert found(r'password = "ab\"cD9\\x7Q"; color = "red"') == {r'ab\"cD9\\x7Q'}
+    assert found("a" * 50_000 + " " + "x" * 100 + '_password = "zQ8v1mKp0r"') == {"zQ8v1mKp0r"}
+
+
+def test_each_name_and_class_can_reach_the_threshold():
+    strong = "q8ZvK1mXp0RtW4yLb7NcJ2sHd9Gf5TaE3u"
+    for name in S.SENSITIVE:
+        assert found(f'{name} = "{strong}"') == {strong}, name
+    for name in ("password", "token", "pwd", "credentials"):
+        assert found(f'{name} = "8675309124"') == {"8675309124"}
+        assert found(f"{name}: hunterxyza") == {"hunterxyza"}

@@ -29,9 +29,10 @@ HINTS = ("passw", "secret", "token", "api")
 SENSITIVE = {"password": 1.0, "passwd": 1.0, "pwd": 0.9, "passphrase": 1.0, "secret": 1.0, "token": 0.9, "apikey": 1.0, "credential": 0.9, "credentials": 0.9, "private": 0.6, "auth": 0.6, "bearer": 0.8, "key": 0.5, "access": 0.4, "signing": 0.6, "salt": 0.5, "dsn": 0.5, "cookie": 0.5}
 #: Shortest literal, and the score from which a literal is a secret.
 SHORTEST, THRESHOLD = 8, 0.9
-NAME = r"[A-Za-z_][A-Za-z0-9_.\-]{0,63}"
-STRING = r"\"[^\"\n\\]{1,4096}\"|'[^'\n\\]{1,4096}'"
-PAIR = re.compile(rf"(?P<quote>[\"']?)(?P<name>{NAME})(?P=quote)\x20*(?::=|=>|=(?!=)|:(?!//))\x20*(?P<right>(?:{STRING})(?:\x20*\+\x20*(?:{STRING}))*|[A-Za-z0-9+/_.=\-]{{1,4096}})|<(?P<tag>{NAME})>(?P<body>[^<\n]{{1,4096}})</(?P=tag)>")
+#: A name starts where its run of name characters does, digits and signs before it left out; possessive, so that long runs are read once.
+NAME = r"[A-Za-z_][A-Za-z0-9_.\-]*+"
+STRING = r"\"(?:[^\"\n\\]|\\[\s\S])++\"|'(?:[^'\n\\]|\\[\s\S])++'"
+PAIR = re.compile(rf"(?P<quote>[\"']?)(?<![A-Za-z0-9_.\-])[0-9.\-]*+(?P<name>{NAME})(?P=quote)[ \t]*+(?::=|=>|=(?!=)|:(?!//))[ \t]*+(?P<right>(?:{STRING})(?:[ \t]*\+[ \t]*(?:{STRING}))*|[A-Za-z0-9+/_.=\-]++)|<(?P<tag>{NAME})>(?P<body>[^<\n]++)</(?P=tag)>")
 PIECE = re.compile(STRING)
 SPLIT = re.compile(r"[^A-Za-z0-9]+|(?<=[a-z0-9])(?=[A-Z])")
 RESULT = pa.schema([("doc_id", pa.int64()), ("n_assign", pa.int64()), ("n_access", pa.int64()), ("n_hex", pa.int64()), ("base_sha256", pa.string()), ("spans", pa.string()), ("n_named", pa.int64())])
@@ -60,11 +61,12 @@ def sensitive(name: str) -> float:
 
 
 def score(name: str, literal: str) -> float:
-    """Weight of the name times one for a random-looking literal; placeholders and short literals get 0."""
+    """Weight of the name times the strength of the literal, which a long random one has above 1, so that a name of little weight
+    reaches the threshold by itself; placeholders and short literals get 0."""
     if len(literal) < SHORTEST or not literal.isascii() or " " in literal or literal.lower().strip("<>*x.-") in ("", "changeme", "example", "password", "placeholder"):
         return 0.0
     kinds = sum(bool(re.search(p, literal)) for p in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
-    return sensitive(name) * min(1.0, (entropy(literal) / 3.0) * (0.5 + 0.25 * kinds))
+    return sensitive(name) * (entropy(literal) / 3.0) * (0.7 + 0.25 * kinds)
 
 
 def named_spans(text: str, threshold: float = THRESHOLD) -> list[tuple[int, int, int]]:
