@@ -2,6 +2,7 @@ import math
 from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.helpers import empty, odd
@@ -29,18 +30,28 @@ def plain_bits(sample: bytes, text: bytes, order: int) -> list[float]:
                 bits -= math.log2(c[x] / (total + kinds))
                 break
             bits -= math.log2(kinds / (total + kinds))
+        else:
+            bits += 8.0  # no context has the byte: one of 256
         out.append(bits)
     return out
 
 
-def test_code_lengths_are_exact():
+@pytest.mark.parametrize("most", [0, L.DENSE_CELLS])
+def test_code_lengths_are_exact(monkeypatch, most):
+    """Of every byte, those that one language or all of them lack included; with dense tables and with sorted keys."""
+    monkeypatch.setattr(L.Children.of.__func__, "__defaults__", (most,))
     model = L.fit({"en": [EN.encode()], "fr": [FR.encode()]}, order=3)
-    text = "the chat and la dog court".encode()
+    assert (model.children[3].table is None) == (most == 0)
+    text = "the chat and la dog court Q\u00e9 x1 quiz".encode()
     got = model.bits(np.frombuffer(text, np.uint8), np.arange(len(text)))
     for j, sample in enumerate((EN, FR)):
-        want = plain_bits(sample.encode(), text, 3)
-        known = [x in sample.encode() for x in text]  # a byte that a language lacks is coded outside its tree
-        assert np.allclose([g for g, k in zip(got[:, j], known) if k], [w for w, k in zip(want, known) if k], atol=1e-4)
+        assert np.allclose(got[:, j], plain_bits(sample.encode(), text, 3), atol=1e-4)
+
+
+def test_copies_are_one_in_the_sample(spark):
+    rows = spark.createDataFrame([("the same text", "en")] * 300 + [(f"text {i}", "en") for i in range(40)] + [(None, "en"), ("x", None)], "text string, lang string")
+    got = L.training_sample(rows, max_docs=1000)
+    assert sorted(got) == ["en"] and len(got["en"]) == 41
 
 
 def test_chunks_do_not_change_a_score():
@@ -68,3 +79,4 @@ def test_odd_rows(spark):
     assert set(L.identify(odd(spark), None).toPandas().lang_pred) == {"und"}
     kept = L.keep_identified(odd(spark), model)
     assert kept.columns == odd(spark).columns and kept.count() == 7
+    assert L.keep_identified(odd(spark), None).count() == 7 and L.keep_identified(empty(spark), model).count() == 0

@@ -5,7 +5,7 @@ length under a tree is the sum, over its bytes, of the escapes from contexts tha
 of the byte's own code in the longest context that has. The language with the shortest code wins.
 
 The trees share one node numbering, so that a text is walked once for all languages: node k-grams come from
-dense child tables, code lengths from a table of one row per node and one column per language.
+child tables, dense while they are small and sorted keys beyond, code lengths from a table of one row per node and one column per language.
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 
 from .common import ROWS_AT_A_TIME, by_batch
 
+#: Cells of a dense child table, at most; a larger one is kept as its sorted keys, with the same outcome.
+DENSE_CELLS = 1 << 24
 #: Longest context, in bytes.
 ORDER = 4
 #: The training sample: documents a language at most (in expectation), their longest text, and bytes a language.
@@ -29,26 +31,50 @@ LETTER = regex.compile(r"\p{L}")
 RESULT = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64()), ("bits_per_byte", pa.float64())])
 
 
+@dataclass
+class Children:
+    """The number of a child by the number of its parent (0 is none) and a byte class."""
+
+    width: int
+    table: np.ndarray | None
+    keys: np.ndarray | None
+
+    @classmethod
+    def of(cls, parents: int, width: int, parent: np.ndarray, last: np.ndarray, most: int = DENSE_CELLS) -> Children:
+        """Children numbered from 1 in the order given, which is that of (parent, last)."""
+        if parents * width > most:
+            return cls(width, None, parent.astype(np.int64) * width + last)
+        table = np.zeros((parents, width), np.int32)
+        table[parent, last] = np.arange(1, len(parent) + 1)
+        return cls(width, table, None)
+
+    def __call__(self, parent: np.ndarray | int, last: np.ndarray) -> np.ndarray:
+        if self.table is not None:
+            return self.table[parent, last]
+        key = parent * np.int64(self.width) + last
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, at + 1, 0).astype(np.int32)
+
+
 @dataclass
 class Model:
     """children[k]: child of the k-gram numbered i (from 1; 0 is none) by byte class. cost[k], escape[k]: bits, a column a language."""
 
     langs: list[str]
     classes: np.ndarray
-    children: list[np.ndarray]
+    children: list[Children]
     cost: list[np.ndarray]
     escape: list[np.ndarray]
-    unseen: float = 16.0
 
     def bits(self, data: np.ndarray, doc: np.ndarray) -> np.ndarray:
         """Code length of each byte in each language. data: bytes of many texts, doc: the place of each byte in its text."""
         x = self.classes[data]
         order = len(self.children) - 1
-        ids = [self.children[0][0][x]]
+        ids = [self.children[0](0, x)]
         for k in range(1, order + 1):
             node = np.zeros(len(x), np.int32)
             if len(x) > k:
-                node[1:] = self.children[k][ids[-1][:-1], x[1:]]
+                node[1:] = self.children[k](ids[-1][:-1], x[1:])
                 node[doc < k] = 0
             ids.append(node)
         out = np.empty((len(x), len(self.langs)), np.float32)
@@ -64,7 +90,7 @@ class Model:
                 if not len(at):
                     break
                 if k == 0:
-                    out[at] = extra + self.unseen
+                    out[at] = extra + self.escape[0][0] + 8.0  # no language has the byte: one of 256 after the last escape
                 else:
                     deep = doc[at] >= k
                     before = np.where(deep, ids[k - 1][at - 1], 0)
@@ -105,11 +131,7 @@ def fit(samples: dict[str, list[bytes]], order: int = ORDER) -> Model:
         # a child table: from the number of the k-gram (its first bytes) and the class of the last byte
         parent = np.searchsorted(keys[k - 1], union >> np.uint64(8)) + 1 if k else np.zeros(len(union), np.int64)
         above = len(keys[k - 1]) + 1 if k else 1
-        child = np.zeros((above, width), np.int32)
-        child[parent, classes[(union & np.uint64(255)).astype(np.int64)]] = np.arange(1, len(union) + 1)
-        if k:
-            child[0] = 0
-        children.append(child)
+        children.append(Children.of(above, width, parent, classes[(union & np.uint64(255)).astype(np.int64)]))
         c = np.zeros((len(union) + 1, len(langs)), np.float32)
         e = np.zeros((above, len(langs)), np.float32)
         for j, (g, n) in enumerate(counted):
@@ -133,16 +155,18 @@ def fit(samples: dict[str, list[bytes]], order: int = ORDER) -> Model:
 
 
 def training_sample(rows: DataFrame, max_docs: int = SAMPLE_DOCS, max_chars: int = SAMPLE_CHARS, max_bytes: int = SAMPLE_BYTES) -> dict[str, list[bytes]]:
-    """A bounded sample of whole labelled texts: about max_docs a language by a hash of the text, of up to max_chars code points each, cut off at max_bytes a language."""
-    rows = rows.filter("text is not null and lang is not null").select("text", "lang").filter(F.length("text") <= max_chars)
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    """A bounded sample of whole labelled texts: about max_docs different ones a language by a hash of the text, of up to max_chars code
+    points each, cut off at max_bytes a language. Copies of a text are one, however many there are."""
+    rows = rows.filter("text is not null and lang is not null").select("text", "lang").filter(F.length("text") <= max_chars).withColumn("h", F.xxhash64("text", F.lit(1)))
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).collect()}
     if not counts:
         return {}
     share = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, max_docs / n)))])
-    rank = F.xxhash64(F.col("text"), F.lit(1)).bitwiseAND(F.lit((1 << 52) - 1)) / float(1 << 52)
-    got = rows.withColumn("rank", rank).filter(F.col("rank") < F.element_at(share, F.col("lang"))).collect()
+    rank = F.col("h").bitwiseAND(F.lit((1 << 52) - 1)) / float(1 << 52)
+    drawn = rows.withColumn("rank", rank).filter(F.col("rank") < F.element_at(share, F.col("lang")))
+    got = drawn.groupBy("lang", "rank").agg(F.min("text").alias("text")).collect()
     out: dict[str, list[bytes]] = {}
-    for r in sorted(got, key=lambda r: (r["lang"], r["rank"], r["text"])):
+    for r in sorted(got, key=lambda r: (r["lang"], r["rank"])):
         own = out.setdefault(r["lang"], [])
         own.append(r["text"].encode())
     for lang, texts in out.items():
@@ -197,7 +221,9 @@ def held_out(doc_id: Column) -> Column:
 
 
 def identify(docs: DataFrame, model: Model | None) -> DataFrame:
-    """doc_id, lang_pred, score, bits_per_byte of every whole text. A null text, one without a letter, or an absent model gives `und` and score 0."""
+    """doc_id, lang_pred, score, bits_per_byte of every whole text. A null text, one without a letter, or an absent model gives `und` and score 0.
+
+    Of languages of equal code length the first by name wins. Repeated rows are judged each for itself; an empty table gives no rows."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(x: dict[str, list]) -> dict[str, list]:
@@ -214,14 +240,21 @@ def learn(docs: DataFrame) -> Model | None:
 
 
 def keep_identified(docs: DataFrame, model: Model | None) -> DataFrame:
-    """The rows of docs, all columns, whose language is determined. Nothing is shuffled."""
+    """The rows of docs, all columns, whose language is determined. Nothing is shuffled.
+
+    Null texts and those without a letter go, and no others: without a model, which is so if no row has a language, texts with a letter
+    stay. Repeated rows stay or go alike; null ids are like any."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS_AT_A_TIME):
                 part = batch.slice(at, ROWS_AT_A_TIME)
-                lang, _, _ = predict_batch(shared.value, part.column(part.schema.get_field_index("text")).to_pylist())
-                yield part.filter(pa.array([x != UNDETERMINED for x in lang], pa.bool_()))
+                texts = part.column(part.schema.get_field_index("text")).to_pylist()
+                if shared.value is None:
+                    keep = [bool(t and LETTER.search(t)) for t in texts]
+                else:
+                    keep = [x != UNDETERMINED for x in predict_batch(shared.value, texts)[0]]
+                yield part.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
