@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from tests.llm.helpers import empty, odd
+from tests.llm.helpers import docs, empty, odd
 from tidelog.llm import near_dup as N
 
 
@@ -38,11 +38,11 @@ def roots(ids, fps):
 
 
 def test_whole_table_against_brute_force(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    rows = sorted((r.doc_id, r.text) for r in docs.collect())
+    table = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = sorted((r.doc_id, r.text) for r in table.collect())
     fps = [plain(t) for _, t in rows]
     want = list(zip([i for i, _ in rows], [f"{f:016x}" for f in fps], roots([i for i, _ in rows], fps)))
-    got = sorted((r.doc_id, r.fingerprint, r.component_id) for r in N.near_duplicates(docs).collect())
+    got = sorted((r.doc_id, r.fingerprint, r.component_id) for r in N.near_duplicates(table).collect())
     assert got == want
 
 
@@ -88,5 +88,18 @@ def test_odd_rows(spark):
     assert kept.columns == odd(spark).columns
     ids = sorted(kept.toPandas().doc_id.fillna(-1).astype(int))
     assert ids == [-1, 1, 3, 5, 6, 7, 8, 9]
+    again = docs(spark, [(4, "one text of its own here", None, None), (4, "quite another text stands in this row", None, None), (4, "one text of its own here", None, None), (9, "one text of its own here", None, None)])
+    assert sorted((r.doc_id, r.text[:3]) for r in N.keep_first(again).collect()) == [(4, "one"), (4, "qui")]
     assert N.near_duplicates(empty(spark)).count() == 0 and N.keep_first(empty(spark)).count() == 0
     assert np.all(got.fingerprint.str.len() == 16)
+
+
+def test_a_hot_fingerprint_is_joined_apart(spark, monkeypatch):
+    from tidelog.llm import common
+
+    rows = docs(spark, [(i, "the same text again", None, None) for i in range(40)] + [(100 + i, f"text number {i} alone {i * i}", None, None) for i in range(20)] + [(None, "the same text again", None, None)])
+    want = sorted(map(str, N.near_duplicates(rows).collect()))
+    kept = sorted(map(str, N.keep_first(rows).collect()))
+    monkeypatch.setattr(common, "HOT_SHARE", 0.3)
+    assert sorted(map(str, N.near_duplicates(rows).collect())) == want
+    assert sorted(map(str, N.keep_first(rows).collect())) == kept and len(kept) == 21

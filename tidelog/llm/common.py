@@ -70,6 +70,30 @@ def by_batch(f: Callable[[dict[str, list]], dict[str, object]], schema: pa.Schem
     return run
 
 
+#: A key is hot from this share of all rows on, so that hot keys are as many as its inverse at most.
+HOT_SHARE = 1 / 1000
+
+
+def join_split(left: DataFrame, right: DataFrame, keys: list[str], n: str) -> DataFrame:
+    """The inner join of left with right, a stored table of unique keys, whose column n is how many rows of left each key has.
+
+    Keys are null-safe. Hot keys are 1,000 at most: their rows of right are broadcast, so that rows of left that share one are not
+    brought together. All others are joined by a shuffle."""
+    total = right.agg(F.coalesce(F.sum(n), F.lit(0))).first()[0]
+    hot = right.filter(F.col(n) > max(1, total * HOT_SHARE))
+
+    def joined(a: DataFrame, b: DataFrame) -> DataFrame:
+        b = b.select(*[F.col(c).alias(f"_split_{c}") if c in keys else F.col(c) for c in b.columns])
+        on = [a[k].eqNullSafe(b[f"_split_{k}"]) for k in keys]
+        return a.join(b, on).drop(*[f"_split_{k}" for k in keys])
+
+    if hot.isEmpty():
+        return joined(left, right)
+    own = hot.select(*[F.col(k).alias(f"_split_{k}") for k in keys])
+    rest = left.join(F.broadcast(own), [left[k].eqNullSafe(own[f"_split_{k}"]) for k in keys], "left_anti")
+    return joined(left, F.broadcast(hot)).unionByName(joined(rest, right.filter(F.col(n) <= max(1, total * HOT_SHARE))))
+
+
 def tokenizer_path(name: str) -> str:
     """Where the public tokenizers' files are; TIDELOG_TOKENIZERS names another folder."""
     at = os.environ.get("TIDELOG_TOKENIZERS")

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import by_batch, fresh, store
+from .common import by_batch, fresh, join_split, store
 
 RADIUS, SEED, DENSE = 3, 42, 1024
 #: The thirds of a fingerprint, as masks.
@@ -57,13 +57,14 @@ def fingerprint(text: str | None) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, fp (the fingerprint as a signed long) of every row."""
-    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+    """doc_id, fp (the fingerprint as a signed long) and digest (a hash of the text) of every row."""
+    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), ("digest", pa.int64())])
 
     def run(x: dict[str, list]) -> dict[str, list]:
-        return {"doc_id": x["doc_id"], "fp": [signed(fingerprint(t)) for t in x["text"]]}
+        return {"doc_id": x["doc_id"], "fp": [signed(fingerprint(t)) for t in x["text"]], "digest": x["digest"]}
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(by_batch(run, schema), "doc_id long, fp long")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("digest"))
+    return own.mapInArrow(by_batch(run, schema), "doc_id long, fp long, digest long")
 
 
 def erased_variants(fps: DataFrame) -> DataFrame:
@@ -114,41 +115,37 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()).groupBy("node").agg(F.min("root").alias("root"))
 
 
+def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Stored tables: the rows' fingerprints; and fp, n (rows), low (smallest doc_id), root of each distinct fingerprint."""
+    rows = store(fingerprints(docs))
+    fps = store(rows.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("n")))
+    root = components(links(fps.select("fp")))
+    return rows, store(fps.join(root, fps["fp"] == root["node"], "left").select("fp", "n", "low", F.coalesce("root", "fp").alias("root")))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id: one row for each row of docs.
 
     A null or empty text has no words and fingerprint zero, linked like any other. Equal rows all appear. A row
     with a null doc_id takes part, but never names a component; its component_id is null if no other row does."""
-    rows = store(fingerprints(docs))
-    fps = store(rows.groupBy("fp").agg(F.min("doc_id").alias("low")))
-    root = components(links(fps.select("fp")))
-    owned = fps.join(root, fps["fp"] == root["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
+    rows, owned = linked(docs)
     low = owned.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = owned.join(low, "root").select("fp", "component_id")
-    return rows.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    named = store(owned.join(low, "root").select("fp", "n", "component_id"))
+    return join_split(rows, named, ["fp"], "n").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """The rows of docs, all columns, that are the first of their group: the smallest doc_id, and one row of it if it is repeated.
-
-    Rows with a null doc_id go if their group has a doc_id; else one of each fingerprint group stays."""
-    found, own = store(near_duplicates(docs)), fresh(docs, "near_dup_id")
-    ids = found.filter("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.min("component_id").alias("c"))
-    gone = ids.filter("doc_id <> c").select(F.col("doc_id").alias(own))
-    again = ids.filter("doc_id = c and n > 1").select(F.col("doc_id").alias(own))
-    some = docs.filter(F.col("doc_id").isNotNull())
-    first = some.join(gone.unionByName(again), some["doc_id"] == F.col(own), "left_anti")
-    repeated = some.join(again, some["doc_id"] == F.col(own), "left_semi").dropDuplicates(["doc_id"])
-    return first.unionByName(repeated).unionByName(without_id(docs, found))
-
-
-def without_id(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """One row for each group whose rows all lack a doc_id. Such rows are rare: a second pass, over them alone, links them."""
-    lone = found.filter("doc_id is null and component_id is null").select("fingerprint").distinct()
-    none, own = docs.filter(F.col("doc_id").isNull()), fresh(docs, "near_dup_row")
-    if lone.isEmpty():
-        return none.limit(0)
-    numbered = store(none.withColumn(own, F.monotonically_increasing_id()))
-    groups = near_duplicates(numbered.select(F.col(own).alias("doc_id"), "text"))
-    first = groups.join(lone, "fingerprint", "left_semi").groupBy("component_id").agg(F.min("doc_id").alias("keep")).select("keep")
-    return numbered.join(first, numbered[own] == first["keep"], "left_semi").select(*docs.columns)
+    """The rows of docs, all columns, that are the first of their group: one row a group, of the smallest doc_id, null last, and of
+    the rows of one id that of the smallest hash of its text.
+
+    A group is a component of near duplicates, so that every group keeps a row, whatever repeats: rows of one doc_id with unlike
+    texts are of different groups. Equal rows are one. An empty table stays empty."""
+    rows, owned = linked(docs)
+    every = join_split(rows, owned.select("fp", "n", "root"), ["fp"], "n").groupBy("root", "doc_id", "digest").agg(F.count(F.lit(1)).alias("n"))
+    first = every.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest", "n")).alias("k"))
+    own, digest, n = (fresh(docs, x) for x in ("near_dup_id", "near_dup_digest", "near_dup_n"))
+    keep = store(first.select(F.col("k.doc_id").alias(own), F.col("k.digest").alias(digest), F.col("k.n").alias(n)))
+    keyed = docs.withColumn(own, F.col("doc_id").cast("long")).withColumn(digest, F.xxhash64("text"))
+    kept = join_split(keyed, keep, [own, digest], n)
+    once, again = kept.filter(F.col(n) == 1), kept.filter(F.col(n) > 1).dropDuplicates([own, digest])
+    return once.unionByName(again).select(*docs.columns)
