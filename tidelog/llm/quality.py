@@ -1,14 +1,14 @@
 """Quality classification by co-training.
 
-Two views of a document: its words (hashed words of the text) and its page metadata (source, language, size and layout).
-A classifier is fitted to each on the labelled sample; over some rounds each hands its most confident
-pseudo-labels on an unlabelled pool to the other. Both are calibrated on held-back labels, and the mean of their
-calibrated log-odds scores every document.
+Two views of a document: its text (hashed runs of three bytes) and its page metadata. The documents have no metadata but source,
+language and size, so that this view adds the layout: shares of kinds of characters, lines and their length, which the text view has no feature for.
+A classifier is fitted to each on the labelled sample; over some rounds each hands the rows of an unlabelled pool that it is
+most sure of to the other, with its pseudo-labels. Both are calibrated on held-back labels, and the mean of their calibrated log-odds scores every document.
 """
 
 from __future__ import annotations
 
-import re
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -40,9 +40,6 @@ def text_view(texts: list[str | None]) -> np.ndarray:
     return out
 
 
-LINE = re.compile("\n")
-
-
 def meta_view(rows: dict[str, list]) -> np.ndarray:
     """Size, layout and hashed names, one row a document."""
     n = len(rows["text"])
@@ -55,7 +52,7 @@ def meta_view(rows: dict[str, list]) -> np.ndarray:
         odd = c[33:48].sum() + c[58:65].sum() + c[91:97].sum() + c[123:127].sum()
         out[i, :12] = (1, np.log1p(len(x)) / 10, np.log1p(lines) / 5, np.log1p(total / lines) / 8, upper / total, lower / total, digit / total * 5, odd / total * 5, space / total * 3, c[128:].sum() / total, c[124] / total * 20, c[33] / total * 20)
         for name, base in ((source, 12), (lang, 28)):
-            out[i, base + (sum((name or "").encode()) % 16 if name else 15)] = 0.3
+            out[i, base + (zlib.crc32(name.encode("utf-8", "surrogatepass")) % 15 if name else 15)] = 0.3
     return out
 
 
@@ -105,8 +102,25 @@ class Model:
     meta: Logistic | None
 
 
+def exchange(p: list[np.ndarray], growth: int = GROWTH, confident: float = CONFIDENT) -> list[tuple[np.ndarray, np.ndarray]]:
+    """What each view is taught of a pool, rows and labels, from both views' probabilities.
+
+    Of the rows that the other view is sure of, the surest are taught, growth of each label at most. Rows of which both are sure are
+    not taught if they disagree."""
+    out = []
+    for taught, teacher in ((0, 1), (1, 0)):
+        for_it, against = p[teacher] >= confident, p[teacher] <= 1 - confident
+        for_it, against = for_it & ~(p[taught] <= 1 - confident), against & ~(p[taught] >= confident)
+        rows = []
+        for mask, order in ((for_it, -p[teacher]), (against, p[teacher])):
+            some = np.flatnonzero(mask)
+            rows.append(some[np.argsort(order[some], kind="stable")[:growth]])
+        out.append((np.concatenate(rows), np.concatenate([np.ones(len(rows[0])), np.zeros(len(rows[1]))])))
+    return out
+
+
 def co_train(labelled: dict[str, list], y: np.ndarray, pool: dict[str, list], rounds: int = ROUNDS) -> Model:
-    """Views exchange confident pseudo-labels; the last fifth of the labelled rows is held back for calibration."""
+    """Views exchange confident pseudo-labels; a row that was taught leaves the pool for good. The last fifth of the labelled rows is held back for calibration."""
     if len(y) < 10 or y.min() == y.max():
         return Model(None, None)
     views = [text_view(labelled["text"]), meta_view(labelled)]
@@ -115,22 +129,26 @@ def co_train(labelled: dict[str, list], y: np.ndarray, pool: dict[str, list], ro
     own = [(v[~held], y[~held]) for v in views]
     models = [fit_logistic(*o) for o in own]
     for _ in range(rounds):
-        p = [sigmoid(m.raw(o)) for m, o in zip(models, open_, strict=True)]
-        for taught, teacher in ((0, 1), (1, 0)):
-            sure = [np.flatnonzero(p[teacher] >= CONFIDENT)[:GROWTH], np.flatnonzero(p[teacher] <= 1 - CONFIDENT)[:GROWTH]]
-            new = np.concatenate(sure)
-            own[taught] = (np.vstack([own[taught][0], open_[taught][new]]), np.concatenate([own[taught][1], np.ones(len(sure[0])), np.zeros(len(sure[1]))]))
-        left = (p[0] < CONFIDENT) & (p[0] > 1 - CONFIDENT) | (p[1] < CONFIDENT) & (p[1] > 1 - CONFIDENT)
-        open_ = [o[left] for o in open_]
-        models = [fit_logistic(*o) for o in own]
         if not len(open_[0]):
             break
+        taught = exchange([sigmoid(m.raw(o)) for m, o in zip(models, open_, strict=True)])
+        gone = np.union1d(taught[0][0], taught[1][0])
+        if not len(gone):
+            break
+        own = [(np.vstack([x, o[rows]]), np.concatenate([z, marks])) for (x, z), o, (rows, marks) in zip(own, open_, taught, strict=True)]
+        open_ = [np.delete(o, gone, axis=0) for o in open_]
+        models = [fit_logistic(*o) for o in own]
     for m, v in zip(models, views, strict=True):
         if y[held].min() != y[held].max():
             calibrate(m, v[held], y[held])
     return Model(*models)
 
 
+def one_each(rows: DataFrame, *more: str) -> DataFrame:
+    """One row of each doc_id, the smallest by text, source and language; reduced before anything is shuffled."""
+    return rows.groupBy("doc_id", *more).agg(F.min(F.struct("text", "source", "lang")).alias("r")).select("doc_id", *more, "r.*")
+
+
 def learn(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL) -> Model:
     """Fit on bounded samples by a hash of the id: whole texts of up to SAMPLE_CHARS, labelled, and unlabelled for the pool."""
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "source", "lang").filter(F.col("text").isNotNull() & F.col("doc_id").isNotNull() & (F.length("text") <= SAMPLE_CHARS))
@@ -140,13 +158,14 @@ def learn(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: in
     if len(sizes) < 2:
         return Model(None, None)
     share = F.create_map(*[F.lit(x) for r in sizes for x in (r["quality"], min(1.0, labelled / 2 / r["count"]))])
-    drawn = marks.filter(rank < F.element_at(share, F.col("quality"))).collect()[: 2 * labelled]
+    drawn = marks.filter(rank < F.element_at(share, F.col("quality"))).orderBy(rank, "doc_id").limit(2 * labelled).collect()
     known = d.sparkSession.createDataFrame([(r["doc_id"], r["quality"]) for r in drawn], "doc_id long, quality int")
-    got = d.join(F.broadcast(known), "doc_id").collect()  # 2 x labelled short rows at most: no text is shuffled
-    got = sorted(got, key=lambda r: (r["doc_id"] * 2654435761 % (1 << 32), r["doc_id"]))[: 2 * labelled]
-    total = d.count()
-    free = d.filter(rank < min(1.0, 1.2 * pool / max(total, 1))).join(marks, "doc_id", "left_anti").collect()[: 2 * pool]
-    free = sorted(free, key=lambda r: (r["doc_id"], r["text"]))
+    # 2 x labelled ids at most, and one row of each, whatever repeats: no other text is shuffled
+    got = one_each(d.join(F.broadcast(known), "doc_id"), "quality").collect()
+    got = sorted(got, key=lambda r: (r["doc_id"] * 2654435761 % (1 << 32), r["doc_id"]))
+    ids = d.agg(F.approx_count_distinct("doc_id")).first()[0]
+    some = d.filter(rank < min(1.0, 1.2 * pool / max(ids, 1))).join(marks, "doc_id", "left_anti")
+    free = sorted(one_each(some).collect(), key=lambda r: (r["doc_id"] * 2654435761 % (1 << 32), r["doc_id"]))[:pool]
     column = lambda rows: {k: [r[k] for r in rows] for k in ("text", "source", "lang")}
     return co_train(column(got), np.array([float(r["quality"]) for r in got]), column(free))
 
