@@ -62,3 +62,50 @@ def test_each_name_and_class_can_reach_the_threshold():
     for name in ("password", "token", "pwd", "credentials"):
         assert found(f'{name} = "8675309124"') == {"8675309124"}
         assert found(f"{name}: hunterxyza") == {"hunterxyza"}
+
+
+V = "zQ8v1mKp0rXw"
+
+
+def test_joined_literals_and_constants():
+    assert found(f'k = "{V}"\nsecret = k + "tail9Q"') == {V, "tail9Q"}
+    assert found(f'k = "{V}"\nsecret = k+"tail9Q"') == {V, "tail9Q"}
+    assert found(f'secret = unknown + "{V}"') == {V}
+    assert found(f'secret = (\n    "{V}"\n    "more7Z"\n)') == {V, "more7Z"}
+    assert found(f"$k = '{V}';\n$api_secret = $k . 'more7Z';") == {V, "more7Z"}
+    assert found("secret = unknown") == set() and found("secret = a + b") == set()
+
+
+def test_literals_of_other_forms():
+    assert found(f'password = """{V}"""') == {V}
+    assert found(f"password = '''{V}\nline two of it'''") == {f"{V}\nline two of it"}
+    assert found(f"PRIVATE_KEY=<<EOF\n{V}{V}\n{V}\nEOF\nx = 1") == {f"{V}{V}\n{V}"}
+    assert found(f'token = b"{V}"') == {V} and found(f"token = `{V}`") == {V}
+    assert found('password = "correct horse battery staple 9"') == {"correct horse battery staple 9"}
+    assert found('password = "M\u00fcnchen\u00dfK9x\u00e9"') == {"M\u00fcnchen\u00dfK9x\u00e9"}
+    assert found("password: see the wiki page") == set()
+
+
+def test_comments_and_strings_are_read_but_bind_nothing():
+    for text in (f"# old_password = {V}", f"x = 1  // api_secret: '{V}'", f"/* db_password = \"{V}\" */", f"run('export AUTH_TOKEN={V}')", f"it's a note, token = '{V}' isn't"):
+        assert found(text) == {V}, text
+    assert found(f'# K = "{V}"\nsecret = K') == set()
+    assert found("see http://example.com/password/reset") == set()
+
+
+def test_scopes_and_dotted_names():
+    assert found(f'func a() {{ k = "{V}" }}\nsecret = k') == set()
+    assert found(f'k = "{V}"\nfunc a() {{ secret = k }}') == {V}
+    assert found(f'def a():\n    k = "{V}"\n    use(k)\n\nsecret = k') == set()
+    assert found(f'def a():\n    k = "{V}"\n    secret = k\n') == {V}
+    assert found(f'self.k = "{V}"\nclient.secret = self.k') == {V}
+    assert found(f'config.k = "{V}"\ndb.password = config.k') == {V}
+
+
+def test_long_odd_texts_take_linear_time():
+    import time
+
+    for unit in ("password=", "'\"", "/*", "/* token = ", "<<EOF\n", "{", "}{", "# ", "\"\"\"", "\\\"\"\"", "token: ", "<a>", "k+", "a = (", "\ntoken", "def x\n "):
+        at = time.perf_counter()
+        S.named_spans("token = 1 " + unit * (400_000 // len(unit)))
+        assert time.perf_counter() - at < 20, unit
