@@ -29,6 +29,21 @@ def test_beam_search_is_no_worse_than_greedy():
     assert np.allclose(norm, (books.decode(codes) ** 2).sum(1))
 
 
+def test_refit_is_no_worse_on_rows_not_fitted_to():
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(50, 12))[rng.integers(0, 50, 3000)] + 0.3 * rng.normal(size=(3000, 12))
+    error = lambda b: ((x[::10] - b.decode(ann.encoded(b, x[::10]))) ** 2).sum()
+    plain, refitted = ann.fit(x, books=4, words=16, refits=0), ann.fit(x, books=4, words=16, refits=3)
+    assert error(refitted) < error(plain)
+    codes = ann.encoded(plain, x)
+    at = codes.astype(int) + np.arange(4) * 16
+    one_hot = np.zeros((len(x), 64))
+    one_hot[np.arange(len(x))[:, None], at] = 1
+    rest = x - plain.decode(codes)
+    want = np.linalg.solve(one_hot.T @ one_hot + 2.0 * np.eye(64), one_hot.T @ rest)
+    assert np.allclose(ann.least_squares(codes, rest, 16, 2.0).reshape(64, -1), want)
+
+
 def test_odd_rows(spark):
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 0.0]), (4, None), (5, [float("nan"), 1.0]), (6, [None, 1.0]), (7, []), (None, [1.0, 1.0]), (9, [4.0, 4.0]), (10, [1.0, 2.0, 3.0])]
     df = spark.createDataFrame([(i, v, "x", 1) for i, v in rows], "vec_id long, embedding array<float>, codes string, block int")
