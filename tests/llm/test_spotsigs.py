@@ -1,12 +1,45 @@
 import hashlib
-from itertools import combinations
+import re
+from itertools import combinations, islice
 
+import numpy as np
 import pytest
+import xxhash
 
 from tests.llm.helpers import docs, empty, odd
 from tidelog.llm import spotsigs as S
 
 
+MASK = (1 << 64) - 1
+
+
+def plain_signatures(text):
+    """The set of signatures, word by word and with whole numbers."""
+    words = re.findall(r"\w+", text.lower())
+    digest = lambda t: xxhash.xxh32_intdigest(t.encode())
+    out = set()
+    for i, w in enumerate(words):
+        after = list(islice((v for v in islice(words, i + 1, None) if v not in S.STOP), 3)) if w in S.ANCHORS else []
+        if len(after) == 3:
+            out.add(digest(" ".join([w, *after])))
+    runs = set()
+    width = min(4, len(words))
+    for i in range(len(words) - width + 1 if words else 0):
+        h = 0
+        for w in words[i : i + width]:
+            h = (((h ^ (h >> 31)) * 0x9E3779B97F4A7C15) + digest(w) + 1) & MASK
+        runs.add((((h ^ (h >> 32)) * 0xD6E8FEB86659FD93) & MASK) >> 32)
+    return out | set(sorted(runs)[:64])
+
+
+def text_of(sigs):
+    return "".join(f"{x:08x}" for x in sorted(sigs))
+
+
+def likeness(a, b):
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
 def plain(rows):
     rows = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
     out = []
@@ -14,15 +47,15 @@ def plain(rows):
         text, after = text or "", rows[(i + 1) % len(rows)][1] or ""
         k = len(text) // 4
         edited = text[: len(text) - k] + after[:k]
-        a, b, c = map(S.signatures, (text, edited, after))
-        out.append((doc_id or -1, len(text), hashlib.sha256(edited.encode()).hexdigest(), S.written(a), S.written(b), S.jaccard(a, b), S.jaccard(a, c)))
+        a, b, c = map(plain_signatures, (text, edited, after))
+        out.append((doc_id or -1, len(text), hashlib.sha256(edited.encode()).hexdigest(), text_of(a), text_of(b), likeness(a, b), likeness(a, c), len(a), likeness(a, b) >= 0.8, likeness(a, c) >= 0.8))
     return sorted(out)
 
 
 @pytest.mark.parametrize("name", ["table", "odd", "one", "same"])
 def test_against_brute_force(spark, name):
     df = {"table": lambda: spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), "odd": lambda: odd(spark), "one": lambda: docs(spark, [(4, "one row alone in here", None, None)]), "same": lambda: docs(spark, [(1, f"text {i} is the same id", None, None) for i in range(9)])}[name]()
-    got = sorted((r.doc_id or -1, *tuple(r)[1:7]) for r in S.compare_edited(df).collect())
+    got = sorted((r.doc_id or -1, *tuple(r)[1:8], r.alike_edited, r.alike_next) for r in S.compare_edited(df).collect())
     assert got == plain([(r.doc_id, r.text) for r in df.collect()])
 
 
@@ -39,7 +72,8 @@ def test_pruned_pairs_are_all_pairs(spark):
     words = [f"w{i}" for i in range(300)]
     texts = [" ".join(words[a : a + n]) for a, n in [(0, 60), (1, 60), (2, 62), (5, 60), (30, 60), (0, 60), (100, 20), (101, 19), (100, 20), (200, 5)]]
     sets = {S.written(S.signatures(t)) for t in texts}
-    want = {tuple(sorted((a, b))) for a, b in combinations(sets, 2) if S.jaccard(S.read(a), S.read(b)) >= 0.8}
+    assert sets == {text_of(plain_signatures(t)) for t in texts}
+    want = {tuple(sorted((a, b))) for a, b in combinations(sets, 2) if likeness(set(S.read(a).tolist()), set(S.read(b).tolist())) >= 0.8}
     got = [tuple(sorted((r.a, r.b))) for r in S.similar(docs(spark, [(i, t, None, None) for i, t in enumerate(texts)])).collect()]
     assert len(want) >= 3 and sorted(got) == sorted(want)
 
@@ -53,3 +87,17 @@ def test_likeness_does_not_jump_with_the_number_of_anchors():
         assert S.jaccard(whole, edited) > 0.3, n
     few, more = "the a1 b1 c1 is d1 e1 f1 le g1 h1 i1", "the a1 b1 c1 is d1 e1 f1 le g1 h1 i1 la j1 k1 l1"
     assert S.jaccard(S.signatures(few), S.signatures(more)) > 0.3
+
+
+def test_pruned_comparison_is_the_exact_one():
+    rng = np.random.default_rng(3)
+    for _ in range(400):
+        base = np.unique(rng.integers(0, 1 << 32, rng.integers(0, 300), dtype=np.uint32))
+        other = np.unique(np.concatenate([base[rng.random(len(base)) < rng.choice([0.7, 0.9, 0.97])], rng.integers(0, 1 << 32, rng.integers(0, 20), dtype=np.uint32)]))
+        assert S.alike(base, other) == S.alike(other, base) == (S.jaccard(base, other) >= 0.8 - 1e-12)
+
+
+def test_pairs_of_odd_rows(spark):
+    assert S.similar(empty(spark)).count() == 0 and S.similar(odd(spark)).count() == 0
+    hot = [(i, " ".join(f"shared{j}" for j in range(30)) + f" own{i} own{i}x", None, None) for i in range(12)]
+    assert S.similar(docs(spark, hot)).count() == 66

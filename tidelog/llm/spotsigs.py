@@ -3,7 +3,8 @@
 A signature is a common word (an anchor) and the chain of the next content words. Every text also has the SHINGLES
 lowest hashes of its runs of four words, so that a text with few anchors, or none, is no special case. A fingerprint is the set of
 both. Sets are compared by Jaccard similarity, and only sets of lengths that can reach the
-threshold are compared at all: sets are partitioned by length, so that each is matched within its own partition and the next.
+threshold are compared at all: sets are partitioned by length, so that each is matched within its own partition and the next, and a
+comparison ends as soon as what is left cannot reach the threshold.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh32_intdigest
 
-from .common import by_batch, partitions
+from .common import by_batch, join_split, partitions, store
 
 #: Words that start a chain, the commonest of each language; and words that are no content.
 ANCHORS = frozenset("the is to der die ist le la est el los es".split())
@@ -28,7 +29,9 @@ CHAIN, SHINGLES = 3, 64
 #: Words of which a worker keeps the hashes.
 CACHE = 300_000
 WORD = re.compile(r"\w+")
-RESULT = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64()), ("n_signatures", pa.int64())])
+RESULT = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64()), ("n_signatures", pa.int64()), ("length_part", pa.int32()), ("alike_edited", pa.bool_()), ("alike_next", pa.bool_())])
+#: Likeness from which two documents are near copies; signatures compared at a time.
+ALIKE, AT_A_TIME = 0.8, 64
 
 
 class Hashes(dict):
@@ -91,6 +94,27 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both)
 
 
+def length_part(n: int, threshold: float = ALIKE) -> int:
+    """The partition of a set of so many signatures: sets that reach the threshold are in the same one or in neighbours. -1 for none."""
+    return int(np.floor(np.log(n) / -np.log(threshold) + 1e-9)) if n else -1
+
+
+def alike(a: np.ndarray, b: np.ndarray, threshold: float = ALIKE) -> bool:
+    """Whether two sorted sets have at least this Jaccard similarity: those of partitions apart are not compared, and others only as
+    long as they may reach it. Two empty sets are alike."""
+    if len(a) > len(b):
+        a, b = b, a
+    if not len(a) or abs(length_part(len(a), threshold) - length_part(len(b), threshold)) > 1 or len(a) < threshold * len(b) - 1e-9:
+        return len(a) == len(b)
+    need, both = threshold / (1 + threshold) * (len(a) + len(b)) - 1e-9, 0
+    for at in range(0, len(a), AT_A_TIME):
+        own = a[at : at + AT_A_TIME]
+        both += len(np.intersect1d(own, b[np.searchsorted(b, own[0]) : np.searchsorted(b, own[-1], side="right")], assume_unique=True))
+        if both + len(a) - at - len(own) < need:
+            return False
+    return True
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint, n_signatures of every row's whole text; an empty fingerprint for a null text or one without words."""
     schema = pa.schema([("doc_id", pa.int64()), ("fingerprint", pa.string()), ("n_signatures", pa.int64())])
@@ -102,31 +126,35 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(by_batch(run, schema), "doc_id long, fingerprint string, n_signatures long")
 
 
-def similar(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
+def similar(docs: DataFrame, threshold: float = ALIKE) -> DataFrame:
     """a, b, likeness: pairs of distinct fingerprints whose Jaccard similarity is threshold or more.
 
     A set goes to the partition of its length and the next one up. There, sets meet on the rarest signatures only: two sets that
-    reach the threshold share one among the first n - ceil(threshold n) + 1 of each. Copies are one fingerprint."""
-    fps = fingerprints(docs).select("fingerprint", "n_signatures").filter("n_signatures > 0").distinct()
-    each = fps.withColumn("sig", F.explode(F.expr("transform(sequence(0, cast(n_signatures as int) - 1), i -> substring(fingerprint, 1 + 8 * i, 8))")))
-    rare = each.groupBy("sig").agg(F.count(F.lit(1)).alias("df"))
-    ordered = each.join(rare, "sig").groupBy("fingerprint", "n_signatures").agg(F.sort_array(F.collect_list(F.struct("df", "sig"))).alias("s"))
-    part = F.floor(F.log(F.col("n_signatures").cast("double")) / -F.log(F.lit(threshold)) + 1e-9).cast("int")
-    n = F.col("n_signatures")
-    prefix = ordered.select("fingerprint", "n_signatures", part.alias("part"), F.explode(F.slice("s", F.lit(1), (n - F.ceil(n * threshold - 1e-9) + 1).cast("int"))).alias("s")).select("fingerprint", "n_signatures", "part", "s.sig")
-    left = prefix.select(F.col("fingerprint").alias("a"), F.col("n_signatures").alias("na"), "part", "sig")
-    right = prefix.withColumn("to", F.explode(F.array(F.col("part"), F.col("part") - 1))).select(F.col("fingerprint").alias("b"), F.col("n_signatures").alias("nb"), F.col("to").alias("part"), "sig")
+    reach the threshold share one among the first n - ceil(threshold n) + 1 of each. Rows that meet carry a number for a set, not the
+    set; sets are joined to the pairs that are left. Copies are one fingerprint; null and empty texts have no signatures and no pairs."""
+    fps = store(fingerprints(docs).select("fingerprint", "n_signatures").filter("n_signatures > 0").distinct().withColumn("id", F.monotonically_increasing_id()))
+    sigs = F.expr("transform(sequence(0, cast(n_signatures as int) - 1), i -> cast(conv(substring(fingerprint, 1 + 8 * i, 8), 16, 10) as bigint))")
+    each = store(fps.select("id", F.col("n_signatures").cast("int").alias("n"), F.explode(sigs).alias("sig")))
+    rare = store(each.groupBy("sig").agg(F.count(F.lit(1)).alias("df")))
+    ordered = join_split(each, rare, ["sig"], "df").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "sig"))).alias("s"))
+    part = F.floor(F.log(F.col("n").cast("double")) / -F.log(F.lit(threshold)) + 1e-9).cast("int")
+    n = F.col("n")
+    prefix = store(ordered.select("id", "n", part.alias("part"), F.explode(F.slice("s", F.lit(1), (n - F.ceil(n * threshold - 1e-9) + 1).cast("int"))).alias("s")).select("id", "n", "part", "s.sig").filter("sig is not null"))
+    left = prefix.select(F.col("id").alias("a"), F.col("n").alias("na"), "part", "sig")
+    right = prefix.withColumn("to", F.explode(F.array(F.col("part"), F.col("part") - 1))).select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("to").alias("part"), "sig")
     longer = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
     pairs = left.join(right, ["part", "sig"]).filter(longer & (F.col("na") >= threshold * F.col("nb") - 1e-9)).select("a", "b").distinct()
+    own = lambda c: fps.select(F.col("id").alias(f"_{c}"), F.col("fingerprint").alias(f"{c}_set"))
+    met = pairs.join(own("a"), F.col("a") == F.col("_a")).join(own("b"), F.col("b") == F.col("_b")).select(F.col("a_set").alias("a"), F.col("b_set").alias("b"))
 
     def verify(batches):
         for batch in batches:
             a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
-            like = [jaccard(read(x), read(y)) for x, y in zip(a, b, strict=True)]
-            keep = [i for i, x in enumerate(like) if x >= threshold]
-            yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in keep], pa.string()), pa.array([b[i] for i in keep], pa.string()), pa.array([like[i] for i in keep], pa.float64())], names=["a", "b", "likeness"])
+            keep = [i for i, (x, y) in enumerate(zip(map(read, a), map(read, b), strict=True)) if alike(x, y, threshold)]
+            like = [jaccard(read(a[i]), read(b[i])) for i in keep]
+            yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in keep], pa.string()), pa.array([b[i] for i in keep], pa.string()), pa.array(like, pa.float64())], names=["a", "b", "likeness"])
 
-    return pairs.mapInArrow(verify, "a string, b string, likeness double")
+    return met.mapInArrow(verify, "a string, b string, likeness double")
 
 
 def with_next(docs: DataFrame) -> DataFrame:
@@ -161,13 +189,14 @@ def with_next(docs: DataFrame) -> DataFrame:
 def compare_edited(docs: DataFrame) -> DataFrame:
     """The rows of RESULT for every whole text, the text edited by the start of the next document's, and the next document.
 
-    A null text is an empty one. Among equal doc_ids the order is by text. A table of one row is its own next."""
+    A null text is an empty one. Among equal doc_ids the order is by text. A table of one row is its own next. alike_edited and
+    alike_next tell whether the pruned comparison makes them near copies; the likeness of these given pairs is exact whatever it is."""
 
     def row(doc_id: int | None, text: str, sig: np.ndarray, after: str, after_sig: np.ndarray) -> tuple:
         n = len(text)
         edited = text[: n - n // 4] + after[: n // 4]
         own = signatures(edited)
-        return (doc_id, n, hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), written(sig), written(own), jaccard(sig, own), jaccard(sig, after_sig), len(sig))
+        return (doc_id, n, hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), written(sig), written(own), jaccard(sig, own), jaccard(sig, after_sig), len(sig), length_part(len(sig)), alike(sig, own), alike(sig, after_sig))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, out = None, []
@@ -184,4 +213,4 @@ def compare_edited(docs: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), RESULT, strict=True)], schema=RESULT)
                     out = []
 
-    return with_next(docs).mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_signatures long")
+    return with_next(docs).mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_signatures long, length_part int, alike_edited boolean, alike_next boolean")
