@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tidelog.functions import scalar as S
 from tidelog.functions.sequence import with_previous, with_running_sum
-from tidelog.operators import accept, decode, filters, inspect, metrics, package, schema_store, segment
+from tidelog.operators import accept, continuity, decode, filters, inspect, metrics, package, schema_store, segment
 from tidelog.sources import binlog, config, sinks, topic_log
 
 
@@ -62,6 +62,47 @@ def test_state_table():
     assert segment.step("GTID", "PRE_STATEMENT") == ("DDL", False, True)
 
 
+def plain_groups(kinds):
+    """The state table, event by event: (group, attempt, ends, error)."""
+    state, group, attempt, out = "NONE", 1, 0, []
+    for kind in kinds:
+        state, error, _ = segment.step(state, kind)
+        ends = state == "NONE" and not error
+        out.append((group, attempt, ends, error))
+        group, attempt, state = group + ends, attempt + error, "NONE" if error else state
+    return out
+
+
+@pytest.mark.parametrize("rows", [7, 1000])
+def test_segments_of_any_log_in_many_ranges(spark, rows):
+    """Errors, statements in statement format, heartbeats, switches of files within transactions, at every border."""
+    rng = random.Random(rows)
+    say = {"GTID": (33, ""), "BEGIN_TRX": (2, "BEGIN"), "END_TRX": (16, ""), "END_XA_TRX": (2, "XA ROLLBACK 'a'"), "STATEMENT": (2, "INSERT INTO t VALUES (1)"), "PRE_STATEMENT": (5, ""), "IGNORE": (27, ""), "ERROR": (99, "")}
+    kinds = []
+    while len(kinds) < 300:
+        kinds += ["GTID", "BEGIN_TRX", "STATEMENT", "IGNORE", "END_TRX"] if rng.random() < 0.6 else [rng.choice(list(say))]
+    df = spark.createDataFrame([(i * 3, *say[k], 10) for i, k in enumerate(kinds)], "order_key long, event_type long, statement string, size long")
+    got = segment.segment(df, rows=rows).orderBy("order_key").collect()
+    want = plain_groups(kinds)
+    assert [(r.group_no, r.attempt, r.ends, r.error) for r in got] == want
+    ended = {w[:2] for w in want if w[2]}
+    assert segment.groups(segment.segment(df, rows=rows)).count() == len(ended)
+
+
+def test_statement_after_begin_is_no_schema_change(spark):
+    rows = [(33, ""), (2, "BEGIN"), (2, "INSERT INTO t VALUES (1)"), (16, ""), (27, ""), (26, ""), (33, ""), (2, "CREATE TABLE t (a INT)"), (33, ""), (2, "BEGIN"), (4, ""), (15, ""), (30, ""), (16, "")]
+    df = spark.createDataFrame([(i, t, q, 1) for i, (t, q) in enumerate(rows)], "order_key long, event_type long, statement string, size long")
+    got = sorted((r.first_key, r.n_events, r.is_ddl) for r in segment.groups(segment.segment(df)).collect())
+    assert got == [(0, 4, 0), (4, 1, 0), (5, 1, 0), (6, 2, 1), (8, 6, 0)]
+
+
+def test_restarts_are_exempt(spark):
+    """Several rows without an id after a restart, and the next transaction continues the log: no break."""
+    rows = [(1, "u:1", 1, 1, 4, 1, 100), (2, "", 2, 9, 0, 9, 4), (3, "", 2, 9, 4, 9, 120), (4, "u:2", 2, 1, 100, 1, 200), (5, "u:3", 2, 1, 201, 1, 300), (6, "", 3, 9, 4, 9, 50), (7, "", 4, 1, 300, 1, 310), (8, "", 4, 7, 4, 7, 9)]
+    df = spark.createDataFrame(rows, "trans_seq_no long, gtid string, epoch long, file_no long, position long, next_file_no long, next_position long")
+    assert [(r.trans_seq_no, r.prev_seq) for r in continuity.transaction_breaks(df, 2).orderBy("trans_seq_no").collect()] == [(5, 4), (8, 7)]
+
+
 def test_boundary_classes(spark):
     rows = [(2, "BEGIN", "BEGIN_TRX"), (2, "B", "STATEMENT"), (2, "XA START 'a'", "BEGIN_TRX"), (2, "rollback", "END_TRX"), (2, "ROLLBACK TO a", "STATEMENT"), (2, "xa rollback 'a'", "END_XA_TRX"), (2, "COMMIT", "END_TRX"), (38, "", "END_TRX"), (5, "", "PRE_STATEMENT"), (27, "", "IGNORE"), (99, "", "ERROR"), (24, "", "STATEMENT")]
     df = spark.createDataFrame(rows, "t long, s string, want string")
@@ -139,7 +180,11 @@ def test_scalar_functions(spark):
     assert one(S.same_text(F.lit("AbC"), F.lit("ABc"))) and not one(S.same_text(F.lit("ABd"), F.lit("ABC")))
     assert one(S.decode_bits(F.lit(b"\x01\x02"))) == 258 and one(S.write_bits(F.lit(5).cast("long"), 4)) == "b'0101'"
     assert [one(S.length_encoded_int(F.lit(b))) for b in (b"\x05", b"\xfc\x01\x02", b"\xfe" + struct.pack("<Q", 2**40))] == [5, 513, 2**40] and one(S.length_encoded_int(F.lit(b"\xfb"))) is None
-    assert one(S.djb_hash(F.lit("ab"))) == ((5381 * 33 + 97) * 33 + 98) % 2**32
+    for text in ("ab", "", "\u00e9\u4e2d x"):
+        h = 5381
+        for c in text.encode():
+            h = (h * 33 + c) % 2**32
+        assert one(S.djb_hash(F.lit(text))) == h
     assert one(S.is_ddl(F.lit(" create table x"))) and not one(S.is_ddl(F.lit("insert into x")))
 
 

@@ -44,9 +44,11 @@ def normalise_ddl(statement: Column) -> Column:
 
 
 def djb_hash(text: Column) -> Column:
-    """h * 33 + c from 5381, 32 bits, over the bytes of ASCII text."""
-    chars = F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.ascii(c).cast("long"))
-    return F.aggregate(chars, F.lit(5381).cast("long"), lambda h, c: (h * 33 + c) % 4294967296)
+    """h * 33 + c from 5381, 32 bits, over the UTF-8 bytes of a text."""
+    data = text.cast("binary")
+    places = F.when(F.length(data) > 0, F.sequence(F.lit(1), F.length(data))).otherwise(F.array().cast("array<int>"))
+    octets = F.transform(places, lambda i: F.conv(F.hex(F.call_function("substring", data, i, F.lit(1))), 16, 10).cast("long"))
+    return F.when(text.isNotNull(), F.aggregate(octets, F.lit(5381).cast("long"), lambda h, c: (h * 33 + c) % 4294967296))
 
 
 def decode_bits(data: Column) -> Column:

@@ -1,7 +1,8 @@
 """Windows over one global order that still run in many tasks.
 
-A plain window without a partition puts all rows into one task. Here the order is cut into ranges of a numeric
-key; each range is a partition, and what crosses a border goes through a table of one row a range.
+A plain window without a partition puts all rows into one task. Here the order is cut into ranges of a key that hold about
+equally many rows, whatever the key's values are; each range is a partition, and what crosses a border goes through a table of one
+row a range. The input is read more than once: hand over a stored table, or one that is cheap to derive.
 """
 
 from __future__ import annotations
@@ -9,17 +10,43 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Values of the order key in a range.
-WIDTH = 100_000
+#: Rows of a range, about; and ranges, at least as many as Spark's shuffle partitions.
+ROWS, FINEST = 1_000_000, 10_000
 
 
-def with_previous(df: DataFrame, key: str, values: dict[str, Column], width: int = WIDTH, by: list[str] | None = None) -> DataFrame:
+def ranges_of(df: DataFrame, key: str, rows: int = ROWS) -> list[int]:
+    """Borders of ranges of about equally many rows: quantiles of key, as many as the shuffle has partitions, or as rows asks for."""
+    n = df.count()
+    parts = min(FINEST, max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // rows)))
+    if n <= 1 or parts <= 1:
+        return []
+    found = df.select(F.percentile_approx(key, [i / parts for i in range(1, parts)], 10_000)).first()[0]
+    return sorted(set(found or []))
+
+
+def range_number(key: Column, borders: list[int]) -> Column:
+    """How many borders are at or below key, by two short searches: the borders are dealt into about as many lists as each is long."""
+    if not borders:
+        return F.lit(0)
+    each = max(1, int(len(borders) ** 0.5))
+    lists = [borders[i : i + each] for i in range(0, len(borders), each)]
+    below = lambda bs: F.size(F.filter(bs, lambda b: b <= key))
+    array = lambda bs: F.array(*[F.lit(int(b)).cast("long") for b in bs])
+    at = F.greatest(below(array([x[0] for x in lists])) - 1, F.lit(0))
+    return at * each + below(F.get(F.array(*[array(x) for x in lists]), at))
+
+
+def ranged(df: DataFrame, key: str, rows: int = ROWS, borders: list[int] | None = None) -> DataFrame:
+    return df.withColumn("_range", range_number(F.col(key), ranges_of(df, key, rows) if borders is None else borders))
+
+
+def with_previous(df: DataFrame, key: str, values: dict[str, Column], rows: int = ROWS, by: list[str] | None = None) -> DataFrame:
     """df and, by name, the values of the row before in the order of key (null for the first), within the columns `by`.
 
     Range borders: the last row of each range is taken by one aggregation, and a window over one row a range
     carries it to the next range that has rows."""
     by = by or []
-    df = df.withColumn("_range", F.floor(F.col(key) / width).cast("long"))
+    df = ranged(df, key, rows)
     own = Window.partitionBy(*by, "_range").orderBy(key)
     row = F.struct(*[v.alias(n) for n, v in values.items()])
     tails = df.groupBy(*by, "_range").agg(F.max_by(row, F.col(key)).alias("_tail"))
@@ -30,9 +57,9 @@ def with_previous(df: DataFrame, key: str, values: dict[str, Column], width: int
     return joined.withColumns({n: before[n] for n in values}).drop("_range", "_lag", "_first", "_before")
 
 
-def with_running_sum(df: DataFrame, key: str, value: Column, name: str, width: int = WIDTH) -> DataFrame:
+def with_running_sum(df: DataFrame, key: str, value: Column, name: str, rows: int = ROWS) -> DataFrame:
     """df and the sum of value up to and with the row, in the order of key."""
-    df = df.withColumn("_range", F.floor(F.col(key) / width).cast("long")).withColumn("_value", value)
+    df = ranged(df, key, rows).withColumn("_value", value)
     own = Window.partitionBy("_range").orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
     sums = df.groupBy("_range").agg(F.sum("_value").alias("_sum"))
     sums = sums.withColumn("_base", F.coalesce(F.sum("_sum").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_sum")

@@ -8,10 +8,13 @@ from __future__ import annotations
 from collections.abc import Iterable
 from dataclasses import dataclass, field
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalar import ROW_EVENTS_ALL
+from . import gtid
+
 
 @dataclass
 class Recovery:
@@ -65,8 +68,11 @@ class ConsumerV1:
     part: int = -1
     whole: bool = False
     buffer: list = field(default_factory=list)
+    merged: list = field(default_factory=list)
 
-    def accept(self, epoch: int, seq: int, part: int, flag: int) -> tuple[bool, bool]:
+    def accept(self, epoch: int, seq: int, part: int, flag: int, payload: object = None) -> tuple[bool, bool]:
+        """(accepted, offset may be saved); merged is what a whole transaction is made of, its parts' payloads in order."""
+        self.merged = [payload]
         if not self.transactional:
             return True, True
         if self.whole:
@@ -79,8 +85,10 @@ class ConsumerV1:
             self.buffer = []
         self.part = part
         if flag == 1:
-            self.buffer.append((epoch, seq, part))
+            self.buffer.append(payload)
+            self.merged = []
             return True, False
+        self.merged = [*self.buffer, payload]
         self.epoch, self.seq, self.part, self.whole, self.buffer = epoch, seq, -1, True, []
         return True, True
 
@@ -96,17 +104,32 @@ def fold(rows: Iterable[tuple[int, int, int, int]], rule) -> list[tuple[bool, bo
     return out
 
 
-def accept(pkg: DataFrame, rule: str = "recovery", **options) -> DataFrame:
-    """pkg (topic, part_no, offset, epoch, trans_seq_no, seq_no, split_flag) with accepted, can_save_offset. A topic
-    partition is one ordered fold; partitions run side by side."""
+COLUMNS = "topic string, part_no long, offset long, epoch long, trans_seq_no long, seq_no long, split_flag long, accepted boolean, can_save_offset boolean"
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("offset")
-        got = fold(zip(pdf.epoch.tolist(), pdf.trans_seq_no.tolist(), pdf.seq_no.tolist(), pdf.split_flag.tolist()), RULES[rule](**options))
-        return pdf.assign(accepted=[g[0] for g in got], can_save_offset=[g[1] for g in got])
 
-    own = pkg.select("topic", "part_no", "offset", "epoch", "trans_seq_no", "seq_no", "split_flag")
-    return own.groupBy("topic", "part_no").applyInPandas(run, "topic string, part_no long, offset long, epoch long, trans_seq_no long, seq_no long, split_flag long, accepted boolean, can_save_offset boolean")
+def accept(pkg: DataFrame, rule: str = "recovery", **options) -> DataFrame:
+    """pkg (topic, part_no, offset, epoch, trans_seq_no, seq_no, split_flag) with accepted, can_save_offset.
+
+    The rules are folds over a topic partition in the order of offsets: topic partitions run side by side, each as a stream of
+    sorted batches with a state of a few numbers, so that no task holds a partition in memory."""
+    types = [pa.string(), *[pa.int64()] * 6, pa.bool_(), pa.bool_()]
+    names = [c.split()[0] for c in COLUMNS.split(", ")]
+
+    def run(batches):
+        own, state = None, RULES[rule](**options)
+        for b in batches:
+            cols = [b.column(n).to_pylist() for n in names[:7]]
+            took, saves = [], []
+            for topic, part, _, epoch, seq, no, flag in zip(*cols, strict=True):
+                if (topic, part) != own:
+                    own, state = (topic, part), RULES[rule](**options)
+                got = state.accept(epoch, seq, no, flag)
+                took.append(got[0] if isinstance(got, tuple) else got)
+                saves.append(got[1] if isinstance(got, tuple) else got and flag != 1)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip([*cols, took, saves], types, strict=True)], names=names)
+
+    own = pkg.select("topic", F.col("part_no").cast("long").alias("part_no"), "offset", "epoch", "trans_seq_no", "seq_no", "split_flag")
+    return own.repartition("topic", "part_no").sortWithinPartitions("topic", "part_no", "offset").mapInArrow(run, COLUMNS)
 
 
 def first_occurrences(pkg: DataFrame) -> DataFrame:
@@ -121,6 +144,38 @@ def checkpoint(pkg: DataFrame) -> DataFrame:
     return pkg.groupBy("topic", "part_no").agg(F.max(F.when(done, F.col("trans_seq_no"))).alias("seq_no"), F.max(F.when(done, F.col("offset"))).alias("offset"), F.max("epoch").alias("epoch"))
 
 
+def checkpoint_set(pkg: DataFrame, before: DataFrame | None = None) -> DataFrame:
+    """The ids that are executed after these packages, as text: set_id 0, gtid_text. Only whole and last parts add theirs; before is the
+    set of the state that reading began from, as intervals."""
+    ids = gtid.parse(pkg.filter("split_flag <> 1 and gtid <> ''").select(F.lit(0).cast("long").alias("set_id"), F.col("gtid").alias("gtid_text")))
+    return gtid.to_text(gtid.merge(ids) if before is None else gtid.add(before, ids))
+
+
+def bootstrap(state: dict[str, str]) -> dict[str, object]:
+    """Where a run begins. A state of flag 1 is a snapshot's: the topic is not read, numbering starts anew after its seq_no, and events
+    follow its id set. Any other state goes on after its offset. Each run has an epoch of its own, one above the state's."""
+    first = state.get("flag") == "1"
+    return {"read_topic": not first, "offset": None if first else int(state["offset"]) + 1, "gtid": state.get("gtid", ""), "seq_no": int(state.get("seq_no") or 0), "epoch": int(state.get("epoch") or 0) + 1}
+
+
+def due(changes: DataFrame, interval: int) -> DataFrame:
+    """Which states are saved: of states (at ms, offset, ...) the last one before each tick of interval ms, if it is new since the tick before."""
+    tick = F.floor(F.col("at") / interval)
+    cols = [c for c in changes.columns if c != "at"]
+    last = changes.withColumn("tick", tick).groupBy("tick").agg(F.max_by(F.struct("at", *cols), F.struct("at", "offset")).alias("s")).select(((F.col("tick") + 1) * interval).alias("saved_at"), "s.*")
+    was = F.lag("offset").over(Window.orderBy("saved_at"))  # one row a tick
+    return last.withColumn("_was", was).filter(F.col("_was").isNull() | (F.col("_was") != F.col("offset"))).drop("_was")
+
+
+def may_run(ddl: DataFrame, acked: DataFrame) -> DataFrame:
+    """Schema changes with waits_for, the number of the last data transaction before, and ready, whether it and all before are acknowledged:
+    ddl (trans_seq_no), acked (trans_seq_no of acknowledged transactions). The acknowledged prefix ends before the first number that is missing."""
+    seqs = acked.select("trans_seq_no").distinct()
+    first = acked.agg(F.min("trans_seq_no").alias("trans_seq_no"))
+    gap = seqs.select((F.col("trans_seq_no") + 1).alias("trans_seq_no")).join(seqs, "trans_seq_no", "left_anti").agg(F.min("trans_seq_no").alias("_gap"))
+    return ddl.withColumn("waits_for", F.col("trans_seq_no") - 1).join(F.broadcast(gap.crossJoin(first.select(F.col("trans_seq_no").alias("_first"))))).withColumn("ready", F.col("waits_for") < F.greatest("_gap", "_first")).drop("_gap", "_first")  # one row is broadcast
+
+
 def recovery_start(state: DataFrame, old_broker: bool = False, batch: int = 0) -> DataFrame:
     """Where reading begins again: after the saved offset, or a batch before it for old brokers, 0 at least."""
     at = F.greatest(F.col("offset") - batch, F.lit(0)) if old_broker else F.col("offset") + 1
@@ -136,3 +191,45 @@ def token_bucket(rows: Iterable[tuple[int, int]], rate: int, cap_seconds: int =
         tokens, last = tokens - size + wait * rate / 1000, at + wait
         out.append(round(wait))
     return out
+
+
+def switched(old: ConsumerV0 | ConsumerV1, version: int) -> ConsumerV0 | ConsumerV1:
+    """The state when a topic's messages change their version: down to 0 the epoch and number are carried over and the buffer is dropped; up to 1 all
+    starts anew. The same version keeps its state."""
+    if version == (1 if isinstance(old, ConsumerV1) else 0):
+        return old
+    if version == 0:
+        return ConsumerV0(old.transactional, old.epoch, old.seq)
+    return ConsumerV1(old.transactional)
+
+
+def consume(pkg: DataFrame, transactional: bool = True) -> DataFrame:
+    """What a consumer hands on: one row a converted transaction, trans_seq_no, epoch, offset, n_events, n_rows, can_save_offset.
+
+    pkg: topic, part_no, offset, epoch, trans_seq_no, seq_no, split_flag, version and events, an array of (ev_idx, event_type, n_rows). Parts
+    of a split are buffered and merged in order; only data events with rows are left, and a transaction without any gives none. Versions
+    switch by switched(). A task streams through its topic partitions and holds one transaction's events."""
+    schema = "topic string, part_no long, offset long, epoch long, trans_seq_no long, n_events long, n_rows long, can_save_offset boolean"
+
+    def run(batches):
+        own, state = None, None
+        for b in batches:
+            out = []
+            for r in b.to_pylist():
+                if (r["topic"], r["part_no"]) != own:
+                    own = (r["topic"], r["part_no"])
+                    state = ConsumerV1(transactional) if r["version"] else ConsumerV0(transactional)
+                elif isinstance(state, ConsumerV1) != bool(r["version"]):
+                    state = switched(state, r["version"])
+                v1 = isinstance(state, ConsumerV1)
+                took, save = state.accept(r["epoch"], r["trans_seq_no"], r["seq_no"], r["split_flag"], *([r["events"]] if v1 else []))
+                if took:
+                    kept = [e for part in (state.merged if v1 else [r["events"]]) for e in part or [] if e["event_type"] in ROW_EVENTS_ALL and e["n_rows"] > 0]
+                    if kept:
+                        out.append((*own, r["offset"], r["epoch"], r["trans_seq_no"], len({e["ev_idx"] for e in kept}), sum(e["n_rows"] for e in kept), save))
+            cols = list(zip(*out, strict=True)) if out else [[]] * 8
+            types = [pa.string(), *[pa.int64()] * 6, pa.bool_()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=[c.split()[0] for c in schema.split(", ")])
+
+    cols = pkg.select("topic", "part_no", "offset", "epoch", "trans_seq_no", "seq_no", "split_flag", "version", "events")
+    return cols.repartition("topic", "part_no").sortWithinPartitions("topic", "part_no", "offset").mapInArrow(run, schema)

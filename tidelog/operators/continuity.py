@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.sequence import WIDTH, with_previous
+from ..functions.sequence import ROWS, with_previous
+from ..functions.stored import stored
 
 
 def summaries(ev: DataFrame) -> DataFrame:
@@ -26,12 +27,31 @@ def event_breaks(ev: DataFrame) -> DataFrame:
     return n.filter((F.col("after_file") == F.col("file_no")) & (F.col("after") != F.col("next_position"))).select("trans_seq_no", "ev_idx", "next_position", "after")
 
 
-def transaction_breaks(trx: DataFrame, width: int = WIDTH) -> DataFrame:
-    """Transactions that do not start where the one before ended. One after a restart (epoch grew, no gtid) is exempt and
-    is no predecessor either."""
-    t = with_previous(trx, "trans_seq_no", {"prev_epoch": F.col("epoch")}, width)
-    t = t.filter(~(F.col("prev_epoch").isNotNull() & (F.col("epoch") > F.col("prev_epoch")) & (F.col("gtid") == "")))
-    t = with_previous(t, "trans_seq_no", {"prev_seq": F.col("trans_seq_no"), "prev_file_no": F.col("next_file_no"), "prev_position": F.col("next_position")}, width)
+def transaction_breaks(trx: DataFrame, rows: int = ROWS) -> DataFrame:
+    """Transactions that do not start where the one before ended: trans_seq_no, gtid, file_no, position, prev_seq, prev_file_no, prev_position.
+
+    After a restart (the epoch grew) those without a gtid that are not continuous are exempt, and are no predecessors: the next is
+    compared with the same predecessor as they are. trx is in the order of trans_seq_no, and epochs do not fall in it.
+
+    No fold over the log is needed. Of an epoch, only the rows before its first taken one can be exempt, all against the last
+    row taken in epochs before; the first taken row is the first that has a gtid or continues that one, and from there on each row's
+    predecessor is the row before. So only epochs depend on each other, and there is one row for each of them. trx is read several times:
+    hand over a stored table."""
+    seq, known = F.col("trans_seq_no"), F.coalesce(F.col("gtid"), F.lit("")) != ""
+    end = F.struct("trans_seq_no", F.col("next_file_no").alias("file_no"), F.col("next_position").alias("position"))
+    epochs = stored(trx.groupBy("epoch").agg(F.max_by(end, seq).alias("tail"), F.max(known).alias("sure")))
+    ends = epochs.select(F.col("epoch").alias("before"), "tail.file_no", "tail.position")
+    meets = trx.join(epochs.filter(~F.col("sure")).select("epoch"), "epoch", "left_semi").join(ends, ["file_no", "position"]).filter("before < epoch")
+    meets = meets.groupBy("epoch").agg(F.collect_set("before").alias("meets"))
+    last, rows_of_epochs = None, []
+    for r in epochs.join(meets, "epoch", "left").orderBy("epoch").collect():  # a row for each restart
+        rows_of_epochs.append((r["epoch"], *((None, None) if last is None else (last["tail"]["file_no"], last["tail"]["position"]))))
+        if last is None or r["sure"] or last["epoch"] in (r["meets"] or []):
+            last = r
+    before = trx.sparkSession.createDataFrame(rows_of_epochs, "epoch long, end_file long, end_position long")
+    taken = known | F.col("end_file").isNull() | (F.col("file_no") == F.col("end_file")) & (F.col("position") == F.col("end_position"))
+    starts = trx.join(before, "epoch").filter(taken).groupBy("epoch").agg(F.min(seq).alias("from_seq"))
+    t = with_previous(stored(trx.join(starts, "epoch").filter("trans_seq_no >= from_seq").drop("from_seq")), "trans_seq_no", {"prev_seq": seq, "prev_file_no": F.col("next_file_no"), "prev_position": F.col("next_position")}, rows)
     return t.filter("prev_seq is not null and (file_no <> prev_file_no or position <> prev_position)").select("trans_seq_no", "gtid", "file_no", "position", "prev_seq", "prev_file_no", "prev_position")
 
 
@@ -40,9 +60,9 @@ def broken_counts(events: DataFrame, transactions: DataFrame) -> DataFrame:
     return events.select(F.lit("event").alias("error")).unionAll(transactions.select(F.lit("transaction").alias("error"))).groupBy("error").agg(F.count(F.lit(1)).alias("broken_count"))
 
 
-def offset_ranges(packages: DataFrame, width: int = WIDTH) -> DataFrame:
+def offset_ranges(packages: DataFrame, rows: int = ROWS) -> DataFrame:
     """begin_offset of each package: one after the end of the last, so that skipped messages count for the next."""
-    p = with_previous(packages, "end_offset", {"last_end": F.col("end_offset")}, width)
+    p = with_previous(packages, "end_offset", {"last_end": F.col("end_offset")}, rows)
     return p.withColumn("begin_offset", F.coalesce(F.col("last_end") + 1, F.col("end_offset"))).drop("last_end")
 
 
@@ -56,6 +76,21 @@ def report(breaks: DataFrame) -> DataFrame:
     return breaks.select("trans_seq_no", F.to_json(F.struct("gtid", text("position"), text("prev_position"), F.col("trans_seq_no").cast("string").alias("trans_seqno"))).alias("report"))
 
 
+def full_report(breaks: DataFrame, events: DataFrame, packages: DataFrame) -> DataFrame:
+    """One JSON text for all: broken_count, start_offset and stop_offset of the packages read, trans_miss (both sides of each break) and
+    event_miss; numbers as strings. packages: trans_seq_no, gtid, epoch, begin_offset, end_offset.
+
+    Breaks are few in a log worth reporting on; their list is one row by the form of the report."""
+    text = lambda c: F.col(c).cast("string")
+    own = packages.select(F.col("trans_seq_no").alias("_seq"), F.struct(F.col("gtid").alias("GTID"), text("begin_offset").alias("begin_offset"), text("end_offset").alias("end_offset"), text("epoch").alias("epoch"), text("trans_seq_no").alias("trans_seqno")).alias("pkg"))
+    both = breaks.select("trans_seq_no", "prev_seq").join(own.select(F.col("_seq").alias("prev_seq"), F.col("pkg").alias("pre")), "prev_seq").join(own.select(F.col("_seq").alias("trans_seq_no"), F.col("pkg").alias("next")), "trans_seq_no")
+    missed = events.select("trans_seq_no").distinct().join(own, F.col("trans_seq_no") == F.col("_seq"))
+    lists = both.agg(F.sort_array(F.collect_list(F.struct("trans_seq_no", "pre", "next"))).alias("t")).crossJoin(missed.agg(F.sort_array(F.collect_list(F.struct("trans_seq_no", "pkg"))).alias("e"))).crossJoin(packages.agg(F.min("begin_offset").alias("start"), F.max("end_offset").alias("stop")))  # one row each
+    trans = F.transform("t", lambda x: F.struct(x["pre"].alias("pre"), x["next"].alias("next")))
+    whole = F.struct((F.size("t") + F.size("e")).cast("string").alias("broken_count"), text("start").alias("start_offset"), text("stop").alias("stop_offset"), trans.alias("trans_miss"), F.transform("e", lambda x: x["pkg"]).alias("event_miss"))
+    return lists.select(F.to_json(whole).alias("report"))
+
+
 def csv_lines(ev: DataFrame) -> DataFrame:
     """One line a transaction: gtid, then four fields for each event."""
     e = F.concat_ws(",", "event_type", "database_name", "table_name", "position")

@@ -14,12 +14,26 @@ def parse(sets: DataFrame) -> DataFrame:
     return each.select("set_id", "uuid", lo.alias("lo"), hi.alias("hi"))
 
 
-def merge(intervals: DataFrame) -> DataFrame:
-    """The same sets with touching and overlapping intervals joined."""
-    w = Window.partitionBy("set_id", "uuid").orderBy("lo", "hi")
+#: Numbers of a range within which intervals are joined first, so that one uuid with many of them is many tasks.
+SPAN = 1 << 20
+
+
+def islands(intervals: DataFrame, *by: str) -> DataFrame:
+    w = Window.partitionBy("set_id", "uuid", *by).orderBy("lo", "hi")
     far = F.max("hi").over(w.rowsBetween(Window.unboundedPreceding, -1))
     marked = intervals.withColumn("start", F.when(far.isNull() | (F.col("lo") > far + 1), 1).otherwise(0)).withColumn("island", F.sum("start").over(w))
-    return marked.groupBy("set_id", "uuid", "island").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).drop("island")
+    return marked.groupBy("set_id", "uuid", *by, "island").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).drop("island")
+
+
+def merge(intervals: DataFrame) -> DataFrame:
+    """The same sets with touching and overlapping intervals joined: within ranges of SPAN numbers first, then what is left of each range."""
+    near = islands(intervals.withColumn("_span", F.floor(F.col("lo") / SPAN)), "_span").drop("_span")
+    return islands(near)
+
+
+def add(sets: DataFrame, more: DataFrame) -> DataFrame:
+    """Sets and single ids, or other sets, of the same set_id as one."""
+    return merge(sets.select("set_id", "uuid", "lo", "hi").unionByName(more.select("set_id", "uuid", "lo", "hi")))
 
 
 def to_text(intervals: DataFrame) -> DataFrame:
@@ -30,10 +44,14 @@ def to_text(intervals: DataFrame) -> DataFrame:
 
 
 def contains(outer: DataFrame, inner: DataFrame) -> DataFrame:
-    """set_id, contained for each set of inner: whether the merged set of outer (one set) holds all of it."""
-    o = merge(outer.withColumn("set_id", F.lit(0))).select("uuid", F.col("lo").alias("olo"), F.col("hi").alias("ohi"))
-    j = merge(inner).join(o, "uuid", "left").withColumn("inside", F.coalesce((F.col("lo") >= F.col("olo")) & (F.col("hi") <= F.col("ohi")), F.lit(False)))
-    return j.groupBy("set_id", "uuid", "lo", "hi").agg(F.max("inside").alias("inside")).groupBy("set_id").agg(F.min("inside").alias("contained"))
+    """set_id, contained for each set of inner: whether the merged set of outer (one set) holds all of it.
+
+    One sweep in the order of numbers: of merged intervals only the last outer one that starts at or before an inner one can hold it."""
+    o = merge(outer.withColumn("set_id", F.lit(0))).select("uuid", F.lit(None).cast("long").alias("set_id"), "lo", "hi", F.lit(0).alias("side"))
+    both = o.unionByName(merge(inner).select("uuid", F.col("set_id").cast("long").alias("set_id"), "lo", "hi", F.lit(1).alias("side")))
+    w = Window.partitionBy("uuid").orderBy("lo", "side").rowsBetween(Window.unboundedPreceding, 0)
+    reach = F.max(F.when(F.col("side") == 0, F.col("hi"))).over(w)
+    return both.withColumn("reach", reach).filter("side = 1").groupBy("set_id").agg(F.min(F.coalesce(F.col("hi") <= F.col("reach"), F.lit(False))).alias("contained"))
 
 
 def subtract(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -50,5 +68,27 @@ def subtract(left: DataFrame, right: DataFrame) -> DataFrame:
 
 
 def split_id(gtid):
-    """uuid and number of one id."""
-    return F.substring_index(gtid, ":", 1), F.substring_index(gtid, ":", -1).cast("long")
+    """uuid and number of one id; an id domain-server-number, which has no colon, has the server as its uuid."""
+    colon = F.instr(gtid, ":") > 0
+    server = F.regexp_extract(gtid, r"^[^-]*-([^-]*)-", 1)
+    return F.when(colon, F.substring_index(gtid, ":", 1)).otherwise(server), F.when(colon, F.substring_index(gtid, ":", -1)).otherwise(F.substring_index(gtid, "-", -1)).try_cast("long")
+
+
+def binary(intervals: DataFrame) -> DataFrame:
+    """set_id, data: the form on the wire, little-endian 64-bit numbers: how many uuids, and for each its 16 bytes, how many intervals, and
+    each with its end exclusive. intervals are merged."""
+    def number(c):
+        return F.unhex(F.concat(*[F.substring(F.lpad(F.hex(c), 16, "0"), i, 2) for i in range(15, 0, -2)]))
+
+    span = F.concat(number(F.col("lo")), number(F.col("hi") + 1))
+    u = intervals.groupBy("set_id", "uuid").agg(F.sort_array(F.collect_list(F.struct("lo", span.alias("b")))).alias("s"))
+    one = F.concat(F.unhex(F.replace("uuid", F.lit("-"), F.lit(""))), number(F.size("s").cast("long")), F.aggregate("s", F.lit(b""), lambda acc, x: F.concat(acc, x["b"])))
+    sets = u.select("set_id", "uuid", one.alias("b")).groupBy("set_id").agg(F.sort_array(F.collect_list(F.struct("uuid", "b"))).alias("u"))
+    return sets.select("set_id", F.concat(number(F.size("u").cast("long")), F.aggregate("u", F.lit(b""), lambda acc, x: F.concat(acc, x["b"]))).alias("data"))
+
+
+def at_boundary(trx: DataFrame) -> DataFrame:
+    """The set that is committed after each transaction ends, as (set_id = 0) intervals of all ids up to it: only the last one's is kept,
+    as a log that is read in order needs no others. trx: gtid of ended transactions; empty ids add nothing."""
+    uuid, n = split_id(F.col("gtid"))
+    return merge(trx.filter("gtid <> ''").select(F.lit(0).cast("long").alias("set_id"), uuid.alias("uuid"), n.alias("lo"), n.alias("hi")))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.stored import stored
+
 
 def counter(samples: DataFrame) -> DataFrame:
     """Total up to each tick, by metric."""
@@ -41,21 +43,33 @@ def json_lines(samples: DataFrame) -> DataFrame:
 
 
 def replica_gate(trx: DataFrame, polls: DataFrame, timeout: int) -> DataFrame:
-    """trans_seq_no, released_at: when each healthy replica has executed it, or the timeout.
-
-    Progress of a replica only grows, so that the first poll that covers a number is a search per
-    replica: polls become intervals of numbers, and each transaction joins one interval a replica on its bucket of numbers."""
-    w = Window.partitionBy("server_id").orderBy("poll_ts", "executed_to")
-    p = polls.filter("healthy").withColumn("before", F.coalesce(F.max("executed_to").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).filter("executed_to > before")
-    bucket = 1000
-    p = p.withColumn("b", F.explode(F.sequence(F.floor((F.col("before") + 1) / bucket), F.floor(F.col("executed_to") / bucket))))
-    servers = polls.filter("healthy").select("server_id").distinct()
-    n = servers.agg(F.count(F.lit(1)).alias("n_servers"))
-    t = trx.withColumn("b", F.floor(F.col("trans_seq_no") / bucket))
-    seen = t.join(p, "b").filter("trans_seq_no > before and trans_seq_no <= executed_to").groupBy("trans_seq_no").agg(F.count(F.lit(1)).alias("covered"), F.max("poll_ts").alias("last_poll"))
-    j = trx.join(seen, "trans_seq_no", "left").join(F.broadcast(n))  # one row is broadcast
-    done = F.when(F.col("n_servers") == 0, F.col("ts")).when(F.coalesce("covered", F.lit(0)) == F.col("n_servers"), F.least(F.greatest("last_poll", "ts"), F.col("ts") + timeout)).otherwise(F.col("ts") + timeout)
-    return j.select("trans_seq_no", done.alias("released_at"))
+    """trans_seq_no, released_at: when each replica that was healthy at the commit (trx: trans_seq_no, ts) has executed the transaction or has
+    turned unhealthy, at most timeout later; at once if none was healthy. polls: server_id, poll_id, poll_ts, healthy, executed_to.
+
+    A replica's health at a commit is that of its last poll at or before it. Both lookups are joins on spans: of time, where a poll is dealt to
+    the spans until the next poll of its replica, and of numbers, where a poll that raises what is executed is dealt to the spans it
+    covers anew. Spans are as many as the polls need, so that pairs that meet are about one a transaction and replica."""
+    w = Window.partitionBy("server_id").orderBy("poll_ts", "poll_id")
+    onward = w.rowsBetween(1, Window.unboundedFollowing)
+    p = stored(polls.withColumns({"until": F.lead("poll_ts").over(w), "unhealthy_at": F.min(F.when(~F.col("healthy"), F.col("poll_ts"))).over(onward)}))
+    covers = polls.filter("healthy").withColumn("before", F.coalesce(F.max("executed_to").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).filter("executed_to > before")
+    trx = stored(trx)
+    (t0, t1, s0, s1), n = trx.agg(F.min("ts"), F.max("ts"), F.min("trans_seq_no"), F.max("trans_seq_no")).first(), polls.count()
+    if t0 is None:
+        return trx.select("trans_seq_no", F.col("ts").alias("released_at"))
+    by_time, by_seq = max(1, (t1 - t0 + 1) // max(1, n)), max(1, (s1 - s0 + 1) // max(1, n))
+    at = p.filter((F.col("poll_ts") <= t1) & F.coalesce(F.col("until") > t0, F.lit(True))).withColumn("_last", F.least(F.coalesce("until", F.lit(t1)), F.lit(t1)))
+    at = at.withColumn("_span", F.explode(F.sequence(F.floor((F.greatest("poll_ts", F.lit(t0)) - t0) / by_time), F.floor((F.greatest("_last", F.lit(t0)) - t0) / by_time))))
+    own = trx.withColumn("_span", F.floor((F.col("ts") - t0) / by_time))
+    waits = own.join(at, "_span").filter("healthy and poll_ts <= ts and (until is null or ts < until)").select("trans_seq_no", "ts", "server_id", "unhealthy_at")
+    c = covers.filter((F.col("executed_to") >= s0) & (F.col("before") < s1)).withColumn("_span", F.explode(F.sequence(F.floor((F.greatest(F.col("before") + 1, F.lit(s0)) - s0) / by_seq), F.floor((F.least("executed_to", F.lit(s1)) - s0) / by_seq))))
+    seen = waits.withColumn("_span", F.floor((F.col("trans_seq_no") - s0) / by_seq)).join(c.select("_span", "before", "executed_to", F.col("server_id").alias("_server"), F.col("poll_ts").alias("seen_at")), "_span")
+    seen = seen.filter("server_id = _server and trans_seq_no > before and trans_seq_no <= executed_to").select("trans_seq_no", "server_id", "seen_at")
+    j = waits.join(seen, ["trans_seq_no", "server_id"], "left")
+    end = F.col("ts") + timeout
+    done = F.least(F.greatest(F.coalesce(F.least("seen_at", "unhealthy_at"), end), F.col("ts")), end)
+    released = j.groupBy("trans_seq_no").agg(F.max(done).alias("released_at"))
+    return trx.join(released, "trans_seq_no", "left").select("trans_seq_no", F.coalesce("released_at", "ts").alias("released_at"))
 
 
 def reconcile(old: DataFrame, new: DataFrame) -> DataFrame:

@@ -5,18 +5,40 @@ Sizes follow a stated model: HEADER bytes and the sum of the sizes of what is ca
 
 from __future__ import annotations
 
+from itertools import accumulate
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.sequence import WIDTH, with_previous, with_running_sum
+from ..functions.sequence import ROWS, with_previous, with_running_sum
+from ..functions.stored import stored
+from .gtid import merge, parse, to_text
 
 HEADER = 64
 
 
+DDL_TEXT = r"(?i)^\s*(#.*\n)?(create|alter|drop|rename|truncate)"
+
+
+def useful(ev: DataFrame) -> DataFrame:
+    """ev with useful: whether its transaction has a data event with rows, or a schema change."""
+    one = F.col("event_type").isin(30, 31, 32) & (F.col("n_rows") > 0) | F.col("statement").rlike(DDL_TEXT)
+    return ev.withColumn("useful", F.max(F.when(one, 1).otherwise(0)).over(Window.partitionBy("trans_seq_no")) == 1)
+
+
 def clean(ev: DataFrame) -> DataFrame:
-    """Transactions without a data event that has rows and without a schema change lose all their events."""
-    useful = F.max(F.when(F.col("event_type").isin(30, 31, 32) & (F.col("n_rows") > 0) | (F.col("statement").rlike(r"(?i)^\s*(#.*\n)?(create|alter|drop|rename|truncate)")), 1).otherwise(0)).over(Window.partitionBy("trans_seq_no"))
-    return ev.withColumn("_useful", useful).filter("_useful = 1").drop("_useful")
+    """The events that stay: transactions without a data event that has rows and without a schema change lose all of theirs.
+    The transactions themselves stay, as shells: see shells()."""
+    return useful(ev).filter("useful").drop("useful")
+
+
+def shells(trx: DataFrame, ev: DataFrame) -> DataFrame:
+    """Summaries of all transactions after clean(): one that lost its events keeps its place and id, with no events, rows and bytes."""
+    one = F.max(F.when(F.col("event_type").isin(30, 31, 32) & (F.col("n_rows") > 0) | F.col("statement").rlike(DDL_TEXT), 1).otherwise(0))
+    kept = ev.groupBy("trans_seq_no").agg(one.alias("_useful"))
+    j = trx.join(kept, "trans_seq_no", "left")
+    return j.withColumns({c: F.when(F.col("_useful") == 1, F.col(c)).otherwise(0).cast("long") for c in ("n_events", "n_rows", "bytes")}).drop("_useful")
 
 
 def shrink(trx: DataFrame, limit: int) -> DataFrame:
@@ -49,6 +71,63 @@ def split_rows(items: DataFrame, limit: int, row_size: int) -> DataFrame:
     return out.select("trans_seq_no", F.col("seq_no").cast("long").alias("seq_no"), "p.lo", "p.hi", flag.cast("long").alias("split_flag"))
 
 
+def split_transactions(ev: DataFrame, limit: int) -> DataFrame:
+    """Bisect transactions until each part fits: ev (trans_seq_no, ev_idx, base_size, row_sizes) becomes trans_seq_no, seq_no, split_flag,
+    ev_idx, lo, hi (rows from 0, hi exclusive), part_bytes, cleared, a row for each event of each part.
+
+    A part is HEADER bytes, and base_size and the sizes of its rows for each event. One that is too large is halved: by events, the first
+    n / 2 rounded down and the rest; if it is one event, by rows in the same way, the event going into both halves. A single row that is too large is
+    cleared: the event goes on without rows. An event that is too large without rows goes as it is. A work list in order of parts, in Python: a task
+    holds the sizes of one batch of transactions, never their rows."""
+    own = ev.groupBy("trans_seq_no").agg(F.sort_array(F.collect_list(F.struct("ev_idx", "base_size", "row_sizes"))).alias("e"))
+    schema = "trans_seq_no long, seq_no long, split_flag long, ev_idx long, lo long, hi long, part_bytes long, cleared boolean"
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for seq, events in zip(b.column("trans_seq_no").to_pylist(), b.column("e").to_pylist(), strict=True):
+                parts = split_parts([(x["ev_idx"], x["base_size"], x["row_sizes"] or []) for x in events], limit)
+                for n, (part, size, cleared) in enumerate(parts):
+                    flag = 0 if len(parts) == 1 else 2 if n == len(parts) - 1 else 1
+                    out += [(seq, n, flag, i, lo, hi, size, cleared) for i, lo, hi in part]
+            cols = list(zip(*out, strict=True)) if out else [[]] * 8
+            types = [pa.int64()] * 7 + [pa.bool_()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["trans_seq_no", "seq_no", "split_flag", "ev_idx", "lo", "hi", "part_bytes", "cleared"])
+
+    return own.mapInArrow(run, schema)
+
+
+def split_parts(events: list[tuple[int, int, list[int]]], limit: int) -> list[tuple[list[tuple[int, int, int]], int, bool]]:
+    """Parts of (event, base size, row sizes) in order, each ([(event, lo, hi)], bytes, cleared)."""
+    known = {i: (base, [0, *accumulate(sizes)]) for i, base, sizes in events}
+    work, done = [([(i, 0, len(sizes)) for i, _, sizes in events], False)], []
+    while work:
+        part, cleared = work.pop()
+        size = HEADER + sum(known[i][0] + known[i][1][hi] - known[i][1][lo] for i, lo, hi in part)
+        if size <= limit or len(part) == 0:
+            done.append((part, size, cleared))
+        elif len(part) > 1:
+            half = len(part) // 2
+            work += [(part[half:], cleared), (part[:half], cleared)]
+        else:
+            (i, lo, hi) = part[0]
+            if hi - lo > 1:
+                half = lo + (hi - lo) // 2
+                work += [([(i, half, hi)], cleared), ([(i, lo, half)], cleared)]
+            elif hi - lo == 1:
+                work.append(([(i, lo, lo)], True))
+            else:
+                done.append((part, size, cleared))
+    return done
+
+
+def merged_events(parts: DataFrame) -> DataFrame:
+    """The events of whole transactions from the parts of split_transactions(): trans_seq_no, ev_idx, n_rows, n_parts. An event that was split by
+    rows is one again, and incomplete transactions give none."""
+    per = parts.groupBy("trans_seq_no").agg(F.count_distinct("seq_no").alias("n_parts"), F.max("seq_no").alias("last"), F.max((F.col("split_flag") != 1).cast("int")).alias("ended")).filter("ended = 1 and n_parts = last + 1")
+    return parts.join(per.select("trans_seq_no", "n_parts"), "trans_seq_no").groupBy("trans_seq_no", "ev_idx", "n_parts").agg(F.sum(F.col("hi") - F.col("lo")).alias("n_rows"))
+
+
 def reassemble(parts: DataFrame) -> DataFrame:
     """Whole transactions from their parts: complete only if parts run from 0 without a gap to one flagged 0 or 2."""
     g = parts.groupBy("epoch", "trans_seq_no").agg(F.count_distinct("seq_no").alias("n_parts"), F.max("seq_no").alias("last"), F.max(F.when(F.col("split_flag") != 1, 1).otherwise(0)).alias("ended"), F.sum("n_rows").alias("n_rows"))
@@ -73,13 +152,30 @@ def envelope(pkg: DataFrame) -> DataFrame:
     return pkg.select(message_id().alias("message_id"), package_key().alias("key"), F.to_json(inner).alias("payload"))
 
 
-def merge_empty(trx: DataFrame, width: int = WIDTH) -> DataFrame:
-    """Runs of empty transactions, each starting where the one before ended, become one: its first seq, last end, first and last gtid number."""
-    p = with_previous(trx, "trans_seq_no", {"was_empty": F.col("n_events") == 0, "end_file": F.col("next_file_no"), "end_pos": F.col("next_position")}, width)
+def merge_empty(trx: DataFrame, batch: int | None = None, rows: int = ROWS) -> DataFrame:
+    """Runs of empty transactions, each starting where the one before ended, become one: the number of its first, the place of its first, the
+    end (file and position) of its last, and all their ids as one set, gtid_text. Transactions with events stay alone, with their id.
+
+    batch: transactions a sink takes at a time, counted in the order of trans_seq_no; a run does not go on in the next batch."""
+    trx = stored(trx)
+    values = {"was_empty": F.col("n_events") == 0, "end_file": F.col("next_file_no"), "end_pos": F.col("next_position")}
+    if batch:
+        trx = stored(with_running_sum(trx, "trans_seq_no", F.lit(1).cast("long"), "_place", rows).withColumn("_batch", F.floor((F.col("_place") - 1) / batch)).drop("_place"))
+        values["was_batch"] = F.col("_batch")
+    p = stored(with_previous(trx, "trans_seq_no", values, rows))
     joined = (F.col("n_events") == 0) & F.coalesce(F.col("was_empty") & (F.col("end_file") == F.col("file_no")) & (F.col("end_pos") == F.col("position")), F.lit(False))
-    r = with_running_sum(p, "trans_seq_no", F.when(joined, 0).otherwise(1).cast("long"), "run", width)
+    if batch:
+        joined = joined & (F.col("was_batch") == F.col("_batch"))
+    r = with_running_sum(p, "trans_seq_no", F.when(joined, 0).otherwise(1).cast("long"), "run", rows)
     ord_ = F.col("trans_seq_no")
-    return r.groupBy("run").agg(F.min("trans_seq_no").alias("trans_seq_no"), F.max("trans_seq_no").alias("last_seq_no"), F.count(F.lit(1)).alias("n_merged"), F.min_by("position", ord_).alias("position"), F.max_by("next_position", ord_).alias("next_position")).drop("run")
+    runs = r.groupBy("run").agg(
+        F.min("trans_seq_no").alias("trans_seq_no"), F.max("trans_seq_no").alias("last_seq_no"), F.count(F.lit(1)).alias("n_merged"), F.min_by("file_no", ord_).alias("file_no"), F.min_by("position", ord_).alias("position"),
+        F.max_by("next_file_no", ord_).alias("next_file_no"), F.max_by("next_position", ord_).alias("next_position"), F.max("gtid").alias("gtid"),
+    )
+    several = runs.filter("n_merged > 1").select("run")
+    sets = to_text(merge(parse(r.join(several, "run", "left_semi").filter("gtid <> ''").select(F.col("run").alias("set_id"), F.col("gtid").alias("gtid_text")))))
+    named = runs.join(sets.withColumnRenamed("set_id", "run"), "run", "left")
+    return named.withColumn("gtid_text", F.when(F.col("n_merged") > 1, F.coalesce("gtid_text", F.lit(""))).otherwise(F.coalesce("gtid", F.lit("")))).drop("run", "gtid")
 
 
 def contiguous_prefix(pkg: DataFrame, base: int, most: int | None = None) -> DataFrame:

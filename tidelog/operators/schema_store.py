@@ -32,11 +32,21 @@ def versions(changes: DataFrame) -> DataFrame:
     return v.withColumn("status", F.when(F.col("valid_to").isNull(), 1).otherwise(0).cast("long"))
 
 
-def as_of(ev: DataFrame, versions_: DataFrame) -> DataFrame:
-    """Events with the version in force at their transaction. Versions of a table are few: an equi-join on the
-    table with a range test, whose small side Spark broadcasts if its measured size allows."""
-    v = versions_.select(F.col("db_name").alias("database_name"), "table_name", "version", "valid_from", "valid_to")
-    return ev.join(v, ["database_name", "table_name"]).filter("trans_seq_no >= valid_from and (valid_to is null or trans_seq_no < valid_to)").drop("valid_from", "valid_to")
+def as_of(ev: DataFrame, versions_: DataFrame, spans: int | None = None) -> DataFrame:
+    """Events with the version in force at their transaction.
+
+    Numbers are cut into spans, and a version is dealt to each span that it is in force in; an event meets the versions of its table in
+    its own span only. So rows of one table are many keys, and the pairs that meet stay few however many versions a table has."""
+    lo, hi = ev.agg(F.min("trans_seq_no"), F.max("trans_seq_no")).first()
+    if lo is None:
+        lo = hi = 0
+    spans = spans or 16 * int(ev.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    width = max(1, -(-(hi - lo + 1) // spans))
+    v = versions_.select(F.col("db_name").alias("database_name"), "table_name", "version", "valid_from", F.coalesce("valid_to", F.lit(hi + 1)).alias("valid_to")).filter(F.col("valid_to") > F.greatest("valid_from", F.lit(lo)))
+    first, last = F.floor((F.greatest("valid_from", F.lit(lo)) - lo) / width), F.floor((F.least("valid_to", F.lit(hi + 1)) - 1 - lo) / width)
+    v = v.filter(F.col("valid_from") <= hi).withColumn("_span", F.explode(F.sequence(first, last)))
+    e = ev.withColumn("_span", F.floor((F.col("trans_seq_no") - lo) / width))
+    return e.join(v, ["database_name", "table_name", "_span"]).filter("trans_seq_no >= valid_from and trans_seq_no < valid_to").drop("valid_from", "valid_to", "_span")
 
 
 def diff(old: DataFrame, new: DataFrame, drops: bool = False) -> DataFrame:

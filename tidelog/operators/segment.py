@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.sequence import WIDTH, with_running_sum
+from ..functions.sequence import ROWS, ranged
+from ..functions.stored import stored
 
 #: State after each class of event, from each state; errors are marked with `!`.
 STATES = ("NONE", "GTID", "DDL", "DML", "ERROR")
@@ -41,19 +43,77 @@ def step(state: str, kind: str) -> tuple[str, bool, bool]:
     return new.rstrip("!"), new.endswith("!"), kind == "STATEMENT" and state in ("GTID", "DDL") or new == "DDL"
 
 
-def segment(ev: DataFrame, base: int = 0, width: int = WIDTH) -> DataFrame:
-    """ev of a well-formed log with group_no: a group starts at a gtid event and at each event outside of any transaction.
+#: States that a batch can be in before an event: after an error the open group is dropped and reading starts anew.
+OPEN = ("NONE", "GTID", "DDL", "DML")
+SEGMENTED = "order_key long, group_no long, attempt long, state string, error boolean, ends boolean, mark boolean"
 
-    A running count over (order_key), in many tasks; order_key is the place in the log."""
-    start = F.col("event_type").isin(33, 34, 4, 15, 35).cast("long")
-    return with_running_sum(ev, "order_key", start, "group_no", width).withColumn("group_no", F.col("group_no") + base)
+
+def follow(kinds: list[str], state: int) -> tuple[int, int, int]:
+    """State after these classes of events from a state, groups closed, errors."""
+    closed = errors = 0
+    for kind in kinds:
+        state, error, closes, _ = MOVES[kind][state]
+        closed, errors = closed + closes, errors + error
+    return state, closed, errors
+
+
+def moves() -> dict[str, tuple]:
+    """By class and state number: new state number (NONE after an error), error, closes a group, marked as a schema change."""
+    out = {}
+    for kind in NEXT:
+        row = []
+        for state in OPEN:
+            new, error, mark = step(state, kind)
+            row.append((0 if error else OPEN.index(new), error, new == "NONE" and not error, mark))
+        out[kind] = tuple(row)
+    return out
+
+
+MOVES = moves()
+
+
+def segment(ev: DataFrame, base: int = 0, rows: int = ROWS) -> DataFrame:
+    """ev (order_key, event_type, statement) with the state table's outcome: group_no, attempt, state, error, ends, mark.
+
+    A group ends where the state becomes NONE, and the next has the next number, from base + 1; an error drops the open group, whose
+    number is used again in the next attempt. The order is cut into ranges. Each range is read from every state that it can start
+    in, which gives a map of states; the maps, one a range, are chained, and each range is read once more from its true state. Ranges hold
+    about rows events, and a task holds one range's classes, no statements."""
+    own = stored(ranged(ev.select("order_key", boundary_class(F.col("event_type"), F.col("statement")).alias("boundary")), "order_key", rows))
+
+    def mapped(pdf: pd.DataFrame) -> pd.DataFrame:
+        kinds = pdf.sort_values("order_key").boundary.tolist()
+        got = [follow(kinds, s) for s in range(len(OPEN))]
+        return pd.DataFrame([(pdf["_range"].iloc[0], s, *g) for s, g in enumerate(got)], columns=["_range", "start", "state", "closed", "errors"])
+
+    maps: dict[int, dict[int, tuple[int, int, int]]] = {}
+    for r in own.groupBy("_range").applyInPandas(mapped, "_range int, start int, state int, closed long, errors long").collect():  # 4 rows a range
+        maps.setdefault(r["_range"], {})[r["start"]] = (r["state"], r["closed"], r["errors"])
+    state, group, attempt, begin = 0, base + 1, 0, {}
+    for n in sorted(maps):
+        begin[n] = (state, group, attempt)
+        state, closed, errors = maps[n][state]
+        group, attempt = group + closed, attempt + errors
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("order_key")
+        state, group, attempt = begin[int(pdf["_range"].iloc[0])]
+        out = []
+        for kind in pdf.boundary.tolist():
+            state, error, ends, mark = MOVES[kind][state]
+            out.append((group, attempt, OPEN[state] if kind != "ERROR" else "ERROR", error, ends, mark))
+            group, attempt = group + ends, attempt + error
+        got = pd.DataFrame(out, columns=["group_no", "attempt", "state", "error", "ends", "mark"])
+        return got.assign(order_key=pdf.order_key.to_numpy())[["order_key", "group_no", "attempt", "state", "error", "ends", "mark"]]
+
+    return ev.join(own.groupBy("_range").applyInPandas(run, SEGMENTED), "order_key")
 
 
 def groups(ev: DataFrame) -> DataFrame:
-    """One row a group: first place, events, bytes, whether a statement follows its gtid directly (a schema change)."""
-    kind = boundary_class(F.col("event_type"), F.col("statement"))
-    ddl = (kind == "STATEMENT") & (F.col("event_type") == 2)
-    return ev.groupBy("group_no").agg(F.min("order_key").alias("first_key"), F.count(F.lit(1)).alias("n_events"), F.sum("size").alias("bytes"), F.max(F.when(ddl, 1).otherwise(0)).cast("long").alias("is_ddl"))
+    """One row a group that ended: first place, events, bytes, whether it is a schema change, which its mark on any event tells. Groups
+    dropped by an error and one left open at the end are not there."""
+    g = ev.groupBy("group_no", "attempt").agg(F.min("order_key").alias("first_key"), F.count(F.lit(1)).alias("n_events"), F.sum("size").alias("bytes"), F.max(F.col("mark").cast("long")).alias("is_ddl"), F.max("ends").alias("ended"))
+    return g.filter("ended").drop("ended", "attempt")
 
 
 def truncate_large(ev: DataFrame, most: int = 786_432) -> DataFrame:

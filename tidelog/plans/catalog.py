@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
+from ..functions.stored import stored
 from ..operators import accept, continuity, decode, filters, gtid, inspect, metrics, package, schema_store, segment
 from ..sources import change_log
 
@@ -87,13 +88,19 @@ def trx_summary(spark, d):
     return trx(spark, d)
 
 
-CONTINUITY = f"""WITH {LOSSY}, l AS (SELECT *, lag(trans_seq_no) OVER w AS prev_seq, lag(next_file_no) OVER w AS prev_file_no, lag(next_position) OVER w AS prev_position FROM lossy WINDOW w AS (ORDER BY trans_seq_no))
-SELECT trans_seq_no, gtid, file_no, position, prev_seq, prev_file_no, prev_position FROM l WHERE prev_seq IS NOT NULL AND (file_no <> prev_file_no OR position <> prev_position)"""
+CONTINUITY = f"""WITH {TRX}, log AS ({change_log.RESTARTED.format(trx="trx")}), one AS (
+  SELECT list({{'k': trans_seq_no, 'gtid': gtid, 'epoch': epoch, 'f': file_no, 'p': position, 'nf': next_file_no, 'np': next_position, 'breaks': []::STRUCT(trans_seq_no BIGINT, gtid VARCHAR, file_no BIGINT, "position" BIGINT, prev_seq BIGINT, prev_file_no BIGINT, prev_position BIGINT)[]}} ORDER BY trans_seq_no) AS l FROM log)
+SELECT unnest(list_reduce(l, lambda a, x: CASE WHEN x.f = a.nf AND x.p = a.np THEN {{'k': x.k, 'gtid': x.gtid, 'epoch': x.epoch, 'f': x.f, 'p': x.p, 'nf': x.nf, 'np': x.np, 'breaks': a.breaks}} WHEN a.epoch < x.epoch AND x.gtid = '' THEN a
+  ELSE {{'k': x.k, 'gtid': x.gtid, 'epoch': x.epoch, 'f': x.f, 'p': x.p, 'nf': x.nf, 'np': x.np, 'breaks': list_append(a.breaks, {{'trans_seq_no': x.k, 'gtid': x.gtid, 'file_no': x.f, 'position': x.p, 'prev_seq': a.k, 'prev_file_no': a.nf, 'prev_position': a.np}})}} END).breaks, recursive := true) FROM one"""
+
+
+def restarted(spark, d):
+    return stored(spark.sql(change_log.RESTARTED, trx=trx(spark, d)))
 
 
 @query(CONTINUITY)
 def continuity_trx(spark, d):
-    return continuity.transaction_breaks(trx(spark, d).filter("trans_seq_no % 997 <> 0"))
+    return continuity.transaction_breaks(restarted(spark, d))
 
 
 EVENT_BREAKS = f"""WITH {EV}, l AS (SELECT *, lead(position) OVER w AS after, lead(file_no) OVER w AS after_file FROM ev WHERE (trans_seq_no * 7 + ev_idx) % 911 <> 0 WINDOW w AS (PARTITION BY trans_seq_no ORDER BY ev_idx))
@@ -112,7 +119,7 @@ def broken_points_summary(spark, d):
 
 @query(f"WITH {LOSSY} SELECT trans_seq_no, trans_seq_no * 3 AS end_offset, coalesce(lag(trans_seq_no * 3) OVER (ORDER BY trans_seq_no) + 1, trans_seq_no * 3) AS begin_offset FROM lossy")
 def offset_ranges(spark, d):
-    return continuity.offset_ranges(trx(spark, d).filter("trans_seq_no % 997 <> 0").select("trans_seq_no", (F.col("trans_seq_no") * 3).alias("end_offset")))
+    return continuity.offset_ranges(stored(trx(spark, d).filter("trans_seq_no % 997 <> 0").select("trans_seq_no", (F.col("trans_seq_no") * 3).alias("end_offset"))))
 
 
 @query(f"WITH {TRX} SELECT trans_seq_no, file_no FROM trx WHERE position = 4")
@@ -136,26 +143,26 @@ CLASS = """CASE WHEN event_type IN (33, 34) THEN 'GTID' WHEN event_type = 2 AND
   WHEN event_type IN (16, 38) THEN 'END_TRX' WHEN event_type IN (19, 30, 31, 32) THEN 'STATEMENT' WHEN event_type IN (4, 15, 27, 35) THEN 'IGNORE' ELSE 'ERROR' END"""
 
 
-def ordered(spark, d):
-    return ev(spark, d).withColumn("order_key", F.col("trans_seq_no") * 10 + F.col("ev_idx"))
-
-
 @query(f"WITH {EV} SELECT trans_seq_no, ev_idx, {CLASS} AS boundary FROM ev")
 def boundary_classify(spark, d):
     return ev(spark, d).select("trans_seq_no", "ev_idx", segment.boundary_class(F.col("event_type"), F.col("statement")).alias("boundary"))
 
 
-SEGMENT = f"WITH {EV}, s AS (SELECT *, trans_seq_no * 10 + ev_idx AS order_key, sum(CASE WHEN event_type IN (33, 34, 4, 15, 35) THEN 1 ELSE 0 END) OVER (ORDER BY trans_seq_no, ev_idx)::BIGINT AS group_no FROM ev)"
+MESSY = f"WITH {EV}, s AS (SELECT *, dense_rank() OVER (ORDER BY truth) AS group_no FROM ({change_log.MESSY.format(ev='ev')}))"
+
 
+def messy(spark, d):
+    return stored(spark.sql(change_log.MESSY, ev=ev(spark, d)))
 
-@query(f"{SEGMENT} SELECT trans_seq_no, ev_idx, group_no FROM s")
+
+@query(f"{MESSY} SELECT order_key, group_no FROM s")
 def segment_events(spark, d):
-    return segment.segment(ordered(spark, d)).select("trans_seq_no", "ev_idx", "group_no")
+    return segment.segment(messy(spark, d)).select("order_key", "group_no")
 
 
-@query(f"{SEGMENT} SELECT group_no, min(order_key) AS first_key, count(*) AS n_events, sum(size)::BIGINT AS bytes, max(CASE WHEN event_type = 2 AND statement <> 'BEGIN' THEN 1 ELSE 0 END)::BIGINT AS is_ddl FROM s GROUP BY group_no")
+@query(f"{MESSY} SELECT group_no, min(order_key) AS first_key, count(*) AS n_events, sum(size)::BIGINT AS bytes, max(CASE WHEN event_type = 2 AND regexp_matches(statement, '(?i)alter|create|drop') THEN 1 ELSE 0 END)::BIGINT AS is_ddl FROM s GROUP BY group_no")
 def segment_trx(spark, d):
-    return segment.groups(segment.segment(ordered(spark, d)))
+    return segment.groups(segment.segment(messy(spark, d)))
 
 
 @query(f"WITH {EV}, r AS (SELECT *, sum(size) OVER (PARTITION BY trans_seq_no ORDER BY ev_idx) > 600 AND event_type IN (30, 31, 32) AS truncated FROM ev) SELECT trans_seq_no, ev_idx, truncated, CASE WHEN truncated THEN 0 ELSE n_rows END AS n_rows FROM r")
@@ -301,13 +308,13 @@ def ddl_classify(spark, d):
     return statements(spark, d).select("trans_seq_no", S.is_ddl(S.normalise_ddl(F.col("statement"))).alias("is_ddl"))
 
 
-CHANGES = """chg AS (SELECT CASE WHEN o_orderkey % 2 = 0 THEN 'shop' ELSE 'crm' END AS db_name, CASE WHEN o_orderkey % 3 = 0 THEN 'orders' ELSE 'lineitem' END AS table_name, CAST(o_orderkey + 1 AS BIGINT) AS valid_from, concat('v', o_orderkey) AS schema_value FROM orders WHERE o_orderkey % 100 < 6),
+CHANGES = """chg AS (SELECT CASE WHEN o_orderkey % 2 = 0 THEN 'shop' ELSE 'crm' END AS db_name, CASE WHEN o_orderkey % 3 = 0 THEN 'orders' ELSE 'lineitem' END AS table_name, CAST(o_orderkey + 1 AS BIGINT) AS valid_from, concat('v', o_orderkey) AS schema_value FROM orders),
   ver AS (SELECT *, row_number() OVER w AS version, lead(valid_from) OVER w AS valid_to FROM chg WINDOW w AS (PARTITION BY db_name, table_name ORDER BY valid_from))"""
 
 
 def versions(spark, d):
     k = F.col("o_orderkey")
-    c = read(spark, d, "orders").filter(k % 100 < 6).select(F.when(k % 2 == 0, "shop").otherwise("crm").alias("db_name"), F.when(k % 3 == 0, "orders").otherwise("lineitem").alias("table_name"), (k + 1).alias("valid_from"), F.concat(F.lit("v"), k.cast("string")).alias("schema_value"))
+    c = read(spark, d, "orders").select(F.when(k % 2 == 0, "shop").otherwise("crm").alias("db_name"), F.when(k % 3 == 0, "orders").otherwise("lineitem").alias("table_name"), (k + 1).alias("valid_from"), F.concat(F.lit("v"), k.cast("string")).alias("schema_value"))
     return schema_store.versions(c)
 
 
@@ -316,7 +323,7 @@ def schema_scd2(spark, d):
     return versions(spark, d)
 
 
-@query(f"WITH {EV}, {CHANGES} SELECT trans_seq_no, ev_idx, database_name, ev.table_name, version FROM ev JOIN ver ON database_name = db_name AND ev.table_name = ver.table_name AND trans_seq_no >= valid_from AND (valid_to IS NULL OR trans_seq_no < valid_to) WHERE event_type IN (30, 31, 32)")
+@query(f"WITH {EV}, {CHANGES} SELECT trans_seq_no, ev_idx, database_name, r.table_name, version FROM (SELECT * FROM ev WHERE event_type IN (30, 31, 32)) r ASOF JOIN ver ON database_name = db_name AND r.table_name = ver.table_name AND trans_seq_no >= valid_from")
 def schema_asof(spark, d):
     return schema_store.as_of(filters.data_events(ev(spark, d)), versions(spark, d)).select("trans_seq_no", "ev_idx", "database_name", "table_name", "version")
 
@@ -402,6 +409,12 @@ def clean_trx(spark, d):
     return package.clean(few).select("trans_seq_no", "ev_idx")
 
 
+@query(f"WITH {TRX}, u AS (SELECT trans_seq_no, max(CASE WHEN event_type IN (30, 31, 32) AND n_rows > 1 OR (event_type = 2 AND statement <> 'BEGIN') THEN 1 ELSE 0 END) AS keep FROM ev GROUP BY trans_seq_no) SELECT trx.trans_seq_no, gtid, next_file_no, next_position, (n_events * keep)::BIGINT AS n_events, (bytes * keep)::BIGINT AS bytes FROM trx JOIN u ON trx.trans_seq_no = u.trans_seq_no")
+def clean_shells(spark, d):
+    few = ev(spark, d).withColumn("n_rows", F.when(F.col("n_rows") > 1, F.col("n_rows")).otherwise(0))
+    return package.shells(trx(spark, d), few).select("trans_seq_no", "gtid", "next_file_no", "next_position", "n_events", "bytes")
+
+
 @query(f"WITH {DOCS} SELECT trans_seq_no, CASE WHEN bytes + 64 <= 2000 THEN 'whole' WHEN bytes - row_bytes + 64 <= 2000 THEN 'no_rows' ELSE 'no_events' END AS sent_as, CASE WHEN bytes + 64 <= 2000 THEN bytes + 64 WHEN bytes - row_bytes + 64 <= 2000 THEN bytes - row_bytes + 64 ELSE 64 END AS sent_bytes FROM payload")
 def shrink_ladder(spark, d):
     return package.shrink(payload(spark, d), 2000).select("trans_seq_no", "sent_as", "sent_bytes")
@@ -426,6 +439,35 @@ def reassemble(spark, d):
     return package.reassemble(p)
 
 
+SIZED = f"""{EV}, sized AS (SELECT trans_seq_no, list({{'i': ev_idx, 'b': 19::BIGINT, 'r': list_transform(range(n_rows), lambda j: (20 + (trans_seq_no * 7 + j * 13) % 90)::BIGINT)}} ORDER BY ev_idx) AS e FROM ev GROUP BY trans_seq_no),
+  flat AS (SELECT trans_seq_no, x.i AS ev_idx, x.b AS b, x.r AS r FROM sized, unnest(e) u(x))"""
+#: A part is its first and last event by place, and rows lo to hi of a single event; the path orders parts.
+HALVES = f"""WITH RECURSIVE {SIZED}, tree AS (
+  SELECT trans_seq_no, '' AS path, 1::BIGINT AS a, len(e)::BIGINT AS z, 0::BIGINT AS lo, NULL::BIGINT AS hi, false AS cleared, e, 64 + list_sum(list_transform(e, lambda x: x.b + coalesce(list_sum(x.r), 0)))::BIGINT AS bytes FROM sized
+  UNION ALL SELECT trans_seq_no, concat(path, h), a, z, lo, hi, cleared, e, CASE WHEN hi IS NULL THEN 64 + coalesce(list_sum(list_transform(e[a:z], lambda x: x.b + coalesce(list_sum(x.r), 0))), 0) ELSE 64 + e[a].b + coalesce(list_sum(e[a].r[lo + 1:hi]), 0) END::BIGINT FROM (
+    SELECT trans_seq_no, path, h, e, CASE WHEN z > a AND h = 1 THEN a + (z - a + 1) // 2 ELSE a END AS a, CASE WHEN z > a AND h = 0 THEN a + (z - a + 1) // 2 - 1 ELSE z END AS z,
+      CASE WHEN z > a THEN 0 WHEN h = 1 THEN lo + (n - lo) // 2 ELSE lo END AS lo, CASE WHEN z > a THEN NULL WHEN n - lo = 1 THEN lo WHEN h = 0 THEN lo + (n - lo) // 2 ELSE n END AS hi, z = a AND n - lo = 1 AS cleared
+    FROM (SELECT *, coalesce(hi, len(e[a].r)) AS n FROM tree WHERE bytes > 400), (VALUES (0), (1)) v(h) WHERE z > a OR n - lo > 1 OR (n - lo = 1 AND h = 0))),
+  leaves AS (SELECT *, row_number() OVER (PARTITION BY trans_seq_no ORDER BY path) - 1 AS seq_no, count(*) OVER (PARTITION BY trans_seq_no) AS n FROM tree WHERE bytes <= 400 OR (a = z AND coalesce(hi, len(e[a].r)) = lo))"""
+
+
+def sized(spark, d):
+    j = F.transform(F.when(F.col("n_rows") > 0, F.sequence(F.lit(0).cast("long"), F.col("n_rows") - 1)).otherwise(F.array().cast("array<bigint>")), lambda j: 20 + (F.col("trans_seq_no") * 7 + j * 13) % 90)
+    return ev(spark, d).select("trans_seq_no", "ev_idx", F.lit(19).cast("long").alias("base_size"), j.alias("row_sizes"))
+
+
+@query(f"""{HALVES} SELECT trans_seq_no, seq_no, CASE WHEN n = 1 THEN 0 WHEN seq_no = n - 1 THEN 2 ELSE 1 END::BIGINT AS split_flag, x.i AS ev_idx, CASE WHEN hi IS NULL THEN 0 ELSE lo END AS lo, coalesce(hi, len(x.r)) AS hi, bytes AS part_bytes, cleared FROM leaves, unnest(e[a:z]) u(x)""")
+def split_transactions(spark, d):
+    return package.split_transactions(sized(spark, d), 400)
+
+
+@query(f"WITH {SIZED}, c AS (SELECT trans_seq_no, ev_idx, len(list_filter(r, lambda x: x + 83 <= 400))::BIGINT AS n_rows FROM flat) SELECT * FROM c WHERE trans_seq_no % 6 <> 0")
+def merge_parts(spark, d):
+    parts = package.split_transactions(sized(spark, d), 400)
+    got = package.merged_events(parts.filter("not (trans_seq_no % 6 = 0 and split_flag <> 1)"))
+    return got.select("trans_seq_no", "ev_idx", "n_rows")
+
+
 @query(f"WITH {PKG} SELECT DISTINCT concat(epoch, '.', trans_seq_no, '.', seq_no) AS message_id, concat(trans_seq_no, '-', seq_no) AS key FROM pkg")
 def message_id(spark, d):
     return pkg(spark, d).select(package.message_id().alias("message_id"), package.package_key().alias("key")).distinct()
@@ -436,7 +478,12 @@ def envelope(spark, d):
     return package.envelope(pkg(spark, d).filter("offset % 2 = 0"))
 
 
-@query(None)
+CRC = f"""WITH {PKG}, t AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i::BIGINT, range(8)), lambda c, x: CASE WHEN c % 2 = 1 THEN xor(3988292384::BIGINT, c // 2) ELSE c // 2 END)) AS tab),
+  m AS (SELECT trans_seq_no, "offset", concat(gtid, '|', epoch, '|', bytes) AS s FROM pkg)
+SELECT trans_seq_no, "offset", xor(4294967295::BIGINT, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(s) + 1), lambda i: ord(substr(s, i, 1))::BIGINT)), lambda c, b: xor(tab[(xor(c, b) % 256 + 1)::INTEGER], c // 256))) AS checksum FROM m, t"""
+
+
+@query(CRC)
 def package_crc(spark, d):
     return pkg(spark, d).select("trans_seq_no", "offset", package.checksum(F.concat_ws("|", "gtid", "epoch", "bytes")).alias("checksum"))
 
@@ -446,14 +493,18 @@ def partition_djb(spark, d):
     return read(spark, d, "customer").select("c_custkey", S.djb_hash(F.col("c_name")).alias("hash"))
 
 
-EMPTY = f"{TRX}, e AS (SELECT trans_seq_no, file_no, position, next_file_no, next_position, CASE WHEN trans_seq_no % 9 < 5 THEN 0 ELSE n_events END AS n_events FROM trx WHERE trans_seq_no % 50 <> 0)"
+EMPTY = f"{TRX}, e AS (SELECT *, row_number() OVER (ORDER BY trans_seq_no) AS place FROM (SELECT trans_seq_no, gtid, file_no, position, next_file_no, next_position, CASE WHEN trans_seq_no % 9 < 7 THEN 0 ELSE n_events END AS n_events FROM trx WHERE trans_seq_no % 50 <> 0))"
+RUNS = f"""{EMPTY}, b AS (SELECT *, CASE WHEN n_events = 0 AND (place - 1) % 20 <> 0 AND coalesce(lag(n_events) OVER w = 0 AND lag(next_file_no) OVER w = file_no AND lag(next_position) OVER w = position, false) THEN 0 ELSE 1 END AS brk FROM e WINDOW w AS (ORDER BY trans_seq_no)),
+  r AS (SELECT *, sum(brk) OVER (ORDER BY trans_seq_no) AS run FROM b),
+  i AS (SELECT run, gtid, trans_seq_no - row_number() OVER (PARTITION BY run ORDER BY trans_seq_no) AS island, trans_seq_no FROM r WHERE gtid <> ''),
+  t AS (SELECT run, string_agg(CASE WHEN lo = hi THEN lo::VARCHAR ELSE concat(lo, '-', hi) END, ':' ORDER BY lo) AS spans FROM (SELECT run, min(trans_seq_no) AS lo, max(trans_seq_no) AS hi FROM i GROUP BY run, island) GROUP BY run)"""
 
 
-@query(f"""WITH {EMPTY}, b AS (SELECT *, CASE WHEN n_events = 0 AND coalesce(lag(n_events) OVER w = 0 AND lag(next_file_no) OVER w = file_no AND lag(next_position) OVER w = position, false) THEN 0 ELSE 1 END AS brk FROM e WINDOW w AS (ORDER BY trans_seq_no)),
-  r AS (SELECT *, sum(brk) OVER (ORDER BY trans_seq_no) AS run FROM b) SELECT min(trans_seq_no) AS trans_seq_no, max(trans_seq_no) AS last_seq_no, count(*) AS n_merged, arg_min(position, trans_seq_no) AS position, arg_max(next_position, trans_seq_no) AS next_position FROM r GROUP BY run""")
+@query(f"""WITH {RUNS} SELECT min(trans_seq_no) AS trans_seq_no, max(trans_seq_no) AS last_seq_no, count(*) AS n_merged, arg_min(file_no, trans_seq_no) AS file_no, arg_min(position, trans_seq_no) AS position, arg_max(next_file_no, trans_seq_no) AS next_file_no,
+  arg_max(next_position, trans_seq_no) AS next_position, coalesce(concat('{change_log.SOURCE_UUID}:', any_value(spans)), '') AS gtid_text FROM (SELECT r.*, spans FROM r LEFT JOIN t ON r.run = t.run) GROUP BY run""".replace("coalesce(concat('" + change_log.SOURCE_UUID + ":', any_value(spans)), '')", "CASE WHEN any_value(spans) IS NULL THEN '' ELSE concat('" + change_log.SOURCE_UUID + ":', any_value(spans)) END"))
 def merge_empty(spark, d):
-    t = trx(spark, d).filter("trans_seq_no % 50 <> 0").withColumn("n_events", F.when(F.col("trans_seq_no") % 9 < 5, 0).otherwise(F.col("n_events")))
-    return package.merge_empty(t)
+    t = trx(spark, d).filter("trans_seq_no % 50 <> 0").withColumn("n_events", F.when(F.col("trans_seq_no") % 9 < 7, 0).otherwise(F.col("n_events")))
+    return package.merge_empty(t, batch=20)
 
 
 @query(f"WITH {LOSSY} SELECT trans_seq_no FROM lossy WHERE trans_seq_no BETWEEN 10 AND 996")
@@ -545,20 +596,26 @@ def stage_latency(spark, d):
     return metrics.stage_latency(p, ["t1", "t2", "t3"]).select("event_id", "t2_ms", "t3_ms")
 
 
-GATE = f"""WITH {TRX}, {POLLS}, t AS (SELECT trans_seq_no, 1704067200 + trans_seq_no * 60 AS ts FROM trx WHERE trans_seq_no <= 1500), s AS (SELECT DISTINCT server_id FROM polls WHERE healthy),
-  f AS (SELECT trans_seq_no, s.server_id, min(CASE WHEN executed_to >= trans_seq_no THEN poll_ts END) AS seen FROM t, s JOIN polls p ON p.server_id = s.server_id AND p.healthy GROUP BY ALL)
-SELECT f.trans_seq_no, CASE WHEN bool_or(seen IS NULL) THEN any_value(ts) + 86400 ELSE least(greatest(max(seen), any_value(ts)), any_value(ts) + 86400) END AS released_at FROM f JOIN t ON t.trans_seq_no = f.trans_seq_no GROUP BY f.trans_seq_no"""
+GATE = f"""WITH {TRX}, {POLLS}, t AS (SELECT trans_seq_no, 1704067200 + trans_seq_no * 60 AS ts FROM trx),
+  p AS (SELECT *, min(CASE WHEN NOT healthy THEN poll_ts END) OVER (PARTITION BY server_id ORDER BY poll_ts, poll_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS unhealthy_at FROM polls),
+  lastp AS (SELECT server_id, poll_ts, arg_max(healthy, poll_id) AS healthy, arg_max(unhealthy_at, poll_id) AS unhealthy_at, bool_or(arg_max(unhealthy_at, poll_id) IS NOT NULL) OVER () AS x FROM (SELECT server_id, poll_ts, poll_id, healthy, coalesce(unhealthy_at, 0) AS unhealthy_at FROM p) GROUP BY server_id, poll_ts),
+  servers AS (SELECT DISTINCT server_id FROM polls), ts AS (SELECT trans_seq_no, ts, server_id FROM t, servers),
+  w AS (SELECT ts.trans_seq_no, ts.ts, ts.server_id, nullif(unhealthy_at, 0) AS unhealthy_at FROM ts ASOF JOIN lastp ON ts.server_id = lastp.server_id AND ts.ts >= lastp.poll_ts WHERE healthy),
+  cov AS (SELECT server_id, mx, min(poll_ts) AS seen_at FROM (SELECT server_id, poll_ts, max(executed_to) OVER (PARTITION BY server_id ORDER BY poll_ts, poll_id) AS mx FROM polls WHERE healthy) GROUP BY server_id, mx),
+  j AS (SELECT w.*, seen_at FROM w ASOF LEFT JOIN cov ON w.server_id = cov.server_id AND w.trans_seq_no <= cov.mx),
+  r AS (SELECT trans_seq_no, max(least(greatest(coalesce(least(seen_at, unhealthy_at), ts + 86400), ts), ts + 86400)) AS released_at FROM j GROUP BY trans_seq_no)
+SELECT t.trans_seq_no, coalesce(released_at, ts) AS released_at FROM t LEFT JOIN r ON t.trans_seq_no = r.trans_seq_no"""
 
 
 @query(GATE)
 def replica_gate(spark, d):
-    t = trx(spark, d).filter("trans_seq_no <= 1500").select("trans_seq_no", (F.lit(1704067200) + F.col("trans_seq_no") * 60).alias("ts"))
+    t = trx(spark, d).select("trans_seq_no", (F.lit(1704067200) + F.col("trans_seq_no") * 60).alias("ts"))
     return metrics.replica_gate(t, polls(spark, d), 86400)
 
 
-@query("WITH o AS (SELECT DISTINCT c_nationkey::BIGINT AS server_id FROM customer WHERE c_custkey % 40 = 1), n AS (SELECT DISTINCT s_nationkey::BIGINT AS server_id FROM supplier) SELECT coalesce(o.server_id, n.server_id) AS server_id, CASE WHEN o.server_id IS NULL THEN 'added' WHEN n.server_id IS NULL THEN 'evicted' ELSE 'kept' END AS change FROM o FULL JOIN n ON o.server_id = n.server_id")
+@query("WITH o AS (SELECT DISTINCT c_nationkey::BIGINT AS server_id FROM customer WHERE c_acctbal > 9000), n AS (SELECT DISTINCT s_nationkey::BIGINT AS server_id FROM supplier) SELECT coalesce(o.server_id, n.server_id) AS server_id, CASE WHEN o.server_id IS NULL THEN 'added' WHEN n.server_id IS NULL THEN 'evicted' ELSE 'kept' END AS change FROM o FULL JOIN n ON o.server_id = n.server_id")
 def replica_reconcile(spark, d):
-    o = read(spark, d, "customer").filter("c_custkey % 40 = 1").select(F.col("c_nationkey").cast("long").alias("server_id")).distinct()
+    o = read(spark, d, "customer").filter("c_acctbal > 9000").select(F.col("c_nationkey").cast("long").alias("server_id")).distinct()
     return metrics.reconcile(o, read(spark, d, "supplier").select(F.col("s_nationkey").cast("long").alias("server_id")).distinct())
 
 

@@ -39,10 +39,33 @@ SELECT CAST(trans_seq_no AS BIGINT) AS trans_seq_no, CAST(ev_idx AS BIGINT) AS e
 FROM parts WINDOW w AS (PARTITION BY file_no ORDER BY trans_seq_no, ev_idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
 """
 
-#: One message a transaction, with faults: every 997th is lost, every 503rd is sent twice.
-PACKAGES = """
-SELECT CAST(trans_seq_no * 4 AS BIGINT) AS position_key, trans_seq_no, epoch, gtid, n_events, bytes, CAST(0 AS BIGINT) AS seq_no, CAST(0 AS BIGINT) AS split_flag FROM {trx} WHERE trans_seq_no % 997 <> 0
-UNION ALL SELECT CAST(trans_seq_no * 4 + 1 AS BIGINT), trans_seq_no, epoch, gtid, n_events, bytes, CAST(0 AS BIGINT), CAST(0 AS BIGINT) FROM {trx} WHERE trans_seq_no % 503 = 0 AND trans_seq_no % 997 <> 0
+#: The log with what real ones have besides, from {ev}; truth tells the group each event belongs to, and rises with order_key.
+#: A heartbeat and an incident after a commit, a file's end within a transaction, statements as data, savepoints, commits by statement.
+MESSY = """
+SELECT trans_seq_no * 100 + ev_idx * 10 AS order_key, trans_seq_no * 10 AS truth, event_type, statement, size FROM {ev} WHERE NOT (event_type = 16 AND trans_seq_no % 45 = 0)
+UNION ALL SELECT trans_seq_no * 100 + 60, trans_seq_no * 10, CAST(2 AS BIGINT), 'COMMIT', size FROM {ev} WHERE event_type = 16 AND trans_seq_no % 45 = 0
+UNION ALL SELECT trans_seq_no * 100 + 70, trans_seq_no * 10 + 1, CAST(27 AS BIGINT), '', CAST(39 AS BIGINT) FROM {ev} WHERE event_type = 16 AND trans_seq_no % 40 = 0
+UNION ALL SELECT trans_seq_no * 100 + 71, trans_seq_no * 10 + 2, CAST(26 AS BIGINT), '', CAST(27 AS BIGINT) FROM {ev} WHERE event_type = 16 AND trans_seq_no % 60 = 0
+UNION ALL SELECT trans_seq_no * 100 + 31, trans_seq_no * 10, CAST(4 AS BIGINT), '', CAST(47 AS BIGINT) FROM {ev} WHERE event_type = 19 AND table_name = 'orders' AND trans_seq_no % 70 = 0
+UNION ALL SELECT trans_seq_no * 100 + 32, trans_seq_no * 10, CAST(15 AS BIGINT), '', CAST(119 AS BIGINT) FROM {ev} WHERE event_type = 19 AND table_name = 'orders' AND trans_seq_no % 70 = 0
+UNION ALL SELECT trans_seq_no * 100 + 11, trans_seq_no * 10, CAST(5 AS BIGINT), '', CAST(32 AS BIGINT) FROM {ev} WHERE statement = 'BEGIN' AND trans_seq_no % 35 = 0
+UNION ALL SELECT trans_seq_no * 100 + 12, trans_seq_no * 10, CAST(2 AS BIGINT), 'INSERT INTO t VALUES (1)', CAST(96 AS BIGINT) FROM {ev} WHERE statement = 'BEGIN' AND trans_seq_no % 35 = 0
+UNION ALL SELECT trans_seq_no * 100 + 25, trans_seq_no * 10, CAST(2 AS BIGINT), 'ROLLBACK TO a', CAST(80 AS BIGINT) FROM {ev} WHERE event_type = 19 AND table_name = 'orders' AND trans_seq_no % 55 = 0
+UNION ALL SELECT trans_seq_no * 100 + 5, trans_seq_no * 10, CAST(13 AS BIGINT), '', CAST(35 AS BIGINT) FROM {ev} WHERE event_type = 2 AND statement <> 'BEGIN' AND trans_seq_no % 2 = 0
+"""
+
+#: Transactions with restarts, from {trx}: an epoch of every 200, whose first rows have no id. By epoch, these are exempt, or one of them continues the
+#: log and the next is broken, or the first transaction is moved, or it is lost; some restarts have an epoch of their own without any id.
+RESTARTED = """
+WITH dealt AS (SELECT *, CAST(FLOOR((trans_seq_no - 1) / 200) AS BIGINT) AS g FROM {trx}), heads AS (
+  SELECT * FROM dealt WHERE trans_seq_no % 200 = 1 AND g > 0 AND g % 4 <> 2
+), added AS (
+  SELECT trans_seq_no, g, j, CASE WHEN g % 4 = 1 AND j > 0 THEN file_no ELSE 900 + j END AS file_no, CASE WHEN g % 4 = 1 AND j = 1 THEN position WHEN g % 4 = 1 AND j = 2 THEN position + 50 ELSE 4 + j END AS position
+  FROM heads CROSS JOIN (SELECT CAST(0 AS BIGINT) AS j UNION ALL SELECT CAST(1 AS BIGINT) UNION ALL SELECT CAST(2 AS BIGINT)) three
+)
+SELECT trans_seq_no * 10 AS trans_seq_no, gtid, 2 * g AS epoch, file_no, position + CASE WHEN g % 4 = 2 AND trans_seq_no % 200 = 1 THEN 7 ELSE 0 END AS position, next_file_no, next_position
+FROM dealt WHERE NOT (g % 4 = 3 AND trans_seq_no % 200 = 1) AND trans_seq_no % 997 <> 0
+UNION ALL SELECT trans_seq_no * 10 - 5 + j, '', 2 * g - CASE WHEN g % 5 = 0 THEN 1 ELSE 0 END, file_no, position, file_no, position + 50 FROM added
 """
 
 
