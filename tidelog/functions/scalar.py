@@ -94,3 +94,22 @@ def stamp(ts: Column) -> Column:
 def bit_at(mask: Column, i: Column) -> Column:
     """Whether bit i, counted from the lowest, is set."""
     return F.call_function("shiftright", mask, i).bitwiseAND(F.lit(1)) == 1
+
+
+def without_range(items: Column, lo: int, hi: int) -> Column:
+    """An array without its places from lo to below hi, counted from 0."""
+    return F.concat(F.slice(items, 1, lo), F.slice(items, F.lit(hi + 1), F.greatest(F.size(items) - hi, F.lit(0))))
+
+
+def elapsed_ms(a: Column, b: Column) -> Column:
+    return F.floor(elapsed_us(a, b) / 1000).cast("long")
+
+
+def elapsed_us(a: Column, b: Column) -> Column:
+    return F.unix_micros(b.cast("timestamp")) - F.unix_micros(a.cast("timestamp"))
+
+
+def stamp_us(ts: Column) -> Column:
+    """Seconds and six digits of their fraction."""
+    us = F.unix_micros(ts.cast("timestamp"))
+    return F.concat(F.floor(us / 1000000).cast("string"), F.lit("."), F.lpad((us % 1000000).cast("string"), 6, "0"))

@@ -193,6 +193,27 @@ def token_bucket(rows: Iterable[tuple[int, int]], rate: int, cap_seconds: int =
     return out
 
 
+def limited(events: DataFrame, rate: int, cap_seconds: int = 10) -> DataFrame:
+    """events (source, event_id, at ms, size) with wait_ms under a rate of bytes a second for each source: token_bucket() as a sorted stream."""
+
+    def run(batches):
+        own, bucket = None, None
+        for b in batches:
+            waits = []
+            for source, at, size in zip(*(b.column(c).to_pylist() for c in ("source", "at", "size")), strict=True):
+                if source != own:
+                    own, bucket = source, [0.0, None]
+                tokens, last = bucket
+                tokens = min(rate * cap_seconds, tokens + (0 if last is None else (at - last) * rate / 1000))
+                wait = max(0.0, (size - tokens) * 1000 / rate)
+                bucket = [tokens - size + wait * rate / 1000, at + wait]
+                waits.append(round(wait))
+            yield pa.RecordBatch.from_arrays([b.column("source"), b.column("event_id"), pa.array(waits, pa.int64())], names=["source", "event_id", "wait_ms"])
+
+    own = events.select(F.col("source").cast("long").alias("source"), F.col("event_id").cast("long").alias("event_id"), "at", "size")
+    return own.repartition("source").sortWithinPartitions("source", "at", "event_id").mapInArrow(run, "source long, event_id long, wait_ms long")
+
+
 def switched(old: ConsumerV0 | ConsumerV1, version: int) -> ConsumerV0 | ConsumerV1:
     """The state when a topic's messages change their version: down to 0 the epoch and number are carried over and the buffer is dropped; up to 1 all
     starts anew. The same version keeps its state."""

@@ -86,8 +86,8 @@ def full_report(breaks: DataFrame, events: DataFrame, packages: DataFrame) -> Da
     both = breaks.select("trans_seq_no", "prev_seq").join(own.select(F.col("_seq").alias("prev_seq"), F.col("pkg").alias("pre")), "prev_seq").join(own.select(F.col("_seq").alias("trans_seq_no"), F.col("pkg").alias("next")), "trans_seq_no")
     missed = events.select("trans_seq_no").distinct().join(own, F.col("trans_seq_no") == F.col("_seq"))
     lists = both.agg(F.sort_array(F.collect_list(F.struct("trans_seq_no", "pre", "next"))).alias("t")).crossJoin(missed.agg(F.sort_array(F.collect_list(F.struct("trans_seq_no", "pkg"))).alias("e"))).crossJoin(packages.agg(F.min("begin_offset").alias("start"), F.max("end_offset").alias("stop")))  # one row each
-    trans = F.transform("t", lambda x: F.struct(x["pre"].alias("pre"), x["next"].alias("next")))
-    whole = F.struct((F.size("t") + F.size("e")).cast("string").alias("broken_count"), text("start").alias("start_offset"), text("stop").alias("stop_offset"), trans.alias("trans_miss"), F.transform("e", lambda x: x["pkg"]).alias("event_miss"))
+    trans = F.transform("t", lambda x: F.struct(x["next"].alias("next"), x["pre"].alias("pre")))
+    whole = F.struct((F.size("t") + F.size("e")).cast("string").alias("broken_count"), F.transform("e", lambda x: x["pkg"]).alias("event_miss"), text("start").alias("start_offset"), text("stop").alias("stop_offset"), trans.alias("trans_miss"))
     return lists.select(F.to_json(whole).alias("report"))
 
 

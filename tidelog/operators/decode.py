@@ -13,6 +13,13 @@ def images(kind: Column) -> Column:
     return F.when(kind.isin(30, 23), F.array(F.lit("after"))).when(kind.isin(32, 25), F.array(F.lit("before"))).when(kind.isin(31, 24), F.array(F.lit("before"), F.lit("after"))).otherwise(F.array().cast("array<string>"))
 
 
+def decoder(kind: Column) -> Column:
+    """Which reader an event's body goes to, by its type; `header` for types without one."""
+    from ..sources.binlog import DECODERS
+
+    return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in DECODERS.items() for x in kv]), kind.cast("int")), F.lit("header"))
+
+
 def changes(rows: DataFrame) -> DataFrame:
     """rows (row keys, event_type) with op and image, a row for each image."""
     return rows.withColumn("op", operation(F.col("event_type"))).withColumn("image", F.explode(images(F.col("event_type"))))

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stored import stored
@@ -86,3 +87,72 @@ def health_changes(polls: DataFrame) -> DataFrame:
 
 def alarm_text(message):
     return F.translate(F.substring(message, 1, 100), ":", " ")
+
+
+def registered() -> dict[str, Column]:
+    """The metrics of a log, by name: what each event adds."""
+    kind = F.col("event_type")
+    one = lambda c: F.when(c, 1).otherwise(0)
+    return {
+        "event_count": F.lit(1), "row_count": F.col("n_rows"), "byte_count": F.col("size"), "transaction_count": one(kind == 33), "ddl_count": one((kind == 2) & (F.col("statement") != "BEGIN")),
+        "insert_count": one(kind == 30), "update_count": one(kind == 31), "delete_count": one(kind == 32), "rotate_count": one(kind == 4),
+    }
+
+
+def report(ev: DataFrame, tick: Column) -> DataFrame:
+    """tick, metric_name, value of all registered metrics, in one pass."""
+    names = registered()
+    wide = ev.groupBy(tick.alias("tick")).agg(*[F.sum(c).cast("long").alias(n) for n, c in names.items()])
+    return wide.unpivot("tick", list(names), "metric_name", "value")
+
+
+def observed(ev: DataFrame, name: str):
+    """ev and an Observation that holds the registered metrics of all of it once a query over it has run."""
+    from pyspark.sql import Observation
+
+    o = Observation(name)
+    return ev.observe(o, *[F.sum(c).alias(n) for n, c in registered().items()]), o
+
+
+def due(ticks: DataFrame, interval: int) -> DataFrame:
+    """Moments (at, in seconds) at which a report is due: interval or more have passed since the last due one. A fold, by name, over the
+    moments at which the clock was looked at; each name's are few."""
+    def run(pdf):
+        last, out = None, []
+        for at in sorted(pdf["at"].tolist()):
+            if last is None or at - last >= interval:
+                last = at
+                out.append(at)
+        return pd.DataFrame({"metric_name": [pdf["metric_name"].iloc[0]] * len(out), "at": out})
+
+    return ticks.select("metric_name", "at").groupBy("metric_name").applyInPandas(run, "metric_name string, at long")
+
+
+def batch_sizes(pkg: DataFrame, most: int) -> DataFrame:
+    """batch, n, bytes of what an ordered sink takes at a time: most packages in the order of trans_seq_no."""
+    from ..functions.sequence import with_running_sum
+
+    placed = with_running_sum(stored(pkg.select("trans_seq_no", "bytes")), "trans_seq_no", F.lit(1).cast("long"), "_place")
+    return placed.groupBy(F.floor((F.col("_place") - 1) / most).alias("batch")).agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"))
+
+
+def leader(children: DataFrame) -> DataFrame:
+    """Of each parent, the child of the smallest sequence number, the last ten digits of its name: parent, child."""
+    n = F.regexp_extract("child", r"(\d{1,10})$", 1).cast("long")
+    return children.withColumn("_n", n).groupBy("parent").agg(F.min_by("child", F.struct("_n", "child")).alias("child"))
+
+
+def truncation_alarm(ev: DataFrame) -> DataFrame:
+    """trans_seq_no, alarm of transactions that were cut: id, place, length, the first database and table, `...` if there are others."""
+    own = ev.filter(F.col("event_type").isin(30, 31, 32)).groupBy("trans_seq_no").agg(F.min_by(F.struct("database_name", "table_name"), "ev_idx").alias("f"), F.count_distinct("database_name", "table_name").alias("kinds"))
+    place = ev.groupBy("trans_seq_no").agg(F.max("gtid").alias("gtid"), F.min_by("file_no", "ev_idx").alias("file_no"), F.min_by("position", "ev_idx").alias("position"), F.max_by("next_position", "ev_idx").alias("next_position"))
+    text = F.concat(F.lit("GTID:"), F.col("gtid"), F.lit(" Binlog:"), F.col("file_no").cast("string"), F.lit(":"), F.col("position").cast("string"), F.lit("~"), F.col("next_position").cast("string"), F.lit(" Len:"), (F.col("next_position") - F.col("position")).cast("string"), F.lit(" DB:"), F.col("f.database_name"), F.lit(" Table:"), F.col("f.table_name"), F.when(F.col("kinds") > 1, " ...").otherwise(""))
+    return own.join(place, "trans_seq_no").select("trans_seq_no", text.alias("alarm"))
+
+
+def assigned(topics: DataFrame, threads: int) -> DataFrame:
+    """topics (topic_no) and threads dealt to each other in turn: a row for each topic if there are as many at least, else for each thread."""
+    n = topics.count()
+    if n >= threads:
+        return topics.withColumn("thread", F.col("topic_no") % threads)
+    return topics.withColumn("thread", F.explode(F.sequence(F.col("topic_no"), F.lit(threads - 1), F.lit(max(1, n)))))

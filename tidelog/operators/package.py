@@ -187,3 +187,23 @@ def contiguous_prefix(pkg: DataFrame, base: int, most: int | None = None) -> Dat
     gap = after.join(seqs, "trans_seq_no", "left_anti").agg(F.min("trans_seq_no").alias("gap"))
     stop = gap if most is None else gap.select(F.least("gap", F.lit(base + most)).alias("gap"))
     return pkg.filter(F.col("trans_seq_no") >= base).join(F.broadcast(stop), F.col("trans_seq_no") < F.col("gap")).drop("gap")  # one row is broadcast
+
+
+RECORD = "gtid string, events array<struct<event_type bigint, database_name string, table_name string, position bigint, next_position bigint>>"
+
+
+def records(ev: DataFrame) -> DataFrame:
+    """trans_seq_no, record: each transaction as JSON with its events in order."""
+    cells = ("event_type", "database_name", "table_name", "position", "next_position")
+    g = ev.groupBy("trans_seq_no").agg(F.max("gtid").alias("gtid"), F.sort_array(F.collect_list(F.struct("ev_idx", *cells))).alias("e"))
+    events = F.transform("e", lambda x: F.struct(*[x[c].alias(c) for c in cells]))
+    return g.select("trans_seq_no", F.to_json(F.struct("gtid", events.alias("events"))).alias("record"))
+
+
+def generated(texts: DataFrame, epoch: int, start: int) -> DataFrame:
+    """Packages made of JSON transactions (trans_seq_no, record), moved so that each starts at start: gtid, events, position, next_position, message_id, key."""
+    got = texts.withColumn("r", F.from_json("record", RECORD)).select("trans_seq_no", "r.*")
+    shift = start - F.array_min(F.transform("events", lambda x: x["position"]))
+    moved = F.transform("events", lambda x: x.withField("position", x["position"] + F.col("_shift")).withField("next_position", x["next_position"] + F.col("_shift")))
+    out = got.withColumn("_shift", shift).withColumn("events", moved).drop("_shift").withColumns({"epoch": F.lit(epoch).cast("long"), "seq_no": F.lit(0).cast("long"), "position": F.lit(start).cast("long")})
+    return out.withColumns({"next_position": F.array_max(F.transform("events", lambda x: x["next_position"])), "message_id": message_id(), "key": package_key()})

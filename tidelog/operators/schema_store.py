@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 COLUMNS_JSON = "array<struct<name string, type string, position bigint>>"
@@ -69,22 +69,211 @@ def pending_ddl(ddl: DataFrame, executed: DataFrame) -> DataFrame:
     return ddl.join(executed, "gtid", "left_anti")
 
 
+def single(found: DataFrame) -> DataFrame:
+    """The rows of lookup(), which fails where a table has no current version or more than one."""
+    ok = F.col("found") == 1
+    said = F.concat(F.lit("current versions of "), F.col("database_name"), F.lit("."), F.col("table_name"), F.lit(": "), F.col("found").cast("string"))
+    return found.withColumn("version", F.when(ok, F.col("version")).otherwise(F.raise_error(said).cast("long"))).drop("found")
+
+
+def is_empty(store: DataFrame) -> DataFrame:
+    """One row: size, and whether the store has to be filled from a catalog first."""
+    return store.agg(F.count(F.lit(1)).alias("size")).withColumn("empty", F.col("size") == 0)
+
+
+def first_versions(store: DataFrame, catalog: DataFrame, seq: int = 0) -> DataFrame:
+    """The store, or if it has no rows the tables of a catalog (a row for each column) as versions 1 from seq on."""
+    if not store.isEmpty():
+        return store
+    return versions(from_catalog(catalog).withColumn("valid_from", F.lit(seq).cast("long"))).select(*store.columns)
+
+
+def to_drop(catalog: DataFrame) -> DataFrame:
+    """db_name of each database that a restore of a snapshot drops first: all but system schemas."""
+    from ..functions.scalar import is_system_schema
+
+    return catalog.select("db_name").distinct().filter(~is_system_schema(F.col("db_name")))
+
+
+def ddl_counters(status: DataFrame) -> DataFrame:
+    """total of the counters of schema changes in a status table (name, value)."""
+    name = F.col("name")
+    own = name.like("Com\\_create\\_%") | name.like("Com\\_alter\\_%") | name.like("Com\\_drop\\_%") | name.like("Com\\_rename\\_%")
+    return status.filter(own).agg(F.coalesce(F.sum("value"), F.lit(0)).alias("total"))
+
+
+def snapshot(catalog, counters, tries: int = 5) -> DataFrame:
+    """A catalog read while no schema changed: read again, tries times at most, as long as the counters before and after differ. catalog and
+    counters are functions that read them."""
+    for _ in range(tries):
+        before = ddl_counters(counters()).first()[0]
+        found = catalog().persist()
+        found.count()
+        if ddl_counters(counters()).first()[0] == before:
+            return from_catalog(found)
+        found.unpersist()
+    raise RuntimeError(f"the schema changed in each of {tries} reads")
+
+
+def needs_database(ddl: Column, database: Column) -> Column:
+    """USE of the database that a statement runs in; null for statements about databases, and without a database."""
+    about = F.upper(F.ltrim(ddl)).rlike("^(CREATE|DROP) (DATABASE|SCHEMA)")
+    return F.when((database != "") & ~about, F.concat(F.lit("USE `"), database, F.lit("`")))
+
+
+def applicable(statements: DataFrame, enabled: bool = True) -> DataFrame:
+    """Schema changes that reach the store: none if it is switched off, and none of system schemas."""
+    from ..functions.scalar import is_ddl, is_system_schema
+
+    return statements.filter(is_ddl(F.col("ddl")) & ~is_system_schema(F.col("database_name"))) if enabled else statements.limit(0)
+
+
+def close_old(store: DataFrame, new: DataFrame) -> DataFrame:
+    """The store with new schemas (db_name, table_name, schema_value, valid_from) as the versions that follow; older ones lose their status."""
+    cols = ["db_name", "table_name", "schema_value", "version", "status", "valid_from"]
+    last = store.groupBy("db_name", "table_name").agg(F.max("version").alias("last"))
+    fresh = new.join(last, ["db_name", "table_name"], "left").withColumns({"version": F.coalesce("last", F.lit(0)) + 1, "status": F.lit(1).cast("long")})
+    closed = store.join(new.select("db_name", "table_name", F.lit(1).alias("_new")).distinct(), ["db_name", "table_name"], "left").withColumn("status", F.when(F.col("_new") == 1, 0).otherwise(F.col("status")).cast("long"))
+    return closed.select(*cols).unionByName(fresh.select(*cols))
+
+
 TYPE = r"[A-Za-z]+(?:\s*\([^)]*\))?(?:\s+unsigned)?"
+OPTIONS = r"(?: (?:NOT NULL|NULL|AUTO_INCREMENT|UNIQUE|PRIMARY KEY|DEFAULT (?:'[^']*'|\S+)|COMMENT '[^']*'|CHARACTER SET \S+|COLLATE \S+))*"
+PLACE = r"(?: (?P<place>FIRST|AFTER (?P<after>`[^`]+`|\S+)))?"
+Columns = list[tuple[str, str]]
+
+
+def clauses(text: str) -> list[str]:
+    """Parts between commas that stand in no brackets and no quotes."""
+    return [c.strip() for c in re.findall(r"(?:[^,('\"`]|\((?:[^()']|'[^']*'|\([^()]*\))*\)|'[^']*'|\"[^\"]*\"|`[^`]*`)+", text)]
+
+
+def plain_name(name: str) -> str:
+    return name.split(".")[-1].strip("`\"")
 
 
-def apply_ddl(columns: list[tuple[str, str]] | None, statement: str) -> list[tuple[str, str]] | None:
-    """Columns of a table after a statement: create, drop, add, drop and modify column. None: no such table. Other statements raise."""
-    s = re.sub(r"\s+", " ", statement).strip().rstrip(";")
-    if m := re.fullmatch(r"(?i)CREATE TABLE \S+ \((.*)\)", s):
-        return [(c.split()[0].strip("`"), " ".join(c.split()[1:])) for c in re.split(r",\s*(?![^()]*\))", m[1])]
-    if re.fullmatch(r"(?i)DROP TABLE \S+", s):
+def apply_ddl(columns: Columns | None, statement: str) -> Columns | None:
+    """Columns (name, type) of a table after a statement: create, drop, truncate, and alter with one or several of add, drop, modify, change,
+    rename column, with FIRST and AFTER; clauses on keys, engines and comments leave columns as they are. None: no such table.
+    ValueError for statements of other forms, for a table or column that is not there, and for one that is there already."""
+    s = re.sub(r"\s+", " ", statement).strip().rstrip(";").strip()
+    if m := re.fullmatch(r"(?is)CREATE (?:TEMPORARY )?TABLE (IF NOT EXISTS )?\S+ ?\((.*)\)[^()]*", s):
+        if columns is not None:
+            if m[1]:
+                return columns
+            raise ValueError(f"the table is there: {s}")
+        out = []
+        for c in clauses(m[2]):
+            if not re.match(r"(?i)(PRIMARY|UNIQUE|KEY|INDEX|FULLTEXT|SPATIAL|CONSTRAINT|FOREIGN|CHECK)\b", c):
+                d = re.match(rf"(?is)(`[^`]+`|\S+) ({TYPE})", c)
+                if not d:
+                    raise ValueError(f"not a column: {c}")
+                out.append((plain_name(d[1]), d[2]))
+        return out
+    if re.fullmatch(r"(?i)DROP TABLE (IF EXISTS )?\S+( CASCADE| RESTRICT)?", s):
+        if columns is None and not re.search(r"(?i)IF EXISTS", s):
+            raise ValueError(f"no table for: {s}")
         return None
     if columns is None:
         raise ValueError(f"no table for: {s}")
-    if m := re.fullmatch(rf"(?i)ALTER TABLE \S+ ADD (?:COLUMN )?(\S+) ({TYPE})", s):
-        return [*columns, (m[1], m[2])]
-    if m := re.fullmatch(r"(?i)ALTER TABLE \S+ DROP (?:COLUMN )?(\S+)", s):
-        return [c for c in columns if c[0] != m[1]]
-    if m := re.fullmatch(rf"(?i)ALTER TABLE \S+ MODIFY (?:COLUMN )?(\S+) ({TYPE})", s):
-        return [(n, m[2] if n == m[1] else t) for n, t in columns]
-    raise ValueError(f"not supported: {s}")
+    if re.match(r"(?i)(TRUNCATE( TABLE)?|CREATE (UNIQUE |FULLTEXT |SPATIAL )?INDEX|DROP INDEX) ", s):
+        return columns
+    m = re.fullmatch(r"(?is)ALTER TABLE (\S+) (.*)", s)
+    if not m:
+        raise ValueError(f"not supported: {s}")
+    for clause in clauses(m[2]):
+        columns = altered(columns, clause)
+    return columns
+
+
+#: Clauses of an alter statement that leave columns as they are.
+NO_COLUMN = r"(?i)(ADD|DROP) (PRIMARY KEY|UNIQUE|KEY|INDEX|FULLTEXT|SPATIAL|CONSTRAINT|FOREIGN)\b.*|RENAME (INDEX|KEY|TO|AS) .*|(AUTO_INCREMENT|COMMENT|DEFAULT CHARSET|CHARSET|ROW_FORMAT|DISABLE KEYS|ENABLE KEYS|CONVERT TO)\b.*"
+
+
+def altered(columns: Columns, clause: str) -> Columns:
+    names = [c[0] for c in columns]
+
+    def at(name: str) -> int:
+        if name not in names:
+            raise ValueError(f"no column {name}: {clause}")
+        return names.index(name)
+
+    def put(rest: Columns, column: tuple[str, str], m: re.Match, else_at: int) -> Columns:
+        if not m["place"]:
+            i = else_at
+        elif m["after"]:
+            i = 1 + [c[0] for c in rest].index(plain_name(m["after"])) if plain_name(m["after"]) in [c[0] for c in rest] else at(plain_name(m["after"]))
+        else:
+            i = 0
+        return [*rest[:i], column, *rest[i:]]
+
+    if re.fullmatch(NO_COLUMN, clause):
+        return columns
+    if m := re.fullmatch(rf"(?i)ADD (?:COLUMN )?(?P<name>`[^`]+`|\S+) (?P<type>{TYPE}){OPTIONS}{PLACE}", clause):
+        if plain_name(m["name"]) in names:
+            raise ValueError(f"the column is there: {clause}")
+        return put(columns, (plain_name(m["name"]), m["type"]), m, len(columns))
+    if m := re.fullmatch(r"(?i)DROP (?:COLUMN )?(`[^`]+`|\S+)", clause):
+        i = at(plain_name(m[1]))
+        return columns[:i] + columns[i + 1 :]
+    if m := re.fullmatch(rf"(?i)MODIFY (?:COLUMN )?(?P<name>`[^`]+`|\S+) (?P<type>{TYPE}){OPTIONS}{PLACE}", clause):
+        i = at(plain_name(m["name"]))
+        return put(columns[:i] + columns[i + 1 :], (names[i], m["type"]), m, i)
+    if m := re.fullmatch(rf"(?i)CHANGE (?:COLUMN )?(?P<old>`[^`]+`|\S+) (?P<name>`[^`]+`|\S+) (?P<type>{TYPE}){OPTIONS}{PLACE}", clause):
+        i = at(plain_name(m["old"]))
+        return put(columns[:i] + columns[i + 1 :], (plain_name(m["name"]), m["type"]), m, i)
+    if m := re.fullmatch(r"(?i)RENAME COLUMN (`[^`]+`|\S+) TO (`[^`]+`|\S+)", clause):
+        i = at(plain_name(m[1]))
+        return [*columns[:i], (plain_name(m[2]), columns[i][1]), *columns[i + 1 :]]
+    raise ValueError(f"not supported: {clause}")
+
+
+def applied(tables: dict[tuple[str, str], Columns], changes: list[tuple[str, str, str]], executed: set[str], tries: int = 3) -> tuple[dict[tuple[str, str], Columns], list[tuple[str, str]]]:
+    """Tables after changes (gtid, database, statement), in order, and what could not be applied (gtid, why). A change whose gtid was
+    executed is passed over; one that fails leaves the tables as they were. executed takes in what was applied.
+
+    A statement that fails is tried again, tries times in all: a store that is out of reach may be back."""
+    failed = []
+    for gtid_, db, statement in changes:
+        if gtid_ in executed:
+            continue
+        for attempt in range(tries):
+            try:
+                tables = one_applied(tables, db, statement)
+                executed.add(gtid_)
+                break
+            except ValueError as fault:
+                if attempt == tries - 1:
+                    failed.append((gtid_, str(fault)))
+    return tables, failed
+
+
+def one_applied(tables: dict[tuple[str, str], Columns], db: str, statement: str) -> dict[tuple[str, str], Columns]:
+    s = re.sub(r"\s+", " ", statement).strip().rstrip(";").strip()
+    out = dict(tables)
+    if m := re.fullmatch(r"(?i)DROP (?:DATABASE|SCHEMA) (?:IF EXISTS )?(\S+)", s):
+        return {k: v for k, v in out.items() if k[0] != plain_name(m[1])}
+    if re.match(r"(?i)(CREATE|ALTER) (DATABASE|SCHEMA) ", s):
+        return out
+    if m := re.fullmatch(r"(?i)RENAME TABLE (.*)", s):
+        for pair in clauses(m[1]):
+            old, new = (key_of(db, n) for n in re.split(r"(?i) TO ", pair))
+            if old not in out or new in out:
+                raise ValueError(f"cannot rename: {pair}")
+            out[new] = out.pop(old)
+        return out
+    m = re.match(r"(?i)(?:CREATE (?:TEMPORARY )?TABLE (?:IF NOT EXISTS )?|DROP TABLE (?:IF EXISTS )?|ALTER TABLE |TRUNCATE (?:TABLE )?|(?:CREATE (?:UNIQUE |FULLTEXT |SPATIAL )?|DROP )INDEX \S+ ON )([^\s(]+)", s)
+    if not m:
+        raise ValueError(f"not supported: {s}")
+    key = key_of(db, m[1])
+    after = apply_ddl(out.get(key), s)
+    moved = re.search(r"(?i)^ALTER TABLE \S+ (?:.*, ?)?RENAME (?:TO |AS )(\S+)$", s)
+    out.pop(key, None)
+    if after is not None:
+        out[key_of(db, moved[1]) if moved else key] = after
+    return out
+
+
+def key_of(db: str, name: str) -> tuple[str, str]:
+    parts = [p.strip("`\"") for p in name.split(".")]
+    return (parts[0], parts[1]) if len(parts) > 1 else (db, parts[0])

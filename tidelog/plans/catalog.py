@@ -501,7 +501,7 @@ RUNS = f"""{EMPTY}, b AS (SELECT *, CASE WHEN n_events = 0 AND (place - 1) % 20
 
 
 @query(f"""WITH {RUNS} SELECT min(trans_seq_no) AS trans_seq_no, max(trans_seq_no) AS last_seq_no, count(*) AS n_merged, arg_min(file_no, trans_seq_no) AS file_no, arg_min(position, trans_seq_no) AS position, arg_max(next_file_no, trans_seq_no) AS next_file_no,
-  arg_max(next_position, trans_seq_no) AS next_position, coalesce(concat('{change_log.SOURCE_UUID}:', any_value(spans)), '') AS gtid_text FROM (SELECT r.*, spans FROM r LEFT JOIN t ON r.run = t.run) GROUP BY run""".replace("coalesce(concat('" + change_log.SOURCE_UUID + ":', any_value(spans)), '')", "CASE WHEN any_value(spans) IS NULL THEN '' ELSE concat('" + change_log.SOURCE_UUID + ":', any_value(spans)) END"))
+  arg_max(next_position, trans_seq_no) AS next_position, CASE WHEN any_value(spans) IS NULL THEN '' ELSE concat('{change_log.SOURCE_UUID}:', any_value(spans)) END AS gtid_text FROM (SELECT r.*, spans FROM r LEFT JOIN t ON r.run = t.run) GROUP BY run""")
 def merge_empty(spark, d):
     t = trx(spark, d).filter("trans_seq_no % 50 <> 0").withColumn("n_events", F.when(F.col("trans_seq_no") % 9 < 7, 0).otherwise(F.col("n_events")))
     return package.merge_empty(t, batch=20)
@@ -667,3 +667,6 @@ def string_functions(spark, d):
 def scalar_functions(spark, d):
     k = F.col("event_id")
     return read(spark, d, "events").select("event_id", S.stamp(F.col("ts")).alias("stamp"), S.write_bits(k % 16, 4).alias("bits"), S.bit_at((k % 8).cast("long"), F.lit(2)).alias("third"))
+
+
+from . import delivery, dumps, receive  # noqa: E402, F401

@@ -6,11 +6,17 @@ An event is a 19-byte little-endian header (time, type, server, size, end positi
 from __future__ import annotations
 
 import struct
+import zlib
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 MAGIC, HEADER = b"\xfebin", struct.Struct("<IBIIIH")
+#: Rows of a batch that is handed to Spark.
+BATCH = 8192
+#: Which part of the reader an event's body goes to; all others have a header only.
+DECODERS = {2: "query", 4: "rotate", 16: "xid", 19: "table_map", 33: "gtid", **{k: "rows" for k in (23, 24, 25, 30, 31, 32)}}
 SCHEMA = "path string, timestamp long, event_type int, server_id long, event_size long, log_pos long, flag int, payload binary"
 
 
@@ -36,8 +42,8 @@ def decode(path: str, data: bytes) -> list[tuple]:
     return out
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """All events of the files at path; Spark lists and reads the files, so that any store works."""
+def decoded(files: DataFrame, checksums: bool = False, with_payload: bool = True) -> DataFrame:
+    """The events of files (path, content). checksums: each ends in four bytes of one, which are left out; with_payload: bodies are kept."""
 
     def run(batches):
         names = ["path", "timestamp", "event_type", "server_id", "event_size", "log_pos", "flag", "payload"]
@@ -45,9 +51,87 @@ def read(spark: SparkSession, path: str) -> DataFrame:
         for b in batches:
             for p, c in zip(b.column("path").to_pylist(), b.column("content").to_pylist(), strict=True):
                 rows = decode(p, c)
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=names)
+                for at in range(0, len(rows), BATCH):
+                    part = rows[at : at + BATCH]
+                    cols = [pa.array([r[i] for r in part], t) for i, t in enumerate(types[:-1])]
+                    bodies = pa.array([strip_checksum(r[7], checksums) if with_payload else None for r in part], pa.binary())
+                    yield pa.RecordBatch.from_arrays([*cols, bodies], names=names)
+
+    return files.select("path", "content").mapInArrow(run, SCHEMA)
+
+
+def read(spark: SparkSession, path: str, checksums: bool = False) -> DataFrame:
+    """All events of the files at path; Spark lists and reads the files, so that any store works."""
+    return decoded(spark.read.format("binaryFile").load(path), checksums)
+
+
+def read_stream(spark: SparkSession, path: str, files_per_batch: int = 1, checksums: bool = False) -> DataFrame:
+    """Events of files as they arrive at path. A file is read once, when it is there: files are moved in whole."""
+    raw = "path string, modificationTime timestamp, length long, content binary"
+    return decoded(spark.readStream.schema(raw).format("binaryFile").option("maxFilesPerTrigger", files_per_batch).load(path), checksums)
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, SCHEMA)
+
+def write(ev: DataFrame, body, by: str, order: list[str], checksums: bool = False) -> DataFrame:
+    """path, content: a binary file for each value of by, of the events in order. body(row) gives (timestamp, type, flag, bytes)."""
+
+    def run(batches):
+        own, held = None, []
+
+        def file():
+            return pa.RecordBatch.from_arrays([pa.array([str(own)]), pa.array([encode(held)], pa.binary())], names=["path", "content"])
+
+        for b in batches:
+            for r in b.to_pylist():
+                if r[by] != own:
+                    if held:
+                        yield file()
+                    own, held = r[by], []
+                ts, kind, flag, data = body(r)
+                held.append((ts, kind, 1, flag, data + struct.pack("<I", zlib.crc32(data)) if checksums else data))
+        if held:
+            yield file()
+
+    return ev.repartition(by).sortWithinPartitions(by, *order).mapInArrow(run, "path string, content binary")
+
+
+def group_commit_of(body: bytes) -> tuple[int | None, int | None]:
+    """last_committed and sequence_number of a gtid event, which has them if a type code of 2 and 16 bytes follow."""
+    if len(body) < 42 or body[25] != 2:
+        return None, None
+    return struct.unpack_from("<qq", body, 26)
+
+
+def query_of(body: bytes) -> tuple[str, str]:
+    """Database and statement of a query event: 13 bytes, the status variables, whose length they tell, a name that ends in 0, and the rest."""
+    names, status = body[8], struct.unpack_from("<H", body, 11)[0]
+    at = 13 + status
+    return body[at : at + names].decode(), body[at + names + 1 :].decode("utf-8", "replace")
+
+
+DETAILS = "gtid string, last_committed long, sequence_number long, database_name string, statement string, next_file string, next_file_pos long, xid long, decoder string"
+
+
+def details(events: DataFrame) -> DataFrame:
+    """events (event_type, payload) with what their bodies hold, by the decoder of their type; null for what a type does not have."""
+
+    @F.arrow_udf(f"struct<{DETAILS.replace(' ', ':').replace(',:', ',')}>")
+    def read_body(kinds: pa.Array, bodies: pa.Array) -> pa.Array:
+        out = []
+        for kind, body in zip(kinds.to_pylist(), bodies.to_pylist(), strict=True):
+            r = dict.fromkeys([c.split()[0] for c in DETAILS.split(", ")])
+            r["decoder"] = DECODERS.get(kind, "header")
+            if kind == 33:
+                r["gtid"], (r["last_committed"], r["sequence_number"]) = gtid_of(body), group_commit_of(body)
+            elif kind == 2:
+                r["database_name"], r["statement"] = query_of(body)
+            elif kind == 4:
+                r["next_file"], r["next_file_pos"] = rotate_of(body)
+            elif kind == 16:
+                r["xid"] = struct.unpack_from("<q", body)[0]
+            out.append(r)
+        return pa.array(out, pa.struct([(c.split()[0], pa.int64() if c.endswith("long") else pa.string()) for c in DETAILS.split(", ")]))
+
+    return events.withColumn("_d", read_body("event_type", "payload")).select(*events.columns, "_d.*")
 
 
 def gtid_of(body: bytes) -> str:

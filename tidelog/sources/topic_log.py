@@ -30,6 +30,11 @@ def watermarks(log: DataFrame) -> DataFrame:
     return log.groupBy("topic", "partition").agg(F.min("offset").alias("low"), (F.max("offset") + 1).alias("high"))
 
 
+def metadata(log: DataFrame) -> DataFrame:
+    """Topics with their partitions, messages, and first and next offsets."""
+    return log.groupBy("topic", "partition").agg(F.count(F.lit(1)).alias("messages"), F.min("offset").alias("low"), (F.max("offset") + 1).alias("high"))
+
+
 def scan(log: DataFrame, end: int | None = None, most: int | None = None) -> DataFrame:
     """Messages in order up to an offset, and at most some."""
     df = log.filter(F.col("offset") <= end) if end is not None else log

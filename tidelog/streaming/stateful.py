@@ -66,3 +66,10 @@ def run_to_end(df: DataFrame, name: str, checkpoint: str, mode: str = "append")
     q = df.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
     return df.sparkSession.table(name)
+
+
+def run_to_files(df: DataFrame, path: str, checkpoint: str, schema: str) -> DataFrame:
+    """Run a stream over all that is there, into Parquet files. A run that is stopped goes on from its checkpoint, and writes nothing twice."""
+    q = df.writeStream.outputMode("append").format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return df.sparkSession.read.schema(schema).parquet(path)
