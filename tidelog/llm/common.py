@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.stored import stored
+
+#: What ends a lineage; its tables stay in the shared folder until clean_up() of the module it comes from.
+store = stored
+
 #: Rows of text handed to Python code at a time, whatever the size of Spark's own batches.
 ROWS_AT_A_TIME = 512
 
@@ -21,26 +24,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one in local mode only."""
-    sc = spark.sparkContext
-    found = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not sc.master.split("[")[0] == "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = tempfile.mkdtemp(prefix="tidelog-")
-        sc.setCheckpointDir(found)
-    return found
-
-
-def store(df: DataFrame) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it again: the lineage ends, and a lost executor loses nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/tidelog-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that df does not have."""
     taken = {c.lower() for c in df.columns}
