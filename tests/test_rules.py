@@ -210,3 +210,29 @@ def test_id_sets_over_many_spans(spark):
     assert sorted([r.lo, r.hi] for r in gtid.merge(df).collect()) == want
     inner = spark.createDataFrame([(1, "u", *want[0]), (2, "u", want[0][0], want[0][1] + 1), (3, "v", 1, 1)], "set_id long, uuid string, lo long, hi long")
     assert {r.set_id: r.contained for r in gtid.contains(df.drop("set_id"), inner).collect()} == {1: True, 2: False, 3: False}
+
+
+def test_delivery_is_tried_again(spark, tmp_path, monkeypatch):
+    from tidelog.sources import topic_log
+
+    fails, real = [0, 0], topic_log.write
+    monkeypatch.setattr(topic_log, "write", lambda df, path: (_ for _ in ()).throw(OSError("full")) if fails and fails.pop() == 0 else real(df, path))
+    assert topic_log.deliver(spark.range(3), str(tmp_path / "t"), pause=0) == 3 and spark.read.parquet(str(tmp_path / "t")).count() == 3
+    fails += [0] * 9
+    with pytest.raises(OSError):
+        topic_log.deliver(spark.range(3), str(tmp_path / "t"), tries=2, pause=0)
+    fails.clear()
+    spark.range(5).write.parquet(str(tmp_path / "in"))
+    q = topic_log.write_stream(spark.readStream.schema("id long").parquet(str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 5
+
+
+def test_dump_options_and_compression(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a"), (2, None)], "k long, v string")
+    o = inspect.DumpOptions(create=False, lock=False, names=False, rows=1, verb="REPLACE INTO")
+    assert [r.text for r in inspect.table_dump(df, "", "t", "k", {"k": "number", "v": "text"}, o).orderBy("place").collect()] == ['REPLACE INTO t VALUES (1,"a");', "REPLACE INTO t VALUES (2,NULL);"]
+    o = inspect.DumpOptions(data=False, drop=True, defer_keys=False)
+    assert [r.text for r in inspect.table_dump(df, "CREATE TABLE t (k INT, KEY (k))", "t", "k", {}, o).orderBy("step").collect()] == ["DROP TABLE IF EXISTS t;", "CREATE TABLE t (k INT, KEY (k));"]
+    sinks.write_text(df, "v", str(tmp_path / "z"), "gzip")
+    assert spark.read.text(str(tmp_path / "z")).count() == 2 and list((tmp_path / "z").glob("*.gz"))

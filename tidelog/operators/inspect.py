@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -207,3 +209,41 @@ def account(user: Column, host: Column) -> Column:
     """'user'@'host', with quotes and backslashes escaped."""
     q = lambda c: F.concat(F.lit("'"), F.regexp_replace(F.regexp_replace(c, r"\\", r"\\\\"), "'", r"\\'"), F.lit("'"))
     return F.concat(q(user), F.lit("@"), q(host))
+
+
+@dataclass
+class DumpOptions:
+    """verb: INSERT INTO, REPLACE INTO or INSERT IGNORE INTO; rows of a statement; column names; keys after the rows; locks; what is left out."""
+
+    verb: str = "INSERT INTO"
+    rows: int = 250
+    names: bool = True
+    defer_keys: bool = True
+    lock: bool = True
+    create: bool = True
+    drop: bool = False
+    data: bool = True
+
+
+def table_dump(df: DataFrame, create: str, table: str, key: str, columns: dict[str, str], options: DumpOptions | None = None) -> DataFrame:
+    """step, place, text of a table's dump in order: drop, create, lock, rows, unlock, keys, as the options ask for."""
+    o = options or DumpOptions()
+    spark = df.sparkSession
+    one = spark.createDataFrame([(create,)], "ddl string").withColumn("k", key_lines(F.col("ddl")))
+    text = lambda step, c: one.select(F.lit(step).alias("step"), F.lit(0).cast("long").alias("place"), c.alias("text"))
+    made = create_without_keys(F.col("ddl")) if o.defer_keys else F.col("ddl")
+    parts = []
+    if o.drop:
+        parts.append(text(0, F.lit(f"DROP TABLE IF EXISTS {table};")))
+    if o.create:
+        parts.append(text(1, F.concat(made, F.lit(";"))))
+    if o.data:
+        if o.lock:
+            parts += [text(2, F.lit(f"LOCK TABLES {table} WRITE;")), text(4, F.lit("UNLOCK TABLES;"))]
+        parts.append(dump_groups(df, table, key, columns, o.rows, o.verb, o.names).select(F.lit(3).alias("step"), F.col("group_no").alias("place"), F.col("statement").alias("text")))
+    if o.create and o.defer_keys:
+        parts.append(text(5, add_keys(F.lit(table), F.col("k"))).filter("text is not null"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionAll(p)
+    return out

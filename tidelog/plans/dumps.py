@@ -123,3 +123,12 @@ def time_functions(spark, d):
     t = F.col("ts").cast("timestamp")
     after = F.timestamp_micros(F.unix_micros(t) + F.col("user_id") * 1500)
     return read(spark, d, "events").select("event_id", S.stamp_us(F.col("ts")).alias("stamp"), S.elapsed_us(t, after).alias("us"), S.elapsed_ms(t, after).alias("ms"))
+
+
+@query("""WITH r AS (SELECT row_number() OVER (ORDER BY s_suppkey) - 1 AS place, s_suppkey, concat('(', s_suppkey, ',"', s_name, '")') AS r FROM supplier) SELECT 1::BIGINT AS step, 0::BIGINT AS place, 'CREATE TABLE s (
+  id INT
+);' AS text UNION ALL SELECT 2, 0, 'LOCK TABLES s WRITE;' UNION ALL SELECT 3, place // 50, concat('INSERT IGNORE INTO s (s_suppkey,s_name) VALUES ', string_agg(r, ',' ORDER BY s_suppkey), ';') FROM r GROUP BY 2 UNION ALL SELECT 4, 0, 'UNLOCK TABLES;' UNION ALL SELECT 5, 0, 'ALTER TABLE s ADD KEY k (id);'""")
+def table_dump(spark, d):
+    o = inspect.DumpOptions(verb="INSERT IGNORE INTO", rows=50)
+    got = inspect.table_dump(read(spark, d, "supplier"), "CREATE TABLE s (\n  id INT,\n  KEY k (id)\n)", "s", "s_suppkey", {"s_suppkey": "number", "s_name": "text"}, o)
+    return got.withColumn("step", F.col("step").cast("long"))

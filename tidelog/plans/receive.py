@@ -208,3 +208,14 @@ def wire_round_trip(spark, d):
     back = compression.unpack(wire.decode(w, wire.PACKAGE))
     parts = F.split(F.col("data").cast("string"), r"\|")
     return back.select("trans_seq_no", "gtid", parts[0].cast("long").alias("n_events"), parts[1].cast("long").alias("bytes"))
+
+
+@query(f"WITH {TRX} SELECT trans_seq_no, row_number() OVER (ORDER BY trans_seq_no) + 499 AS \"offset\" FROM trx WHERE trans_seq_no % 7 <> 0")
+def topic_offsets(spark, d):
+    return topic_log.with_offsets(trx(spark, d).filter("trans_seq_no % 7 <> 0").select("trans_seq_no"), "trans_seq_no", 500)
+
+
+@query(f'WITH {PKG} SELECT trans_seq_no, max("offset") AS "offset" FROM pkg WHERE trans_seq_no < 1200 GROUP BY trans_seq_no')
+def topic_acknowledged(spark, d):
+    p = pkg(spark, d).select("trans_seq_no", "seq_no", "offset")
+    return topic_log.acknowledged(p.drop("offset").distinct(), p.filter("trans_seq_no not in (1200, 1300)")).select("trans_seq_no", "offset")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,3 +50,39 @@ def partition_of(gtid, n: int):
 
 def write(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
+
+
+def with_offsets(df: DataFrame, order: str, start: int = 0) -> DataFrame:
+    """Messages with the offsets that a sink gives them: consecutive, in the order of a column."""
+    from ..functions.sequence import with_running_sum
+    from ..functions.stored import stored
+
+    return with_running_sum(stored(df), order, F.lit(1).cast("long"), "_place").withColumn("offset", F.col("_place") - 1 + start).drop("_place")
+
+
+def deliver(df: DataFrame, path: str, tries: int = 5, pause: float = 0.2) -> int:
+    """Append a batch to a topic; a write that fails is tried again after a pause, tries times in all, and then raises. The number of attempts.
+    A failed attempt leaves no messages: files count only when the write is committed."""
+    for attempt in range(1, tries + 1):
+        try:
+            write(df, path)
+            return attempt
+        except Exception:
+            if attempt == tries:
+                raise
+            time.sleep(pause)
+    return tries
+
+
+def write_stream(df: DataFrame, path: str, checkpoint: str, batch_rows: int | None = None):
+    """A stream into a topic. Spark hands on the next batch only when the one before is written, which is the back-pressure."""
+    return df.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(lambda batch, _: deliver(batch, path) and None)
+
+
+def acknowledged(pkg: DataFrame, acks: DataFrame) -> DataFrame:
+    """Packages up to the first that is not acknowledged: pkg (trans_seq_no, seq_no, ...) with the offset of its acknowledgement, acks
+    (trans_seq_no, seq_no, offset). A package acknowledged twice has its last offset."""
+    a = acks.groupBy("trans_seq_no", "seq_no").agg(F.max("offset").alias("offset"))
+    all_ = pkg.drop("offset").join(a, ["trans_seq_no", "seq_no"], "left")
+    first = all_.filter("offset is null").agg(F.min(F.struct("trans_seq_no", "seq_no")).alias("_gap"))
+    return all_.join(F.broadcast(first), F.col("_gap").isNull() | (F.struct("trans_seq_no", "seq_no") < F.col("_gap"))).drop("_gap")  # one row is broadcast
