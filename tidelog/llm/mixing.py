@@ -55,7 +55,7 @@ def copies(rate: Column, doc_id: Column) -> Column:
 def plan(docs: DataFrame) -> DataFrame:
     """doc_id, size, source_size, target, taken, copies of every row. A null source is a source of its own, the last;
     a null or empty text has size 0 and takes nothing; equal rows are drawn alike. An empty table gives no rows."""
-    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
+    sized = store(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")))  # each text is split once
     goal = store(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"))).withColumnRenamed("source", "name"))
     joined = with_rates(sized, goal, "name")
     return joined.select(F.col("doc_id").cast("long").alias("doc_id"), "size", "source_size", "target", copies(F.col("rate"), F.col("doc_id")).alias("copies")).withColumn("taken", F.col("size") * F.col("copies")).select("doc_id", "size", "source_size", "target", "taken", "copies")
