@@ -314,10 +314,9 @@ def metric_files(spark, d):
     return sinks.rolling(lines, "sample", F.col("size"), 4096).select("sample", "file")
 
 
-@query("SELECT o_custkey, max(o_orderkey) AS last_ts FROM orders GROUP BY o_custkey HAVING max(o_orderkey) < 1000")
+@query("SELECT o_orderkey AS file, o_orderkey * 60 AS last_ts FROM orders WHERE o_orderkey * 60 < 900000 - 864000")
 def expired_files(spark, d):
-    f = read(spark, d, "orders").groupBy("o_custkey").agg(F.max("o_orderkey").alias("last_ts"))
-    return sinks.expired(f, F.lit(1000000), 999000)
+    return sinks.expired(read(spark, d, "orders").select(F.col("o_orderkey").alias("file"), (F.col("o_orderkey") * 60).alias("last_ts")), F.lit(900000), 864000)
 
 
 @query(f"""WITH {EV}, f AS (SELECT trans_seq_no, arg_min(database_name, ev_idx) AS db, arg_min(table_name, ev_idx) AS t, count(DISTINCT concat(database_name, '.', table_name)) AS k FROM ev WHERE event_type IN (30, 31, 32) GROUP BY 1), p AS (SELECT trans_seq_no, max(gtid) AS gtid, arg_min(file_no, ev_idx) AS file_no, arg_min(position, ev_idx) AS a, arg_max(next_position, ev_idx) AS z FROM ev GROUP BY 1)
