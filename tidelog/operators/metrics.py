@@ -51,7 +51,8 @@ def replica_gate(trx: DataFrame, polls: DataFrame, timeout: int) -> DataFrame:
     the spans until the next poll of its replica, and of numbers, where a poll that raises what is executed is dealt to the spans it
     covers anew. Spans are as many as the polls need, so that pairs that meet are about one a transaction and replica."""
     w = Window.partitionBy("server_id").orderBy("poll_ts", "poll_id")
-    onward = w.rowsBetween(1, Window.unboundedFollowing)
+    # what follows, as a running minimum from the end: a frame that reaches to the end would be read anew for each row
+    onward = Window.partitionBy("server_id").orderBy(F.desc("poll_ts"), F.desc("poll_id")).rowsBetween(Window.unboundedPreceding, -1)
     p = stored(polls.withColumns({"until": F.lead("poll_ts").over(w), "unhealthy_at": F.min(F.when(~F.col("healthy"), F.col("poll_ts"))).over(onward)}))
     covers = polls.filter("healthy").withColumn("before", F.coalesce(F.max("executed_to").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).filter("executed_to > before")
     trx = stored(trx)
