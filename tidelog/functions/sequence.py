@@ -2,7 +2,7 @@
 
 A plain window without a partition puts all rows into one task. Here the order is cut into ranges of a key that hold about
 equally many rows, whatever the key's values are; each range is a partition, and what crosses a border goes through a table of one
-row a range. The input is read more than once: hand over a stored table, or one that is cheap to derive.
+row a range. The input is read more than once: hand over a stored table, or one that is cheap to derive, and the borders if they are known.
 """
 
 from __future__ import annotations
@@ -16,11 +16,14 @@ ROWS, FINEST = 1_000_000, 10_000
 
 def ranges_of(df: DataFrame, key: str, rows: int = ROWS) -> list[int]:
     """Borders of ranges of about equally many rows: quantiles of key, as many as the shuffle has partitions, or as rows asks for."""
-    n = df.count()
-    parts = min(FINEST, max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // rows)))
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cut = lambda parts: F.percentile_approx(key, [i / parts for i in range(1, parts)] or [0.5], 10_000)
+    n, found = df.select(F.count(F.lit(1)), cut(least)).first()
+    parts = min(FINEST, max(least, -(-n // rows)))
     if n <= 1 or parts <= 1:
         return []
-    found = df.select(F.percentile_approx(key, [i / parts for i in range(1, parts)], 10_000)).first()[0]
+    if parts > least:
+        found = df.select(cut(parts)).first()[0]
     return sorted(set(found or []))
 
 
@@ -40,13 +43,13 @@ def ranged(df: DataFrame, key: str, rows: int = ROWS, borders: list[int] | None
     return df.withColumn("_range", range_number(F.col(key), ranges_of(df, key, rows) if borders is None else borders))
 
 
-def with_previous(df: DataFrame, key: str, values: dict[str, Column], rows: int = ROWS, by: list[str] | None = None) -> DataFrame:
+def with_previous(df: DataFrame, key: str, values: dict[str, Column], rows: int = ROWS, by: list[str] | None = None, borders: list[int] | None = None) -> DataFrame:
     """df and, by name, the values of the row before in the order of key (null for the first), within the columns `by`.
 
     Range borders: the last row of each range is taken by one aggregation, and a window over one row a range
     carries it to the next range that has rows."""
     by = by or []
-    df = ranged(df, key, rows)
+    df = ranged(df, key, rows, borders)
     own = Window.partitionBy(*by, "_range").orderBy(key)
     row = F.struct(*[v.alias(n) for n, v in values.items()])
     tails = df.groupBy(*by, "_range").agg(F.max_by(row, F.col(key)).alias("_tail"))
@@ -57,9 +60,9 @@ def with_previous(df: DataFrame, key: str, values: dict[str, Column], rows: int
     return joined.withColumns({n: before[n] for n in values}).drop("_range", "_lag", "_first", "_before")
 
 
-def with_running_sum(df: DataFrame, key: str, value: Column, name: str, rows: int = ROWS) -> DataFrame:
+def with_running_sum(df: DataFrame, key: str, value: Column, name: str, rows: int = ROWS, borders: list[int] | None = None) -> DataFrame:
     """df and the sum of value up to and with the row, in the order of key."""
-    df = ranged(df, key, rows).withColumn("_value", value)
+    df = ranged(df, key, rows, borders).withColumn("_value", value)
     own = Window.partitionBy("_range").orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
     sums = df.groupBy("_range").agg(F.sum("_value").alias("_sum"))
     sums = sums.withColumn("_base", F.coalesce(F.sum("_sum").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_sum")

@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.sequence import ROWS, with_previous
-from ..functions.stored import stored
+from ..functions.sequence import ROWS, ranges_of, with_previous
 
 
 def summaries(ev: DataFrame) -> DataFrame:
@@ -39,19 +38,24 @@ def transaction_breaks(trx: DataFrame, rows: int = ROWS) -> DataFrame:
     hand over a stored table."""
     seq, known = F.col("trans_seq_no"), F.coalesce(F.col("gtid"), F.lit("")) != ""
     end = F.struct("trans_seq_no", F.col("next_file_no").alias("file_no"), F.col("next_position").alias("position"))
-    epochs = stored(trx.groupBy("epoch").agg(F.max_by(end, seq).alias("tail"), F.max(known).alias("sure")))
-    ends = epochs.select(F.col("epoch").alias("before"), "tail.file_no", "tail.position")
-    meets = trx.join(epochs.filter(~F.col("sure")).select("epoch"), "epoch", "left_semi").join(ends, ["file_no", "position"]).filter("before < epoch")
-    meets = meets.groupBy("epoch").agg(F.collect_set("before").alias("meets"))
-    last, rows_of_epochs = None, []
-    for r in epochs.join(meets, "epoch", "left").orderBy("epoch").collect():  # a row for each restart
-        rows_of_epochs.append((r["epoch"], *((None, None) if last is None else (last["tail"]["file_no"], last["tail"]["position"]))))
-        if last is None or r["sure"] or last["epoch"] in (r["meets"] or []):
+    epochs = trx.groupBy("epoch").agg(F.max_by(end, seq).alias("tail"), F.max(known).alias("sure")).orderBy("epoch").collect()  # a row for each restart
+    spark, meets = trx.sparkSession, {}
+    if not all(r["sure"] for r in epochs):
+        ends = spark.createDataFrame([(r["epoch"], r["tail"]["file_no"], r["tail"]["position"]) for r in epochs], "before long, file_no long, position long")
+        lone = spark.createDataFrame([(r["epoch"],) for r in epochs if not r["sure"]], "epoch long")
+        met = trx.join(lone, "epoch", "left_semi").join(ends, ["file_no", "position"]).filter("before < epoch")
+        meets = {r["epoch"]: r["meets"] for r in met.groupBy("epoch").agg(F.collect_set("before").alias("meets")).collect()}
+    last, before = None, []
+    for r in epochs:
+        before.append((r["epoch"], *((None, None) if last is None else (last["tail"]["file_no"], last["tail"]["position"]))))
+        if last is None or r["sure"] or last["epoch"] in meets.get(r["epoch"], ()):
             last = r
-    before = trx.sparkSession.createDataFrame(rows_of_epochs, "epoch long, end_file long, end_position long")
+    ended = spark.createDataFrame(before, "epoch long, end_file long, end_position long")
     taken = known | F.col("end_file").isNull() | (F.col("file_no") == F.col("end_file")) & (F.col("position") == F.col("end_position"))
-    starts = trx.join(before, "epoch").filter(taken).groupBy("epoch").agg(F.min(seq).alias("from_seq"))
-    t = with_previous(stored(trx.join(starts, "epoch").filter("trans_seq_no >= from_seq").drop("from_seq")), "trans_seq_no", {"prev_seq": seq, "prev_file_no": F.col("next_file_no"), "prev_position": F.col("next_position")}, rows)
+    starts = trx.join(ended, "epoch").filter(taken).groupBy("epoch").agg(F.min(seq).alias("from_seq")).collect()
+    starts = spark.createDataFrame([tuple(r) for r in starts], "epoch long, from_seq long")
+    kept = trx.join(starts, "epoch").filter("trans_seq_no >= from_seq").drop("from_seq")
+    t = with_previous(kept, "trans_seq_no", {"prev_seq": seq, "prev_file_no": F.col("next_file_no"), "prev_position": F.col("next_position")}, rows, borders=ranges_of(trx, "trans_seq_no", rows))
     return t.filter("prev_seq is not null and (file_no <> prev_file_no or position <> prev_position)").select("trans_seq_no", "gtid", "file_no", "position", "prev_seq", "prev_file_no", "prev_position")
 
 

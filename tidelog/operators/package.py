@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.sequence import ROWS, with_previous, with_running_sum
+from ..functions.sequence import ROWS, ranges_of, with_previous, with_running_sum
 from ..functions.stored import stored
 from .gtid import merge, parse, to_text
 
@@ -158,15 +158,17 @@ def merge_empty(trx: DataFrame, batch: int | None = None, rows: int = ROWS) -> D
 
     batch: transactions a sink takes at a time, counted in the order of trans_seq_no; a run does not go on in the next batch."""
     trx = stored(trx)
+    borders = ranges_of(trx, "trans_seq_no", rows)
     values = {"was_empty": F.col("n_events") == 0, "end_file": F.col("next_file_no"), "end_pos": F.col("next_position")}
     if batch:
-        trx = stored(with_running_sum(trx, "trans_seq_no", F.lit(1).cast("long"), "_place", rows).withColumn("_batch", F.floor((F.col("_place") - 1) / batch)).drop("_place"))
+        placed = with_running_sum(trx, "trans_seq_no", F.lit(1).cast("long"), "_place", rows, borders)
+        trx = stored(placed.withColumn("_batch", F.floor((F.col("_place") - 1) / batch)).drop("_place"))
         values["was_batch"] = F.col("_batch")
-    p = stored(with_previous(trx, "trans_seq_no", values, rows))
+    p = with_previous(trx, "trans_seq_no", values, rows, borders=borders)
     joined = (F.col("n_events") == 0) & F.coalesce(F.col("was_empty") & (F.col("end_file") == F.col("file_no")) & (F.col("end_pos") == F.col("position")), F.lit(False))
     if batch:
         joined = joined & (F.col("was_batch") == F.col("_batch"))
-    r = with_running_sum(p, "trans_seq_no", F.when(joined, 0).otherwise(1).cast("long"), "run", rows)
+    r = stored(with_running_sum(p.withColumn("_new", F.when(joined, 0).otherwise(1).cast("long")), "trans_seq_no", F.col("_new"), "run", rows, borders))
     ord_ = F.col("trans_seq_no")
     runs = r.groupBy("run").agg(
         F.min("trans_seq_no").alias("trans_seq_no"), F.max("trans_seq_no").alias("last_seq_no"), F.count(F.lit(1)).alias("n_merged"), F.min_by("file_no", ord_).alias("file_no"), F.min_by("position", ord_).alias("position"),

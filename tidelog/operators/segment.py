@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.sequence import ROWS, ranged
-from ..functions.stored import stored
 
 #: State after each class of event, from each state; errors are marked with `!`.
 STATES = ("NONE", "GTID", "DDL", "DML", "ERROR")
@@ -48,28 +47,39 @@ OPEN = ("NONE", "GTID", "DDL", "DML")
 SEGMENTED = "order_key long, group_no long, attempt long, state string, error boolean, ends boolean, mark boolean"
 
 
-def follow(kinds: list[str], state: int) -> tuple[int, int, int]:
-    """State after these classes of events from a state, groups closed, errors."""
-    closed = errors = 0
-    for kind in kinds:
-        state, error, closes, _ = MOVES[kind][state]
-        closed, errors = closed + closes, errors + error
-    return state, closed, errors
-
-
-def moves() -> dict[str, tuple]:
-    """By class and state number: new state number (NONE after an error), error, closes a group, marked as a schema change."""
-    out = {}
+def moves() -> list[tuple]:
+    """By class, in the order of NEXT, and state number: new state number (NONE after an error), error, closes a group, marked as a schema change."""
+    out = []
     for kind in NEXT:
         row = []
         for state in OPEN:
             new, error, mark = step(state, kind)
             row.append((0 if error else OPEN.index(new), error, new == "NONE" and not error, mark))
-        out[kind] = tuple(row)
+        out.append(tuple(row))
     return out
 
 
-MOVES = moves()
+CLASSES, MOVES = list(NEXT), moves()
+
+
+def follow(kinds: list[int]) -> list[tuple[int, int, int]]:
+    """From each state: the state after these classes of events, groups closed, errors. Most classes lead from all states to one, and from
+    there on one reading stands for all."""
+    states, closed, errors = list(range(len(OPEN))), [0] * len(OPEN), [0] * len(OPEN)
+    at = 0
+    while at < len(kinds) and len(set(states)) > 1:
+        row = MOVES[kinds[at]]
+        for i, s in enumerate(states):
+            states[i], error, closes, _ = row[s]
+            closed[i] += closes
+            errors[i] += error
+        at += 1
+    state, more, wrong = states[0], 0, 0
+    for kind in kinds[at:]:
+        state, error, closes, _ = MOVES[kind][state]
+        more += closes
+        wrong += error
+    return [(state if at < len(kinds) else s, c + more, e + wrong) for s, c, e in zip(states, closed, errors, strict=True)]
 
 
 def segment(ev: DataFrame, base: int = 0, rows: int = ROWS) -> DataFrame:
@@ -78,35 +88,46 @@ def segment(ev: DataFrame, base: int = 0, rows: int = ROWS) -> DataFrame:
     A group ends where the state becomes NONE, and the next has the next number, from base + 1; an error drops the open group, whose
     number is used again in the next attempt. The order is cut into ranges. Each range is read from every state that it can start
     in, which gives a map of states; the maps, one a range, are chained, and each range is read once more from its true state. Ranges hold
-    about rows events, and a task holds one range's classes, no statements."""
-    own = stored(ranged(ev.select("order_key", boundary_class(F.col("event_type"), F.col("statement")).alias("boundary")), "order_key", rows))
+    about rows events, and a task holds one range's classes, no statements. ev is read several times: hand over a stored table."""
+    kind = boundary_class(F.col("event_type"), F.col("statement"))
+    code = F.element_at(F.create_map(*[F.lit(x) for i, k in enumerate(CLASSES) for x in (k, i)]), kind)
+    own = ranged(ev.select("order_key", code.cast("byte").alias("kind"), "event_type", "statement"), "order_key", rows).select("_range", "order_key", "kind")
+
+    def in_order(t: pa.Table) -> tuple[int, pa.Table]:
+        return t.column("_range")[0].as_py(), t.sort_by("order_key")
 
-    def mapped(pdf: pd.DataFrame) -> pd.DataFrame:
-        kinds = pdf.sort_values("order_key").boundary.tolist()
-        got = [follow(kinds, s) for s in range(len(OPEN))]
-        return pd.DataFrame([(pdf["_range"].iloc[0], s, *g) for s, g in enumerate(got)], columns=["_range", "start", "state", "closed", "errors"])
+    def mapped(t: pa.Table) -> pa.Table:
+        number, t = in_order(t)
+        got = follow(t.column("kind").to_pylist())
+        cols = list(zip(*[(number, s, *g) for s, g in enumerate(got)], strict=True))
+        return pa.table([pa.array(c, x) for c, x in zip(cols, [pa.int32()] * 3 + [pa.int64()] * 2, strict=True)], names=["_range", "start", "state", "closed", "errors"])
 
     maps: dict[int, dict[int, tuple[int, int, int]]] = {}
-    for r in own.groupBy("_range").applyInPandas(mapped, "_range int, start int, state int, closed long, errors long").collect():  # 4 rows a range
+    for r in own.groupBy("_range").applyInArrow(mapped, "_range int, start int, state int, closed long, errors long").collect():  # 4 rows a range
         maps.setdefault(r["_range"], {})[r["start"]] = (r["state"], r["closed"], r["errors"])
     state, group, attempt, begin = 0, base + 1, 0, {}
     for n in sorted(maps):
         begin[n] = (state, group, attempt)
         state, closed, errors = maps[n][state]
         group, attempt = group + closed, attempt + errors
+    wrong = CLASSES.index("ERROR")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("order_key")
-        state, group, attempt = begin[int(pdf["_range"].iloc[0])]
-        out = []
-        for kind in pdf.boundary.tolist():
+    def run(t: pa.Table) -> pa.Table:
+        number, t = in_order(t)
+        state, group, attempt = begin[number]
+        groups_, attempts, states, errors, ends_, marks = [], [], [], [], [], []
+        for kind in t.column("kind").to_pylist():
             state, error, ends, mark = MOVES[kind][state]
-            out.append((group, attempt, OPEN[state] if kind != "ERROR" else "ERROR", error, ends, mark))
+            groups_.append(group)
+            attempts.append(attempt)
+            states.append("ERROR" if kind == wrong else OPEN[state])
+            errors.append(error)
+            ends_.append(ends)
+            marks.append(mark)
             group, attempt = group + ends, attempt + error
-        got = pd.DataFrame(out, columns=["group_no", "attempt", "state", "error", "ends", "mark"])
-        return got.assign(order_key=pdf.order_key.to_numpy())[["order_key", "group_no", "attempt", "state", "error", "ends", "mark"]]
+        return pa.table([t.column("order_key"), pa.array(groups_, pa.int64()), pa.array(attempts, pa.int64()), pa.array(states, pa.string()), pa.array(errors), pa.array(ends_), pa.array(marks)], names=["order_key", "group_no", "attempt", "state", "error", "ends", "mark"])
 
-    return ev.join(own.groupBy("_range").applyInPandas(run, SEGMENTED), "order_key")
+    return ev.join(own.groupBy("_range").applyInArrow(run, SEGMENTED), "order_key")
 
 
 def groups(ev: DataFrame) -> DataFrame:

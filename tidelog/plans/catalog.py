@@ -95,7 +95,7 @@ SELECT unnest(list_reduce(l, lambda a, x: CASE WHEN x.f = a.nf AND x.p = a.np TH
 
 
 def restarted(spark, d):
-    return stored(spark.sql(change_log.RESTARTED, trx=trx(spark, d)))
+    return stored(spark.sql(change_log.RESTARTED, trx=stored(trx(spark, d))))
 
 
 @query(CONTINUITY)
