@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower
+from .common import ascii_lower, store
 
 #: Words of a rolling gram, also the shortest template. Templates of BODY words or more are read by grams of twice as many.
 GRAM, BODY = 2, 24
@@ -179,7 +179,8 @@ def spans(hits: DataFrame, keys: list[str], near: int, share: float) -> DataFram
     voted = hits.repartition(*keys).withColumn("diag", F.col("at") - F.col("off")).groupBy(*own, "diag").agg(F.collect_list("off").alias("offs")).withColumn("votes", F.size("offs"))
     along = Window.partitionBy(*own).orderBy("diag")
     band = F.sum("votes").over(along.rangeBetween(0, 2 * near)) >= share * F.col("grams") - 1e-9
-    voted = voted.withColumn("_band", band.cast("int")).withColumn("_near", F.max("_band").over(along.rangeBetween(-2 * near, 0)) == 1)
+    # written once: both branches below need it, and it is short, while the texts are not
+    voted = store(voted.withColumn("_band", band.cast("int")).withColumn("_near", F.max("_band").over(along.rangeBetween(-2 * near, 0)) == 1).drop("_band"))
     full = F.col("votes") == F.col("grams")
     start = (F.col("diag") + F.array_min("offs")).cast("long")
     one = F.array(F.struct(start.alias("from"), (F.col("diag") + F.array_max("offs") + F.col("k")).cast("long").alias("to"), (F.col("votes") / F.col("grams")).alias("part"), (F.col("exact") & full & (F.col("tid") >= 0)).alias("found")))
