@@ -39,7 +39,8 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
     s = sizes.withColumn("w", w).withColumn("cap", cap * F.col("source_size"))
     order = Window.orderBy(F.col("cap") / F.col("w"), F.col("source").asc_nulls_last())
     before = order.rowsBetween(Window.unboundedPreceding, -1)
-    after = order.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    # a running sum from the end: a frame that reaches to the end would be summed anew for each source
+    after = Window.orderBy((F.col("cap") / F.col("w")).desc(), F.col("source").desc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     level = (share * F.sum("source_size").over(whole) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("w").over(after)
     s = s.withColumn("level", level).withColumn("open", F.col("level") * F.col("w") <= F.col("cap"))
