@@ -11,6 +11,11 @@ EVENT_NAMES = {
     12: "NEW_LOAD", 13: "RAND", 14: "USER_VAR", 15: "FORMAT_DESCRIPTION", 16: "XID", 17: "BEGIN_LOAD_QUERY", 18: "EXECUTE_LOAD_QUERY", 19: "TABLE_MAP",
     23: "WRITE_ROWS_V1", 24: "UPDATE_ROWS_V1", 25: "DELETE_ROWS_V1", 26: "INCIDENT", 27: "HEARTBEAT", 28: "IGNORABLE", 29: "ROWS_QUERY", 30: "WRITE_ROWS", 31: "UPDATE_ROWS", 32: "DELETE_ROWS", 33: "GTID", 34: "ANONYMOUS_GTID", 35: "PREVIOUS_GTIDS",
 }
+#: Names of event types as the topic viewer says them; all other codes are Unknown.
+VIEWER_NAMES = {
+    1: "Start_v3", 2: "Query", 3: "Stop", 4: "Rotate", 5: "Intvar", 6: "Load", 7: "Slave", 8: "Create_file", 9: "Append_block", 10: "Exec_load", 11: "Delete_file", 12: "New_load", 13: "RAND", 14: "User var", 15: "Format_desc", 16: "Xid",
+    17: "Begin_load_query", 18: "Execute_load_query", 19: "Table_map", 20: "Write_rows_event_old", 21: "Update_rows_event_old", 22: "Delete_rows_event_old", 23: "insert", 24: "update", 25: "delete", 26: "Incident", 30: "insert", 31: "update", 32: "delete",
+}
 #: Schemas that hold no user data; statements that change a schema.
 SYSTEM_SCHEMAS = ["sys", "information_schema", "mysql", "performance_schema"]
 DDL_PREFIXES = ["CREATE DATABASE", "CREATE SCHEMA", "CREATE TABLE", "CREATE INDEX", "CREATE UNIQUE INDEX", "ALTER DATABASE", "ALTER SCHEMA", "ALTER TABLE", "DROP DATABASE", "DROP SCHEMA", "DROP TABLE", "DROP INDEX", "RENAME TABLE", "TRUNCATE TABLE"]
@@ -22,6 +27,11 @@ def event_name(code: Column) -> Column:
     return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in EVENT_NAMES.items() for x in kv]), code.cast("int")), F.lit("UNKNOWN"))
 
 
+def viewer_name(code: Column) -> Column:
+    """Name of an event type in the topic viewer."""
+    return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in VIEWER_NAMES.items() for x in kv]), code.cast("int")), F.lit("Unknown"))
+
+
 def operation(code: Column) -> Column:
     """insert, update or delete for row events of both versions; Unknown otherwise."""
     return F.when(code.isin(23, 30), "insert").when(code.isin(24, 31), "update").when(code.isin(25, 32), "delete").otherwise("Unknown")

@@ -37,6 +37,11 @@ def column_headers(spark, d):
     return inspect.headers(rows, ["O_ORDERKEY", "o_note", "l_orderkey"])
 
 
+@query(f"WITH {EV} SELECT trans_seq_no, ev_idx, CASE event_type WHEN 2 THEN 'Query' WHEN 4 THEN 'Rotate' WHEN 16 THEN 'Xid' WHEN 19 THEN 'Table_map' WHEN 30 THEN 'insert' WHEN 31 THEN 'update' WHEN 32 THEN 'delete' ELSE 'Unknown' END AS name FROM ev")
+def viewer_names(spark, d):
+    return ev(spark, d).select("trans_seq_no", "ev_idx", S.viewer_name(F.col("event_type")).alias("name"))
+
+
 OBJECTS = """cat AS (SELECT DISTINCT p_brand AS db_name, 'database' AS kind, p_brand AS name FROM part UNION ALL SELECT DISTINCT p_brand, CASE p_size % 6 WHEN 0 THEN 'view' WHEN 1 THEN 'trigger' WHEN 2 THEN 'event' WHEN 3 THEN 'function' WHEN 4 THEN 'other' ELSE 'table' END, concat('x', p_size) FROM part)"""
 
 
