@@ -40,8 +40,13 @@ def likeness(a, b):
     return len(a & b) / len(a | b) if a | b else 1.0
 
 
+def order(text):
+    h = 42 if text is None else xxhash.xxh64_intdigest(text.encode(), seed=42)
+    return h - (1 << 64) if h >> 63 else h
+
+
 def plain(rows):
-    rows = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
+    rows = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, order(r[1]), r[1] or ""))
     out = []
     for i, (doc_id, text) in enumerate(rows):
         text, after = text or "", rows[(i + 1) % len(rows)][1] or ""
@@ -52,9 +57,9 @@ def plain(rows):
     return sorted(out)
 
 
-@pytest.mark.parametrize("name", ["table", "odd", "one", "same"])
+@pytest.mark.parametrize("name", ["table", "odd", "one", "same", "hot"])
 def test_against_brute_force(spark, name):
-    df = {"table": lambda: spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), "odd": lambda: odd(spark), "one": lambda: docs(spark, [(4, "one row alone in here", None, None)]), "same": lambda: docs(spark, [(1, f"text {i} is the same id", None, None) for i in range(9)])}[name]()
+    df = {"table": lambda: spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), "odd": lambda: odd(spark), "one": lambda: docs(spark, [(4, "one row alone in here", None, None)]), "hot": lambda: docs(spark, [(i if i % 3 else 7, f"text {i} of a hot id", None, None) for i in range(120)] + [(None, f"no id {i}", None, None) for i in range(60)]), "same": lambda: docs(spark, [(1, f"text {i} is the same id", None, None) for i in range(9)])}[name]()
     got = sorted((r.doc_id or -1, *tuple(r)[1:8], r.alike_edited, r.alike_next) for r in S.compare_edited(df).collect())
     assert got == plain([(r.doc_id, r.text) for r in df.collect()])
 
@@ -101,3 +106,12 @@ def test_pairs_of_odd_rows(spark):
     assert S.similar(empty(spark)).count() == 0 and S.similar(odd(spark)).count() == 0
     hot = [(i, " ".join(f"shared{j}" for j in range(30)) + f" own{i} own{i}x", None, None) for i in range(12)]
     assert S.similar(docs(spark, hot)).count() == 66
+
+
+def test_a_hot_id_is_in_several_parts(spark, monkeypatch):
+    monkeypatch.setattr(S, "partitions", lambda _: 12)
+    rows = docs(spark, [(i if i % 3 else 7, f"text {i} of a hot id", None, None) for i in range(1200)])
+    got = S.with_next(rows).filter("mark = 0 and doc_id = 7").groupBy("part").count().collect()
+    assert len(got) >= 3 and max(r["count"] for r in got) < 250
+    assert S.with_next(rows).filter("mark = 1").count() == S.with_next(rows).select("part").distinct().count()
+    assert sorted((r.doc_id or -1, *tuple(r)[1:8], r.alike_edited, r.alike_next) for r in S.compare_edited(rows).collect()) == plain([(r.doc_id, r.text) for r in rows.collect()])

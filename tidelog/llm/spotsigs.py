@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -160,36 +161,45 @@ def similar(docs: DataFrame, threshold: float = ALIKE) -> DataFrame:
 def with_next(docs: DataFrame) -> DataFrame:
     """docs as runs of neighbours by doc_id: columns part, mark, doc_id, text, each part in one task and in order.
 
-    Bounds are quantiles of doc_id, so parts are even. The first row of each part also goes, with mark 1, to the end of
-    the part before, and that of the first to the end of the last, so that no task needs another's rows. Null ids come first."""
+    Bounds are quantiles of doc_id, so parts are even; an id that takes up several quantiles is cut by a hash of the text into as many. The first row of each
+    part also goes, with mark 1, to the end of the part before, and that of the first to the end of the last, so that no task needs another's rows. Null ids
+    come first; rows of one id are in the order of the hash, then of the text."""
     spark = docs.sparkSession
     low = -(1 << 63)
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(low)).alias("key"))
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(low)).alias("key"), F.xxhash64("text").alias("h"))
     n = partitions(spark)
-    bounds = d.select(F.percentile_approx("key", [i / n for i in range(1, n)] or [0.5], 10_000)).first()[0] if n > 1 else []
-    bounds = np.array(sorted(set(bounds or [])), np.int64)
+    found = d.select(F.percentile_approx("key", [i / n for i in range(1, n)] or [0.5], 10_000)).first()[0] if n > 1 else []
+    times = sorted(Counter(found or []).items())
+    keys = np.array([k for k, r in times for _ in range(r)], np.int64)
+    cuts = np.array([low + (j << 64) // r for _, r in times for j in range(r)], np.int64)
 
     @F.pandas_udf("int")
-    def part_of(key):
+    def part_of(key, h):
         import pandas as pd
 
-        return pd.Series(np.searchsorted(bounds, key.to_numpy(np.int64), side="right").astype(np.int32))
+        key, h = key.to_numpy(np.int64), h.to_numpy(np.int64)
+        part, high = np.searchsorted(keys, key, side="left"), np.searchsorted(keys, key, side="right")
+        for at in np.unique(part[high - part > 1]):  # ids of several parts
+            own = (part == at) & (high - part > 1)
+            high[own] = at + np.searchsorted(cuts[at : high[own][0]], h[own], side="right")
+        return pd.Series(high.astype(np.int32))
 
-    parted = d.withColumn("part", part_of("key"))
-    firsts = sorted((r["part"], r["first"]) for r in d.select("key").withColumn("part", part_of("key")).groupBy("part").agg(F.min("key").alias("first")).collect())
+    parted = d.withColumn("part", part_of("key", "h"))
+    firsts = sorted((r["part"], r["first"]["key"], r["first"]["h"]) for r in parted.select("part", "key", "h").groupBy("part").agg(F.min(F.struct("key", "h")).alias("first")).collect())
     if not firsts:
         return parted.select("part", F.lit(0).alias("mark"), "doc_id", "text")
-    before = {first: firsts[i - 1][0] for i, (_, first) in enumerate(firsts)}
-    to = F.create_map(*[F.lit(x) for pair in before.items() for x in pair])
-    copy = parted.withColumn("to", F.when(F.col("key").isin(list(before)), F.array(F.struct(F.col("part"), F.lit(0).alias("mark")), F.struct(F.element_at(to, F.col("key")).alias("part"), F.lit(1).alias("mark")))).otherwise(F.array(F.struct(F.col("part"), F.lit(0).alias("mark")))))
-    dealt = copy.select("doc_id", "text", "key", F.explode("to").alias("to")).select("doc_id", "text", "key", "to.part", "to.mark")
-    return dealt.repartitionById(len(bounds) + 1, "part").sortWithinPartitions("part", "mark", "key", "text").select("part", "mark", "doc_id", "text")
+    of_part = lambda values: F.element_at(F.create_map(*[F.lit(x) for r, v in zip(firsts, values, strict=True) for x in (r[0], v)]), F.col("part"))
+    here = F.struct(F.col("part"), F.lit(0).alias("mark"))
+    back = F.struct(of_part([firsts[i - 1][0] for i in range(len(firsts))]).alias("part"), F.lit(1).alias("mark"))
+    first = (F.col("key") == of_part([r[1] for r in firsts])) & (F.col("h") == of_part([r[2] for r in firsts]))
+    dealt = parted.select("doc_id", "text", "key", "h", F.explode(F.when(first, F.array(here, back)).otherwise(F.array(here))).alias("to")).select("doc_id", "text", "key", "h", "to.part", "to.mark")
+    return dealt.repartitionById(len(keys) + 1, "part").sortWithinPartitions("part", "mark", "key", "h", "text").select("part", "mark", "doc_id", "text")
 
 
 def compare_edited(docs: DataFrame) -> DataFrame:
     """The rows of RESULT for every whole text, the text edited by the start of the next document's, and the next document.
 
-    A null text is an empty one. Among equal doc_ids the order is by text. A table of one row is its own next. alike_edited and
+    A null text is an empty one. Among equal doc_ids the order is by a hash of the text, then by text. A table of one row is its own next. alike_edited and
     alike_next tell whether the pruned comparison makes them near copies; the likeness of these given pairs is exact whatever it is."""
 
     def row(doc_id: int | None, text: str, sig: np.ndarray, after: str, after_sig: np.ndarray) -> tuple:
