@@ -157,3 +157,11 @@ def assigned(topics: DataFrame, threads: int) -> DataFrame:
     if n >= threads:
         return topics.withColumn("thread", F.col("topic_no") % threads)
     return topics.withColumn("thread", F.explode(F.sequence(F.col("topic_no"), F.lit(threads - 1), F.lit(max(1, n)))))
+
+
+def liveness(beats: DataFrame, now: Column, timeout: int, safe: float = 0.4) -> DataFrame:
+    """name, silence (seconds since its last beat), mode of each member: `live`, `safe` from safe x timeout of silence on, in which nothing is
+    written any more, and `gone` from timeout on."""
+    last = beats.groupBy("name").agg(F.max("at").alias("last")).withColumn("silence", now - F.col("last"))
+    mode = F.when(F.col("silence") >= timeout, "gone").when(F.col("silence") >= safe * timeout, "safe").otherwise("live")
+    return last.select("name", "silence", mode.alias("mode"))

@@ -335,3 +335,9 @@ def rate_limit(spark, d):
     """Events of a source in the order of time, far below the rate: none waits."""
     e = read(spark, d, "events").select((F.col("user_id") % 5).alias("source"), "event_id", (F.unix_millis(F.col("ts").cast("timestamp"))).alias("at"), F.lit(10).cast("long").alias("size"))
     return accept.limited(e, rate=10**9).select("event_id", F.col("wait_ms"))
+
+
+@query("WITH l AS (SELECT user_id AS name, (SELECT max(event_id) FROM events) - max(event_id) AS silence FROM events GROUP BY 1) SELECT name, silence, CASE WHEN silence >= 50 THEN 'gone' WHEN silence >= 20 THEN 'safe' ELSE 'live' END AS mode FROM l")
+def liveness(spark, d):
+    e = read(spark, d, "events").select(F.col("user_id").alias("name"), F.col("event_id").alias("at"))
+    return metrics.liveness(e, F.lit(e.agg(F.max("at")).first()[0]), 50)
