@@ -7,7 +7,6 @@ Parquet in the shared folder and reads again. All but the last return the column
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tidelog.llm import language_id, mixing, near_dup, packing, secret_scan
 from tidelog.llm.common import store, table

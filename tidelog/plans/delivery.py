@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.stored import shared_dir, stored
 from ..operators import accept, continuity, gtid, metrics, package, schema_store
 from ..sources import change_log, config, sinks, state
-from .catalog import CONTINUITY, EV, EVENT_BREAKS, IDS, MERGED, PKG, TICKS, TRX, catalog, continuity_event, continuity_trx, ev, ids, pkg, query, read, restarted, ticks, trx
+from .catalog import CONTINUITY, EV, EVENT_BREAKS, IDS, MERGED, PKG, TICKS, TRX, catalog, continuity_event, ev, ids, pkg, query, read, restarted, ticks, trx
 
 # ---- consumers
 

@@ -7,7 +7,7 @@ import struct
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
-from ..functions.stored import shared_dir, stored
+from ..functions.stored import shared_dir
 from ..operators import compression, decode, filters
 from ..sources import binlog, change_log, row_image, topic_log
 from .catalog import CELLS, EV, PKG, TRX, cells, ev, pkg, query, read, trx
