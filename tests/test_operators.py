@@ -96,8 +96,10 @@ def test_statement_after_begin_is_no_schema_change(spark):
     assert got == [(0, 4, 0), (4, 1, 0), (5, 1, 0), (6, 2, 1), (8, 6, 0)]
 
 
-def test_restarts_are_exempt(spark):
-    """Several rows without an id after a restart, and the next transaction continues the log: no break."""
+@pytest.mark.parametrize("most", [0, 1000])
+def test_restarts_are_exempt(spark, monkeypatch, most):
+    """Several rows without an id after a restart, and the next transaction continues the log: no break. With and without broadcasts."""
+    monkeypatch.setattr(continuity, "MOST_EPOCHS", most)
     rows = [(1, "u:1", 1, 1, 4, 1, 100), (2, "", 2, 9, 0, 9, 4), (3, "", 2, 9, 4, 9, 120), (4, "u:2", 2, 1, 100, 1, 200), (5, "u:3", 2, 1, 201, 1, 300), (6, "", 3, 9, 4, 9, 50), (7, "", 4, 1, 300, 1, 310), (8, "", 4, 7, 4, 7, 9)]
     df = spark.createDataFrame(rows, "trans_seq_no long, gtid string, epoch long, file_no long, position long, next_file_no long, next_position long")
     assert [(r.trans_seq_no, r.prev_seq) for r in continuity.transaction_breaks(df, 2).orderBy("trans_seq_no").collect()] == [(5, 4), (8, 7)]

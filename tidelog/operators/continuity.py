@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from ..functions.sequence import ROWS, ranges_of, with_previous
 
 
+#: Rows of the tables of epochs, three numbers each, up to which they are broadcast; beyond, transactions are joined to them by a shuffle.
+MOST_EPOCHS = 100_000
+
+
 def summaries(ev: DataFrame) -> DataFrame:
     """One row a transaction: place of its first event, place after its last, counts and sums. A rotate event moves the end to the next file."""
     ord_ = F.col("ev_idx")
@@ -40,10 +44,11 @@ def transaction_breaks(trx: DataFrame, rows: int = ROWS) -> DataFrame:
     end = F.struct("trans_seq_no", F.col("next_file_no").alias("file_no"), F.col("next_position").alias("position"))
     epochs = trx.groupBy("epoch").agg(F.max_by(end, seq).alias("tail"), F.max(known).alias("sure")).orderBy("epoch").collect()  # a row for each restart
     spark, meets = trx.sparkSession, {}
+    small = (lambda df: F.broadcast(df)) if len(epochs) <= MOST_EPOCHS else (lambda df: df)
     if not all(r["sure"] for r in epochs):
         ends = spark.createDataFrame([(r["epoch"], r["tail"]["file_no"], r["tail"]["position"]) for r in epochs], "before long, file_no long, position long")
         lone = spark.createDataFrame([(r["epoch"],) for r in epochs if not r["sure"]], "epoch long")
-        met = trx.join(lone, "epoch", "left_semi").join(ends, ["file_no", "position"]).filter("before < epoch")
+        met = trx.join(small(lone), "epoch", "left_semi").join(small(ends), ["file_no", "position"]).filter("before < epoch")
         meets = {r["epoch"]: r["meets"] for r in met.groupBy("epoch").agg(F.collect_set("before").alias("meets")).collect()}
     last, before = None, []
     for r in epochs:
@@ -52,9 +57,9 @@ def transaction_breaks(trx: DataFrame, rows: int = ROWS) -> DataFrame:
             last = r
     ended = spark.createDataFrame(before, "epoch long, end_file long, end_position long")
     taken = known | F.col("end_file").isNull() | (F.col("file_no") == F.col("end_file")) & (F.col("position") == F.col("end_position"))
-    starts = trx.join(ended, "epoch").filter(taken).groupBy("epoch").agg(F.min(seq).alias("from_seq")).collect()
+    starts = trx.join(small(ended), "epoch").filter(taken).groupBy("epoch").agg(F.min(seq).alias("from_seq")).collect()
     starts = spark.createDataFrame([tuple(r) for r in starts], "epoch long, from_seq long")
-    kept = trx.join(starts, "epoch").filter("trans_seq_no >= from_seq").drop("from_seq")
+    kept = trx.join(small(starts), "epoch").filter("trans_seq_no >= from_seq").drop("from_seq")
     t = with_previous(kept, "trans_seq_no", {"prev_seq": seq, "prev_file_no": F.col("next_file_no"), "prev_position": F.col("next_position")}, rows, borders=ranges_of(trx, "trans_seq_no", rows))
     return t.filter("prev_seq is not null and (file_no <> prev_file_no or position <> prev_position)").select("trans_seq_no", "gtid", "file_no", "position", "prev_seq", "prev_file_no", "prev_position")
 
