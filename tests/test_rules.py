@@ -18,7 +18,7 @@ SF = "/root/testdata/sf0.001"
 def test_ranges_are_even_whatever_the_keys(spark):
     keys = [*range(1000), *range(10**9, 10**9 + 1000), 10**15]
     df = spark.createDataFrame([(k,) for k in keys], "k long")
-    borders = ranges_of(df, "k", rows=100)
+    borders = ranges_of(df, "k", rows=60)
     got = {r.n: r["count"] for r in df.groupBy(range_number(F.col("k"), borders).alias("n")).count().collect()}
     assert len(got) >= 18 and max(got.values()) <= 250
     want = {k: sum(b <= k for b in borders) for k in keys}
@@ -236,3 +236,62 @@ def test_dump_options_and_compression(spark, tmp_path):
     assert [r.text for r in inspect.table_dump(df, "CREATE TABLE t (k INT, KEY (k))", "t", "k", {}, o).orderBy("step").collect()] == ["DROP TABLE IF EXISTS t;", "CREATE TABLE t (k INT, KEY (k));"]
     sinks.write_text(df, "v", str(tmp_path / "z"), "gzip")
     assert spark.read.text(str(tmp_path / "z")).count() == 2 and list((tmp_path / "z").glob("*.gz"))
+
+
+PACKAGES = "topic string, part_no long, offset long, epoch long, trans_seq_no long, seq_no long, split_flag long"
+
+
+def odd_packages(seed, n, versions=False):
+    """Topic partitions with splits, parts sent again, gaps, older numbers and higher epochs."""
+    rnd, rows = random.Random(seed), []
+    for topic, many in (("a", n), ("b", 5), (None, 3)):
+        epoch, seq, version = 1, 1, rnd.random() < 0.5
+        sent = []
+        while len(sent) < many:
+            parts = rnd.choice([1, 1, 1, 3])
+            one = [(epoch, seq, i, 0 if parts == 1 else 2 if i == parts - 1 else 1, int(version)) for i in range(parts)]
+            sent += one if rnd.random() < 0.9 else one[: rnd.randint(1, parts)] + one
+            if rnd.random() < 0.05:
+                sent += rnd.sample(sent, min(3, len(sent)))
+            seq += 2 if seed % 3 == 0 and rnd.random() < 0.01 else 1
+            epoch += rnd.random() < 0.02
+            version ^= versions and rnd.random() < 0.02
+        rows += [(topic, 0, at * 3, *r) for at, r in enumerate(sent)]
+    rnd.shuffle(rows)
+    return rows
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_acceptance_in_ranges_is_that_of_row_by_row(spark, seed):
+    """Ranges of 60 rows: the states that are foretold for them meet, or are put right."""
+    rows = odd_packages(seed, 250)
+    df = spark.createDataFrame([r[:7] for r in rows], PACKAGES)
+    for rule, options in (("recovery", {}), ("v0", {}), ("v0", {"transactional": False}), ("v1", {}), ("v1", {"allow_merged_gaps": True}), ("v1", {"transactional": False})):
+        want = {}
+        for topic in ("a", "b", None):
+            own = sorted((r for r in rows if r[0] == topic), key=lambda r: r[2])
+            want |= {(topic, r[2]): g for r, g in zip(own, accept.fold([r[3:7] for r in own], accept.RULES[rule](**options)))}
+        got = {(r.topic, r.offset): (r.accepted, r.can_save_offset) for r in accept.accept(df, rule, rows=60, **options).collect()}
+        assert got == want, (rule, options)
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_consumers_in_ranges_hand_on_what_row_by_row_does(spark, seed):
+    rows = odd_packages(seed, 250, versions=True)
+    events = lambda r: [(r[5], 30, r[4] % 3), (9, 30, 1), (7, 19, 0)] if r[4] % 5 else None
+    df = spark.createDataFrame([(*r, events(r)) for r in rows], PACKAGES + ", version long, events array<struct<ev_idx:bigint,event_type:bigint,n_rows:bigint>>")
+    for transactional in (True, False):
+        want, state = [], None
+        for topic in ("a", "b", None):
+            state = None
+            for r in sorted((r for r in rows if r[0] == topic), key=lambda r: r[2]):
+                if state is None:
+                    state = accept.ConsumerV1(transactional) if r[7] else accept.ConsumerV0(transactional)
+                state = accept.switched(state, r[7])
+                v1 = isinstance(state, accept.ConsumerV1)
+                took, save = state.accept(*r[3:7], *([events(r)] if v1 else []))
+                kept = [e for part in (state.merged if v1 else [events(r)]) for e in part or [] if e[1] == 30 and e[2] > 0] if took else []
+                if kept:
+                    want.append((topic, 0, r[2], r[3], r[4], len({e[0] for e in kept}), sum(e[2] for e in kept), save))
+        got = [tuple(r) for r in accept.consume(df, transactional, rows=60).collect()]
+        assert sorted(got, key=repr) == sorted(want, key=repr)

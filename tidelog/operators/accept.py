@@ -1,6 +1,6 @@
 """Acceptance of packages by recovery and consumers, checkpoints, recovery start.
 
-The rules are folds over a partition in offset order; one function each serves batch (applyInPandas) and stream.
+The rules are folds over a partition in offset order; one class each serves batch and stream.
 """
 
 from __future__ import annotations
@@ -9,10 +9,13 @@ from collections.abc import Iterable
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from ..functions.folds import SPAN, folded
 from ..functions.scalar import ROW_EVENTS_ALL
+from ..functions.stored import stored
 from . import gtid
 
 
@@ -105,31 +108,79 @@ def fold(rows: Iterable[tuple[int, int, int, int]], rule) -> list[tuple[bool, bo
 
 
 COLUMNS = "topic string, part_no long, offset long, epoch long, trans_seq_no long, seq_no long, split_flag long, accepted boolean, can_save_offset boolean"
-
-
-def accept(pkg: DataFrame, rule: str = "recovery", **options) -> DataFrame:
+PLACE = ["topic", "part_no"]
+#: A range of a topic partition begins with a first part, so that the parts of a transaction are seldom cut.
+OPENS = "seq_no = 0"
+
+
+def none_counts(rule, own: tuple[int, int, bool], span) -> bool:
+    """Whether extremes of a range show that the rule takes none of its rows in a state (epoch, number, whole), nor changes the state."""
+    (epoch, seq, whole), low, high = own, span["least_trans_seq_no"], span["most_trans_seq_no"]
+    if None in (low, span["most_epoch"]):
+        return False
+    old = span["most_epoch"] < epoch
+    if isinstance(rule, ConsumerV0):
+        return not rule.transactional or old or high <= seq
+    if isinstance(rule, Recovery):
+        return seq != 0 and (old or high < seq or low > seq + 1)
+    return rule.transactional and whole and (old or (high <= seq if rule.allow_merged_gaps else high < seq + 1 or low > seq + 1))
+
+
+class Accepting:
+    """A rule as folded() reads it: its state is epoch, number, part, and whether a whole transaction was taken."""
+
+    columns = ["epoch", "trans_seq_no", "seq_no", "split_flag"]
+    gives = StructType().add("accepted", "boolean").add("can_save_offset", "boolean")
+    parts = ("epoch", "seq", "part", "whole")
+
+    def __init__(self, rule: str, options: dict):
+        self.new = lambda: RULES[rule](**options)
+        self.rule = self.new()
+
+    def begin(self, state: tuple | None) -> None:
+        self.rule = self.new()
+        for name, value in zip(self.parts, state or ()):
+            if hasattr(self.rule, name):
+                setattr(self.rule, name, value)
+
+    def state(self) -> tuple:
+        return tuple(getattr(self.rule, name, 0) for name in self.parts)
+
+    def take(self, epoch: int, seq: int, part: int, flag: int) -> tuple[bool, bool]:
+        got = self.rule.accept(epoch, seq, part, flag)
+        if isinstance(self.rule, ConsumerV1):
+            self.rule.buffer.clear()  # payloads are not asked for
+        return got if isinstance(got, tuple) else (got, got and flag != 1)
+
+    def counts(self) -> Column:
+        return F.col("split_flag") == 0 if isinstance(self.rule, ConsumerV0) else F.lit(True)
+
+    def guess(self, row) -> tuple:
+        self.begin(None)
+        if getattr(self.rule, "transactional", True):
+            self.rule.epoch, self.rule.seq = row["epoch"], row["trans_seq_no"]
+            if isinstance(self.rule, Recovery):
+                self.rule.part = row["seq_no"]
+            elif isinstance(self.rule, ConsumerV1):
+                self.rule.whole = True
+        return self.state()
+
+    def passes(self, state: tuple, span) -> bool:
+        return none_counts(self.new(), (state[0], state[1], state[3]), span)
+
+
+def accept(pkg: DataFrame, rule: str = "recovery", rows: int = SPAN, **options) -> DataFrame:
     """pkg (topic, part_no, offset, epoch, trans_seq_no, seq_no, split_flag) with accepted, can_save_offset.
 
-    The rules are folds over a topic partition in the order of offsets: topic partitions run side by side, each as a stream of
-    sorted batches with a state of a few numbers, so that no task holds a partition in memory."""
-    types = [pa.string(), *[pa.int64()] * 6, pa.bool_(), pa.bool_()]
-    names = [c.split()[0] for c in COLUMNS.split(", ")]
+    The rules are folds over a topic partition in the order of offsets. Topic partitions, and ranges of a long one, are read side by side, each as a
+    stream of sorted batches with a state of a few numbers: see folds.py."""
+    return accepted(pkg, rule, rows=rows, **options)[0]
 
-    def run(batches):
-        own, state = None, RULES[rule](**options)
-        for b in batches:
-            cols = [b.column(n).to_pylist() for n in names[:7]]
-            took, saves = [], []
-            for topic, part, _, epoch, seq, no, flag in zip(*cols, strict=True):
-                if (topic, part) != own:
-                    own, state = (topic, part), RULES[rule](**options)
-                got = state.accept(epoch, seq, no, flag)
-                took.append(got[0] if isinstance(got, tuple) else got)
-                saves.append(got[1] if isinstance(got, tuple) else got and flag != 1)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip([*cols, took, saves], types, strict=True)], names=names)
 
-    own = pkg.select("topic", F.col("part_no").cast("long").alias("part_no"), "offset", "epoch", "trans_seq_no", "seq_no", "split_flag")
-    return own.repartition("topic", "part_no").sortWithinPartitions("topic", "part_no", "offset").mapInArrow(run, COLUMNS)
+def accepted(pkg: DataFrame, rule: str = "recovery", begin: dict[tuple, tuple] | None = None, ends: bool = False, rows: int = SPAN, **options) -> tuple[DataFrame, dict[tuple, tuple]]:
+    """accept() from states by (topic, part_no) on, and the states after it if ends are asked for."""
+    own = pkg.select(*[F.col(c.split()[0]).cast(c.split()[1]).alias(c.split()[0]) for c in COLUMNS.split(", ")[:7]])
+    return folded(stored(own), PLACE, "offset", Accepting(rule, options), OPENS, begin, ends, rows)
 
 
 def first_occurrences(pkg: DataFrame) -> DataFrame:
@@ -224,33 +275,83 @@ def switched(old: ConsumerV0 | ConsumerV1, version: int) -> ConsumerV0 | Consume
     return ConsumerV1(old.transactional)
 
 
-def consume(pkg: DataFrame, transactional: bool = True) -> DataFrame:
+class Consuming:
+    """A consumer whose messages may change their version, as folded() reads it: whether a row hands on a transaction, whether its offset may be saved,
+    and the offset of the transaction's first part. The state is version, epoch, number, part, whether a whole transaction was taken, and the
+    first part that is held."""
+
+    columns = ["offset", "epoch", "trans_seq_no", "seq_no", "split_flag", "version"]
+    gives = StructType().add("_handed", "boolean").add("_save", "boolean").add("_first", "long")
+
+    def __init__(self, transactional: bool):
+        self.transactional, self.rule = transactional, None
+
+    def new(self, version: int) -> ConsumerV0 | ConsumerV1:
+        return ConsumerV1(self.transactional) if version else ConsumerV0(self.transactional)
+
+    def begin(self, state: tuple | None) -> None:
+        if state is None:
+            self.rule = None
+            return
+        self.rule = self.new(state[0])
+        self.rule.epoch, self.rule.seq = state[1:3]
+        if state[0]:
+            self.rule.part, self.rule.whole, self.rule.buffer = state[3], state[4], [] if state[5] is None else [state[5]]
+
+    def state(self) -> tuple | None:
+        r = self.rule
+        if r is None:
+            return None
+        return (1, r.epoch, r.seq, r.part, r.whole, r.buffer[0] if r.buffer else None) if isinstance(r, ConsumerV1) else (0, r.epoch, r.seq, 0, False, None)
+
+    def take(self, offset: int, epoch: int, seq: int, part: int, flag: int, version: int) -> tuple[bool, bool, int | None]:
+        if self.rule is None:
+            self.rule = self.new(version)
+        elif isinstance(self.rule, ConsumerV1) != bool(version):
+            self.rule = switched(self.rule, version)
+        if isinstance(self.rule, ConsumerV0):
+            took, save = self.rule.accept(epoch, seq, part, flag)
+            return took, save, offset if took else None
+        took, save = self.rule.accept(epoch, seq, part, flag, offset)
+        if not took:
+            return False, save, None
+        if self.rule.merged:
+            return True, save, self.rule.merged[0]
+        del self.rule.buffer[1:]
+        return False, save, self.rule.buffer[0]
+
+    def counts(self) -> Column:
+        return (F.col("version") != 0) | (F.col("split_flag") == 0)
+
+    def guess(self, row) -> tuple | None:
+        self.rule = self.new(row["version"])
+        if self.transactional:
+            self.rule.epoch, self.rule.seq = row["epoch"], row["trans_seq_no"]
+            if row["version"]:
+                self.rule.whole = True
+        return self.state()
+
+    def passes(self, state: tuple, span) -> bool:
+        same = bool(span["least_version"]) == bool(span["most_version"]) == bool(state[0])
+        return same and none_counts(self.new(state[0]), (state[1], state[2], state[4]), span)
+
+
+def consume(pkg: DataFrame, transactional: bool = True, rows: int = SPAN) -> DataFrame:
     """What a consumer hands on: one row a converted transaction, trans_seq_no, epoch, offset, n_events, n_rows, can_save_offset.
 
     pkg: topic, part_no, offset, epoch, trans_seq_no, seq_no, split_flag, version and events, an array of (ev_idx, event_type, n_rows). Parts
-    of a split are buffered and merged in order; only data events with rows are left, and a transaction without any gives none. Versions
-    switch by switched(). A task streams through its topic partitions and holds one transaction's events."""
-    schema = "topic string, part_no long, offset long, epoch long, trans_seq_no long, n_events long, n_rows long, can_save_offset boolean"
-
-    def run(batches):
-        own, state = None, None
-        for b in batches:
-            out = []
-            for r in b.to_pylist():
-                if (r["topic"], r["part_no"]) != own:
-                    own = (r["topic"], r["part_no"])
-                    state = ConsumerV1(transactional) if r["version"] else ConsumerV0(transactional)
-                elif isinstance(state, ConsumerV1) != bool(r["version"]):
-                    state = switched(state, r["version"])
-                v1 = isinstance(state, ConsumerV1)
-                took, save = state.accept(r["epoch"], r["trans_seq_no"], r["seq_no"], r["split_flag"], *([r["events"]] if v1 else []))
-                if took:
-                    kept = [e for part in (state.merged if v1 else [r["events"]]) for e in part or [] if e["event_type"] in ROW_EVENTS_ALL and e["n_rows"] > 0]
-                    if kept:
-                        out.append((*own, r["offset"], r["epoch"], r["trans_seq_no"], len({e["ev_idx"] for e in kept}), sum(e["n_rows"] for e in kept), save))
-            cols = list(zip(*out, strict=True)) if out else [[]] * 8
-            types = [pa.string(), *[pa.int64()] * 6, pa.bool_()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=[c.split()[0] for c in schema.split(", ")])
-
-    cols = pkg.select("topic", "part_no", "offset", "epoch", "trans_seq_no", "seq_no", "split_flag", "version", "events")
-    return cols.repartition("topic", "part_no").sortWithinPartitions("topic", "part_no", "offset").mapInArrow(run, schema)
+    of a split are buffered and merged; only data events with rows are left, and a transaction without any gives none. Versions
+    switch by switched(). What is taken is worked out from the numbers alone, in ranges that are read side by side: see folds.py. The parts of a
+    transaction, which it names by the first of them, are then put together by its offset."""
+    kept = F.filter(F.coalesce("events", F.array().cast("array<struct<ev_idx:bigint,event_type:bigint,n_rows:bigint>>")), lambda e: e["event_type"].isin(*sorted(ROW_EVENTS_ALL)) & (e["n_rows"] > 0))
+    cols = pkg.select("topic", F.col("part_no").cast("long").alias("part_no"), "offset", "epoch", "trans_seq_no", "seq_no", "split_flag", "version", kept.alias("_kept"))
+    cols = cols.withColumns({"_events": F.transform("_kept", lambda e: e["ev_idx"]), "_rows": F.aggregate("_kept", F.lit(0).cast("long"), lambda a, e: a + e["n_rows"])}).drop("_kept")
+    got = stored(folded(stored(cols), PLACE, "offset", Consuming(transactional), OPENS, rows=rows)[0].filter("_first is not null").drop("seq_no", "split_flag", "version"))
+    alone = F.col("_handed") & (F.col("_first") == F.col("offset"))
+    found = [F.size(F.array_distinct("_events")).cast("long").alias("n_events"), F.col("_rows").alias("n_rows"), F.col("_save").alias("can_save_offset")]
+    place = [*PLACE, "offset", "epoch", "trans_seq_no"]
+    whole = got.filter(alone).select(*place, *found)
+    last = F.max_by(F.struct("offset", "epoch", "trans_seq_no", "_save"), F.when(F.col("_handed"), F.col("offset"))).alias("_l")
+    split = got.filter(~alone).groupBy(*PLACE, "_first").agg(last, F.flatten(F.collect_list("_events")).alias("_events"), F.sum("_rows").alias("_rows")).filter("_l is not null")
+    split = split.select(*PLACE, "_l.*", "_events", "_rows").select(*place, *found)
+    return whole.unionByName(split).filter("n_events > 0")
