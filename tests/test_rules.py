@@ -295,3 +295,11 @@ def test_consumers_in_ranges_hand_on_what_row_by_row_does(spark, seed):
                     want.append((topic, 0, r[2], r[3], r[4], len({e[0] for e in kept}), sum(e[2] for e in kept), save))
         got = [tuple(r) for r in accept.consume(df, transactional, rows=60).collect()]
         assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
+def test_events_of_a_large_log_are_dealt_to_more_tasks(spark):
+    """Each task has a bounded number of events whatever the log's size, and the log is the same."""
+    few, many = change_log.events(spark, SF), change_log.events(spark, SF, task_events=200)
+    assert "REPARTITION_BY_NUM" in many._jdf.queryExecution().toString() and "REPARTITION_BY_NUM" not in few._jdf.queryExecution().toString()
+    assert many.exceptAll(few).isEmpty() and few.exceptAll(many).isEmpty()
+    assert many.groupBy(F.spark_partition_id()).count().agg(F.count("*")).first()[0] > 1

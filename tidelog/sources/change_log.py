@@ -69,6 +69,10 @@ UNION ALL SELECT trans_seq_no * 10 - 5 + j, '', 2 * g - CASE WHEN g % 5 = 0 THEN
 """
 
 
+#: Events that a task puts in order, about; and events of an order, about.
+TASK_EVENTS, ORDER_EVENTS = 500_000, 7
+
+
 def sql_text(dialect: str) -> str:
     """EVENTS for 'spark' (tables as parameters) or 'ansi' (tables by name)."""
     tables = {"lineitem": "{lineitem}", "orders": "{orders}"} if dialect == "spark" else {"lineitem": "lineitem", "orders": "orders"}
@@ -76,6 +80,12 @@ def sql_text(dialect: str) -> str:
     return text if dialect == "spark" else text.replace("\\n", "\n")
 
 
-def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+def events(spark: SparkSession, sf_dir: str, task_events: int = TASK_EVENTS) -> DataFrame:
+    """The log. Files are dealt to as many tasks as its events ask for, not to as few as their shuffled bytes, which are small: numbers that go up
+    compress well, and tasks would hold more and more of them as the log grows."""
     read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
-    return spark.sql(sql_text("spark"), orders=read("orders").select("o_orderkey"), lineitem=read("lineitem").select("l_orderkey"))
+    orders, text = read("orders").select("o_orderkey"), sql_text("spark")
+    tasks = -(-orders.count() * ORDER_EVENTS // task_events)
+    if tasks > spark.sparkContext.defaultParallelism:
+        text = text.replace("FROM parts WINDOW", f"FROM (SELECT /*+ REPARTITION({tasks}, file_no) */ * FROM parts) WINDOW")
+    return spark.sql(text, orders=orders, lineitem=read("lineitem").select("l_orderkey"))
