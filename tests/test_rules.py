@@ -303,3 +303,35 @@ def test_events_of_a_large_log_are_dealt_to_more_tasks(spark):
     assert "REPARTITION_BY_NUM" in many._jdf.queryExecution().toString() and "REPARTITION_BY_NUM" not in few._jdf.queryExecution().toString()
     assert many.exceptAll(few).isEmpty() and few.exceptAll(many).isEmpty()
     assert many.groupBy(F.spark_partition_id()).count().agg(F.count("*")).first()[0] > 1
+
+
+def test_streams_of_large_batches_go_on_from_batch_to_batch(spark, tmp_path):
+    """In ranges of 40 rows and in three batches, which end within transactions: as the stateful folds, row by row, and nothing anew in a second run."""
+    from tidelog.operators.segment import CLASSES, step
+    from tidelog.streaming.stateful import accept_to_files, segment_to_files
+
+    rows = [r[:7] for r in odd_packages(2, 120)]
+    rows.sort(key=lambda r: r[2])
+    for n in range(3):
+        spark.createDataFrame(rows[n * 45 : (n + 1) * 45 if n < 2 else None], PACKAGES).coalesce(1).write.mode("append").parquet(str(tmp_path / "p"))
+        stream = spark.readStream.schema(PACKAGES).parquet(str(tmp_path / "p"))
+        got = accept_to_files(stream, str(tmp_path / "po"), str(tmp_path / "pc"), rows=40)
+    want = accept.accept(spark.createDataFrame(rows, PACKAGES)).collect()
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, want), key=repr)
+    rnd, want, events = random.Random(5), [], []
+    now, group, ddl = "NONE", 1, False
+    for k in range(240):
+        kind = rnd.choice(CLASSES[:-1] + ["GTID", "BEGIN_TRX", "STATEMENT", "END_TRX"] * 3) if k % 90 else "ERROR"
+        now, error, mark = step(now, kind)
+        ddl, ends = ddl or mark, now == "NONE" and not error
+        want.append(("a", k, group, kind, now, error, ends, ddl))
+        events.append(("a", k, kind))
+        if error:
+            now, ddl = "NONE", False
+        elif ends:
+            group, ddl = group + 1, False
+    for n in range(3):
+        spark.createDataFrame(events[n * 80 : (n + 1) * 80], "source string, order_key long, boundary string").coalesce(1).write.mode("append").parquet(str(tmp_path / "s"))
+        stream = spark.readStream.schema("source string, order_key long, boundary string").parquet(str(tmp_path / "s"))
+        got = segment_to_files(stream, str(tmp_path / "so"), str(tmp_path / "sc"), rows=40)
+    assert sorted(map(tuple, got.collect())) == want

@@ -6,7 +6,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.folds import SPAN, cut, dealt, rows_of
 from ..functions.sequence import ROWS, ranged
+from ..functions.stored import stored
 
 #: State after each class of event, from each state; errors are marked with `!`.
 STATES = ("NONE", "GTID", "DDL", "DML", "ERROR")
@@ -130,6 +132,98 @@ def segment(ev: DataFrame, base: int = 0, rows: int = ROWS) -> DataFrame:
     return ev.join(own.groupBy("_range").applyInArrow(run, SEGMENTED), "order_key")
 
 
+class Paths:
+    """What a range of events makes of each state that it can start in, unmarked: new state, groups closed, errors, the open group's mark, and whether
+    a group ended or was dropped in it, so that a mark from before is gone."""
+
+    def __init__(self):
+        self.paths = [(s, 0, 0, False, False) for s in range(len(OPEN))]
+
+    def follow(self, kinds: list[int]) -> None:
+        at = 0
+        while at < len(kinds) and len({(p[0], *p[3:]) for p in self.paths}) > 1:
+            self.paths = [self.along(p, kinds[at : at + 1]) for p in self.paths]
+            at += 1
+        if at < len(kinds):  # one reading stands for all
+            state, closed, errors, ddl, reset = self.along((self.paths[0][0], 0, 0, *self.paths[0][3:]), kinds[at:])
+            self.paths = [(state, p[1] + closed, p[2] + errors, ddl, reset) for p in self.paths]
+
+    @staticmethod
+    def along(path: tuple, kinds: list[int]) -> tuple:
+        state, closed, errors, ddl, reset = path
+        for kind in kinds:
+            state, error, closes, mark = MOVES[kind][state]
+            if error or closes:
+                closed, errors, ddl, reset = closed + closes, errors + error, False, True
+            elif mark:
+                ddl = True
+        return state, closed, errors, ddl, reset
+
+
+BY_SOURCE = "source string, order_key long, group_no long, boundary string, state string, error boolean, ends boolean, is_ddl boolean"
+
+
+def segment_sources(ev: DataFrame, begin: dict[tuple, tuple] | None = None, base: int = 0, rows: int = SPAN) -> tuple[DataFrame, dict[tuple, tuple]]:
+    """ev (source, order_key, boundary) of several sources with the state table's outcome, as segment_stream() gives it, from the states in begin on, by
+    (source,): state number, number of the open group, whether it is marked. And the states after it. Long sources are read in ranges, as in segment()."""
+    df, tasks = cut(stored(ev.select("source", F.col("order_key").cast("long").alias("order_key"), "boundary")), ["source"], "order_key", rows=rows)
+    code = {k: i for i, k in enumerate(CLASSES)}
+
+    def mapped(batches):
+        own, paths = None, None
+
+        def result():
+            cols = list(zip(*[(*own, s, *p) for s, p in enumerate(paths.paths)], strict=True))
+            types = [pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_()]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["source", "_range", "start", "state", "closed", "errors", "ddl", "reset"])
+
+        for b in batches:
+            kinds: list[int] = []
+            for source, number, kind in rows_of(b, ["source", "_range", "boundary"]):
+                if (source, number) != own:
+                    if own is not None:
+                        paths.follow(kinds)
+                        yield result()
+                    own, paths, kinds = (source, number), Paths(), []
+                kinds.append(code[kind])
+            if own is not None:
+                paths.follow(kinds)
+        if own is not None:
+            yield result()
+
+    maps: dict[tuple, dict[int, tuple]] = {}
+    for r in dealt(df, ["source"], "order_key", tasks).mapInArrow(mapped, "source string, _range int, start int, state int, closed long, errors long, ddl boolean, reset boolean").collect():  # 4 rows a range
+        maps.setdefault((r["source"], r["_range"]), {})[r["start"]] = tuple(r)[3:]
+    now, starts = dict(begin or {}), {}
+    for source, number in sorted(maps, key=lambda k: k[1]):
+        state, group, ddl = starts[source, number] = now.get((source,), (0, base + 1, False))
+        state, closed, _, marked, reset = maps[source, number][state]
+        now[(source,)] = (state, group + closed, marked or ddl and not reset)
+    shown = [[step(s, k)[0] for s in OPEN] for k in CLASSES]
+
+    def run(batches):
+        own = None
+        for b in batches:
+            out = []
+            for source, number, kind in rows_of(b, ["source", "_range", "boundary"]):
+                if (source, number) != own:
+                    own = (source, number)
+                    state, group, ddl = starts[own]
+                k = code[kind]
+                name = shown[k][state]
+                state, error, ends, mark = MOVES[k][state]
+                ddl = ddl or mark
+                out.append((group, name, error, ends, ddl))
+                if error or ends:
+                    group, ddl = group + ends, False
+            cols = list(zip(*out, strict=True)) if out else [[]] * 5
+            types = [pa.int64(), pa.string(), pa.bool_(), pa.bool_(), pa.bool_()]
+            group_no, state_, *flags = [pa.array(c, t) for c, t in zip(cols, types, strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("source"), b.column("order_key"), group_no, b.column("boundary"), state_, *flags], names=[c.split()[0] for c in BY_SOURCE.split(", ")])
+
+    return dealt(df, ["source"], "order_key", tasks).mapInArrow(run, BY_SOURCE), now
+
+
 def groups(ev: DataFrame) -> DataFrame:
     """One row a group that ended: first place, events, bytes, whether it is a schema change, which its mark on any event tells. Groups
     dropped by an error and one left open at the end are not there."""

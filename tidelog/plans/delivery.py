@@ -55,31 +55,29 @@ def consumer_nontransactional(spark, d):
 # ---- streams
 
 
-def streamed(df, stages, schema):
-    """A table as a stream of one batch, through stages, into files that are read again."""
-    from ..streaming.stateful import run_to_files
-
+def streamed(df, to_files):
+    """A table as a stream of few batches, into files that are read again."""
     folder = f"{shared_dir(df.sparkSession).rstrip('/')}/tidelog-{uuid.uuid4().hex}"
     df.write.parquet(f"{folder}/in")
     stream = df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", 1000).parquet(f"{folder}/in")
-    return run_to_files(stages(stream), f"{folder}/out", f"{folder}/checkpoint", schema)
+    return to_files(stream, f"{folder}/out", f"{folder}/checkpoint")
 
 
 @query(f'WITH {PKG} SELECT "offset", trans_seq_no, row_number() OVER (PARTITION BY trans_seq_no, seq_no ORDER BY "offset") = 1 AS accepted FROM pkg')
 def stream_accept(spark, d):
-    from ..streaming.stateful import ACCEPTED, accept_stream
+    from ..streaming.stateful import accept_to_files
 
-    return streamed(pkg(spark, d), accept_stream, ACCEPTED).select("offset", "trans_seq_no", "accepted")
+    return streamed(pkg(spark, d), accept_to_files).select("offset", "trans_seq_no", "accepted")
 
 
 @query(f"WITH {EV}, s AS (SELECT *, dense_rank() OVER (ORDER BY truth) AS group_no FROM ({change_log.MESSY.format(ev='ev')})) SELECT order_key, group_no, row_number() OVER (PARTITION BY group_no ORDER BY order_key DESC) = 1 AS ends FROM s")
 def stream_segment(spark, d):
     from ..operators.segment import boundary_class
-    from ..streaming.stateful import SEGMENTED, segment_stream
+    from ..streaming.stateful import segment_to_files
     from .catalog import messy
 
     e = messy(spark, d).select(F.lit("a").alias("source"), "order_key", boundary_class(F.col("event_type"), F.col("statement")).alias("boundary"))
-    return streamed(e, segment_stream, SEGMENTED).select("order_key", "group_no", "ends")
+    return streamed(e, segment_to_files).select("order_key", "group_no", "ends")
 
 
 # ---- state and recovery

@@ -1,15 +1,19 @@
-"""The folds of segmentation and acceptance as streams, with state in Spark's checkpoint."""
+"""The folds of segmentation and acceptance as streams.
+
+accept_stream() and segment_stream() keep their state in Spark's state store; a batch of one key must fit into a task. accept_to_files() and
+segment_to_files() take batches of any size: each is read in ranges side by side, and a key's few numbers are kept with the checkpoint."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import json
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.accept import RULES, ConsumerV0, ConsumerV1, Recovery
-from ..operators.segment import step
+from ..operators.accept import RULES, ConsumerV0, ConsumerV1, Recovery, accepted
+from ..operators.segment import segment_sources, step
 
 ACCEPTED = "topic string, part_no long, offset long, epoch long, trans_seq_no long, seq_no long, split_flag long, accepted boolean, can_save_offset boolean"
 
@@ -73,3 +77,35 @@ def run_to_files(df: DataFrame, path: str, checkpoint: str, schema: str) -> Data
     q = df.writeStream.outputMode("append").format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
     return df.sparkSession.read.schema(schema).parquet(path)
+
+
+def batches_to_files(df: DataFrame, step_: Callable[[DataFrame, dict], tuple[DataFrame, dict]], path: str, checkpoint: str, schema: str) -> DataFrame:
+    """Run a stream over all that is there, batch by batch: step_(batch, states) gives rows and the states after them. A batch's rows and states are written
+    under its number, and a batch that is tried again begins from the states of the one before and replaces both: nothing is written twice."""
+    spark = df.sparkSession
+    states = lambda n: f"{checkpoint}/folds/{n}"
+
+    def run(batch: DataFrame, n: int) -> None:
+        session = batch.sparkSession
+        known = {} if n == 0 else {tuple(json.loads(r["key"])): tuple(json.loads(r["state"])) for r in session.read.schema("key string, state string").json(states(n - 1)).collect()}
+        out, after = step_(batch, known)
+        out.write.mode("overwrite").parquet(f"{path}/batch-{n:09d}")
+        rows = [(json.dumps(k), json.dumps(s)) for k, s in after.items()]
+        session.createDataFrame(rows, "key string, state string").coalesce(1).write.mode("overwrite").json(states(n))
+
+    q = df.writeStream.outputMode("append").foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    q.awaitTermination()
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(f"{path}/batch-*")
+
+
+def accept_to_files(pkg: DataFrame, path: str, checkpoint: str, rule: str = "recovery", **options) -> DataFrame:
+    """accept_stream() into files, for batches of any size. Offsets of a topic partition go up from batch to batch."""
+    return batches_to_files(pkg, lambda batch, known: accepted(batch, rule, known, ends=True, **options), path, checkpoint, ACCEPTED)
+
+
+def segment_to_files(ev: DataFrame, path: str, checkpoint: str, base: int = 0, **options) -> DataFrame:
+    """segment_stream() into files, for batches of any size."""
+    return batches_to_files(ev, lambda batch, known: segment_sources(batch, known, base, **options), path, checkpoint, SEGMENTED)
