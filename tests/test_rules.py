@@ -335,3 +335,17 @@ def test_streams_of_large_batches_go_on_from_batch_to_batch(spark, tmp_path):
         stream = spark.readStream.schema("source string, order_key long, boundary string").parquet(str(tmp_path / "s"))
         got = segment_to_files(stream, str(tmp_path / "so"), str(tmp_path / "sc"), rows=40)
     assert sorted(map(tuple, got.collect())) == want
+
+
+def test_parts_of_transactions_dealt_to_many_tasks(spark):
+    """Dealt or not, events without sizes and rows that are too large: the same parts, and the same events from them."""
+    rows = [(t, i, 19, None if (t + i) % 5 == 0 else [20 + (t * i * j) % 400 for j in range((t * 7 + i) % 6)]) for t in range(60) for i in range(t % 4 + 1)]
+    df = spark.createDataFrame(rows, "trans_seq_no long, ev_idx long, base_size long, row_sizes array<bigint>")
+    few, many = package.split_transactions(df, 400), package.split_transactions(df, 400, tasks=16)
+    assert "REPARTITION_BY_NUM" in many._jdf.queryExecution().toString()
+    assert sorted(map(tuple, few.collect())) == sorted(map(tuple, many.collect()))
+    sizes = {r[:2]: r[3] or [] for r in rows}
+    for r in few.collect():
+        assert r.cleared == (r.lo == r.hi and len(sizes[r.trans_seq_no, r.ev_idx]) > 0)
+    got = {(r.trans_seq_no, r.ev_idx): r.n_rows for r in package.merged_events(many, tasks=16).collect()}
+    assert got == {k: sum(x + 64 + 19 <= 400 for x in v) for k, v in sizes.items()}

@@ -8,6 +8,7 @@ from __future__ import annotations
 from itertools import accumulate
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -71,25 +72,36 @@ def split_rows(items: DataFrame, limit: int, row_size: int) -> DataFrame:
     return out.select("trans_seq_no", F.col("seq_no").cast("long").alias("seq_no"), "p.lo", "p.hi", flag.cast("long").alias("split_flag"))
 
 
-def split_transactions(ev: DataFrame, limit: int) -> DataFrame:
+def split_transactions(ev: DataFrame, limit: int, tasks: int | None = None) -> DataFrame:
     """Bisect transactions until each part fits: ev (trans_seq_no, ev_idx, base_size, row_sizes) becomes trans_seq_no, seq_no, split_flag,
     ev_idx, lo, hi (rows from 0, hi exclusive), part_bytes, cleared, a row for each event of each part.
 
     A part is HEADER bytes, and base_size and the sizes of its rows for each event. One that is too large is halved: by events, the first
     n / 2 rounded down and the rest; if it is one event, by rows in the same way, the event going into both halves. A single row that is too large is
     cleared: the event goes on without rows. An event that is too large without rows goes as it is. A work list in order of parts, in Python: a task
-    holds the sizes of one batch of transactions, never their rows."""
-    own = ev.groupBy("trans_seq_no").agg(F.sort_array(F.collect_list(F.struct("ev_idx", "base_size", "row_sizes"))).alias("e"))
+    holds the sizes of one batch of transactions, never their rows. tasks: to how many the transactions of a large log are dealt."""
+    own = (ev.repartition(tasks, "trans_seq_no") if tasks else ev).groupBy("trans_seq_no").agg(F.sort_array(F.collect_list(F.struct("ev_idx", "base_size", "row_sizes"))).alias("e"))
     schema = "trans_seq_no long, seq_no long, split_flag long, ev_idx long, lo long, hi long, part_bytes long, cleared boolean"
 
     def run(batches):
         for b in batches:
-            out = []
-            for seq, events in zip(b.column("trans_seq_no").to_pylist(), b.column("e").to_pylist(), strict=True):
-                parts = split_parts([(x["ev_idx"], x["base_size"], x["row_sizes"] or []) for x in events], limit)
-                for n, (part, size, cleared) in enumerate(parts):
+            out: list[tuple] = []
+            lists = b.column("e")
+            first = accumulate(pc.list_value_length(lists).to_pylist(), initial=0)
+            idx, base, rows = lists.flatten().flatten()
+            base, lengths = base.to_pylist(), pc.fill_null(pc.list_value_length(rows), 0).to_pylist()
+            begin, sums = list(accumulate(lengths, initial=0)), list(accumulate(rows.flatten().to_pylist(), initial=0))
+            whole = list(accumulate((x + sums[z] - sums[a] for x, a, z in zip(base, begin, begin[1:])), initial=0))
+            idx, at = idx.to_pylist(), next(first)
+            for seq, end in zip(b.column("trans_seq_no").to_pylist(), first, strict=True):
+                parts = halved(at, end, base, begin, sums, whole, limit)
+                for n, (a, z, lo, hi, size, cleared) in enumerate(parts):
                     flag = 0 if len(parts) == 1 else 2 if n == len(parts) - 1 else 1
-                    out += [(seq, n, flag, i, lo, hi, size, cleared) for i, lo, hi in part]
+                    if z - a == 1:
+                        out.append((seq, n, flag, idx[a], lo, hi, size, cleared))
+                    else:
+                        out += [(seq, n, flag, idx[i], 0, lengths[i], size, cleared) for i in range(a, z)]
+                at = end
             cols = list(zip(*out, strict=True)) if out else [[]] * 8
             types = [pa.int64()] * 7 + [pa.bool_()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["trans_seq_no", "seq_no", "split_flag", "ev_idx", "lo", "hi", "part_bytes", "cleared"])
@@ -97,33 +109,43 @@ def split_transactions(ev: DataFrame, limit: int) -> DataFrame:
     return own.mapInArrow(run, schema)
 
 
-def split_parts(events: list[tuple[int, int, list[int]]], limit: int) -> list[tuple[list[tuple[int, int, int]], int, bool]]:
-    """Parts of (event, base size, row sizes) in order, each ([(event, lo, hi)], bytes, cleared)."""
-    known = {i: (base, [0, *accumulate(sizes)]) for i, base, sizes in events}
-    work, done = [([(i, 0, len(sizes)) for i, _, sizes in events], False)], []
+def halved(at: int, end: int, base: list[int], begin: list[int], sums: list[int], whole: list[int], limit: int) -> list[tuple[int, int, int, int, int, bool]]:
+    """Parts of the events from at to end, in order: first event, end, rows lo to hi of a single one, bytes, cleared. Of all events: base sizes, where
+    their rows begin, and running sums of the sizes of rows and of whole events, so that a part's size is one subtraction however many it has."""
+    work, done = [(at, end, 0, begin[end] - begin[at], False)], []
     while work:
-        part, cleared = work.pop()
-        size = HEADER + sum(known[i][0] + known[i][1][hi] - known[i][1][lo] for i, lo, hi in part)
-        if size <= limit or len(part) == 0:
-            done.append((part, size, cleared))
-        elif len(part) > 1:
-            half = len(part) // 2
-            work += [(part[half:], cleared), (part[:half], cleared)]
+        a, z, lo, hi, cleared = work.pop()
+        if z - a == 1:
+            size = HEADER + base[a] + sums[begin[a] + hi] - sums[begin[a] + lo]
         else:
-            (i, lo, hi) = part[0]
-            if hi - lo > 1:
-                half = lo + (hi - lo) // 2
-                work += [([(i, half, hi)], cleared), ([(i, lo, half)], cleared)]
-            elif hi - lo == 1:
-                work.append(([(i, lo, lo)], True))
-            else:
-                done.append((part, size, cleared))
+            size = HEADER + whole[z] - whole[a]
+        if size <= limit or z - a == 0 or z - a == 1 and hi == lo:
+            done.append((a, z, lo, hi, size, cleared))
+        elif z - a > 1:
+            half = a + (z - a) // 2
+            work += [(half, z, 0, begin[z] - begin[half], cleared), (a, half, 0, begin[half] - begin[a], cleared)]
+        elif hi - lo > 1:
+            half = lo + (hi - lo) // 2
+            work += [(a, z, half, hi, cleared), (a, z, lo, half, cleared)]
+        else:
+            work.append((a, z, lo, lo, True))
     return done
 
 
-def merged_events(parts: DataFrame) -> DataFrame:
+def split_parts(events: list[tuple[int, int, list[int]]], limit: int) -> list[tuple[list[tuple[int, int, int]], int, bool]]:
+    """Parts of (event, base size, row sizes) in order, each ([(event, lo, hi)], bytes, cleared)."""
+    lengths = [len(sizes) for _, _, sizes in events]
+    whole = list(accumulate((base + sum(sizes) for _, base, sizes in events), initial=0))
+    sums = list(accumulate((x for _, _, sizes in events for x in sizes), initial=0))
+    got = halved(0, len(events), [base for _, base, _ in events], list(accumulate(lengths, initial=0)), sums, whole, limit)
+    return [([(events[a][0], lo, hi)] if z - a == 1 else [(events[i][0], 0, lengths[i]) for i in range(a, z)], size, cleared) for a, z, lo, hi, size, cleared in got]
+
+
+def merged_events(parts: DataFrame, tasks: int | None = None) -> DataFrame:
     """The events of whole transactions from the parts of split_transactions(): trans_seq_no, ev_idx, n_rows, n_parts. An event that was split by
-    rows is one again, and incomplete transactions give none."""
+    rows is one again, and incomplete transactions give none. parts is read twice: hand over a stored table. tasks: to how many it is dealt."""
+    if tasks:
+        parts = parts.repartition(tasks, "trans_seq_no")
     per = parts.groupBy("trans_seq_no").agg(F.count_distinct("seq_no").alias("n_parts"), F.max("seq_no").alias("last"), F.max((F.col("split_flag") != 1).cast("int")).alias("ended")).filter("ended = 1 and n_parts = last + 1")
     return parts.join(per.select("trans_seq_no", "n_parts"), "trans_seq_no").groupBy("trans_seq_no", "ev_idx", "n_parts").agg(F.sum(F.col("hi") - F.col("lo")).alias("n_rows"))
 

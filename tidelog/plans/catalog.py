@@ -458,13 +458,14 @@ def sized(spark, d):
 
 @query(f"""{HALVES} SELECT trans_seq_no, seq_no, CASE WHEN n = 1 THEN 0 WHEN seq_no = n - 1 THEN 2 ELSE 1 END::BIGINT AS split_flag, x.i AS ev_idx, CASE WHEN hi IS NULL THEN 0 ELSE lo END AS lo, coalesce(hi, len(x.r)) AS hi, bytes AS part_bytes, cleared FROM leaves, unnest(e[a:z]) u(x)""")
 def split_transactions(spark, d):
-    return package.split_transactions(sized(spark, d), 400)
+    return package.split_transactions(sized(spark, d), 400, change_log.tasks_of(spark, d))
 
 
 @query(f"WITH {SIZED}, c AS (SELECT trans_seq_no, ev_idx, len(list_filter(r, lambda x: x + 83 <= 400))::BIGINT AS n_rows FROM flat) SELECT * FROM c WHERE trans_seq_no % 6 <> 0")
 def merge_parts(spark, d):
-    parts = package.split_transactions(sized(spark, d), 400)
-    got = package.merged_events(parts.filter("not (trans_seq_no % 6 = 0 and split_flag <> 1)"))
+    tasks = change_log.tasks_of(spark, d)
+    parts = stored(package.split_transactions(sized(spark, d), 400, tasks))
+    got = package.merged_events(parts.filter("not (trans_seq_no % 6 = 0 and split_flag <> 1)"), tasks)
     return got.select("trans_seq_no", "ev_idx", "n_rows")
 
 

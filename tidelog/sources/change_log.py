@@ -80,12 +80,17 @@ def sql_text(dialect: str) -> str:
     return text if dialect == "spark" else text.replace("\\n", "\n")
 
 
+def tasks_of(spark: SparkSession, sf_dir: str, task_events: int = TASK_EVENTS) -> int | None:
+    """How many tasks the log's events ask for; None for a log so small that Spark's choice is as good."""
+    tasks = -(-spark.read.parquet(f"{sf_dir}/orders.parquet").count() * ORDER_EVENTS // task_events)
+    return tasks if tasks > spark.sparkContext.defaultParallelism else None
+
+
 def events(spark: SparkSession, sf_dir: str, task_events: int = TASK_EVENTS) -> DataFrame:
     """The log. Files are dealt to as many tasks as its events ask for, not to as few as their shuffled bytes, which are small: numbers that go up
     compress well, and tasks would hold more and more of them as the log grows."""
     read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
-    orders, text = read("orders").select("o_orderkey"), sql_text("spark")
-    tasks = -(-orders.count() * ORDER_EVENTS // task_events)
-    if tasks > spark.sparkContext.defaultParallelism:
+    text, tasks = sql_text("spark"), tasks_of(spark, sf_dir, task_events)
+    if tasks:
         text = text.replace("FROM parts WINDOW", f"FROM (SELECT /*+ REPARTITION({tasks}, file_no) */ * FROM parts) WINDOW")
-    return spark.sql(text, orders=orders, lineitem=read("lineitem").select("l_orderkey"))
+    return spark.sql(text, orders=read("orders").select("o_orderkey"), lineitem=read("lineitem").select("l_orderkey"))
