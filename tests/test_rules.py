@@ -349,3 +349,14 @@ def test_parts_of_transactions_dealt_to_many_tasks(spark):
         assert r.cleared == (r.lo == r.hi and len(sizes[r.trans_seq_no, r.ev_idx]) > 0)
     got = {(r.trans_seq_no, r.ev_idx): r.n_rows for r in package.merged_events(many, tasks=16).collect()}
     assert got == {k: sum(x + 64 + 19 <= 400 for x in v) for k, v in sizes.items()}
+
+
+def test_files_of_a_large_log_are_dealt_to_many_tasks(spark):
+    """The same files and details, whatever the number of tasks."""
+    ev = spark.range(400).select(F.floor(F.col("id") / 20).alias("file"), F.col("id").alias("at"))
+    body = lambda r: (1, 16, 0, struct.pack("<q", r["at"]))
+    few, many = (binlog.write(ev, body, "file", ["at"], checksums=True, tasks=n) for n in (None, 8))
+    assert "REPARTITION_BY_NUM" in many._jdf.queryExecution().toString()
+    assert sorted(map(tuple, few.collect())) == sorted(map(tuple, many.collect()))
+    got = binlog.details(binlog.decoded(many, checksums=True)).collect()
+    assert sorted((int(r.path), r.xid, r.decoder, r.gtid) for r in got) == [(k // 20, k, "xid", None) for k in range(400)]

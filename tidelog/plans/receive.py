@@ -34,7 +34,7 @@ def body(r: dict) -> tuple[int, int, int, bytes]:
 
 def binary_files(spark, d):
     cols = ["file_no", "trans_seq_no", "ev_idx", "event_type", "database_name", "statement", "ts"]
-    return binlog.write(ev(spark, d).select(*cols), body, "file_no", ["trans_seq_no", "ev_idx"], checksums=True)
+    return binlog.write(ev(spark, d).select(*cols), body, "file_no", ["trans_seq_no", "ev_idx"], checksums=True, tasks=change_log.tasks_of(spark, d))
 
 
 @query(f"""WITH {EV}, n AS (SELECT *, row_number() OVER (PARTITION BY file_no ORDER BY trans_seq_no, ev_idx) AS place FROM ev) SELECT file_no, place, ts, event_type, CASE WHEN event_type = 33 THEN gtid END AS gtid, CASE WHEN event_type = 33 THEN trans_seq_no - 1 END AS last_committed,

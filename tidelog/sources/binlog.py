@@ -53,9 +53,9 @@ def decoded(files: DataFrame, checksums: bool = False, with_payload: bool = True
                 rows = decode(p, c)
                 for at in range(0, len(rows), BATCH):
                     part = rows[at : at + BATCH]
-                    cols = [pa.array([r[i] for r in part], t) for i, t in enumerate(types[:-1])]
-                    bodies = pa.array([strip_checksum(r[7], checksums) if with_payload else None for r in part], pa.binary())
-                    yield pa.RecordBatch.from_arrays([*cols, bodies], names=names)
+                    *cols, bodies = zip(*part, strict=True)
+                    bodies = [strip_checksum(x, checksums) for x in bodies] if with_payload else [None] * len(part)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip([*cols, bodies], types, strict=True)], names=names)
 
     return files.select("path", "content").mapInArrow(run, SCHEMA)
 
@@ -71,8 +71,9 @@ def read_stream(spark: SparkSession, path: str, files_per_batch: int = 1, checks
     return decoded(spark.readStream.schema(raw).format("binaryFile").option("maxFilesPerTrigger", files_per_batch).load(path), checksums)
 
 
-def write(ev: DataFrame, body, by: str, order: list[str], checksums: bool = False) -> DataFrame:
-    """path, content: a binary file for each value of by, of the events in order. body(row) gives (timestamp, type, flag, bytes)."""
+def write(ev: DataFrame, body, by: str, order: list[str], checksums: bool = False, tasks: int | None = None) -> DataFrame:
+    """path, content: a binary file for each value of by, of the events in order. body(row) gives (timestamp, type, flag, bytes). tasks: to how many
+    the files of a large log are dealt."""
 
     def run(batches):
         own, held = None, []
@@ -91,7 +92,7 @@ def write(ev: DataFrame, body, by: str, order: list[str], checksums: bool = Fals
         if held:
             yield file()
 
-    return ev.repartition(by).sortWithinPartitions(by, *order).mapInArrow(run, "path string, content binary")
+    return (ev.repartition(tasks, by) if tasks else ev.repartition(by)).sortWithinPartitions(by, *order).mapInArrow(run, "path string, content binary")
 
 
 def group_commit_of(body: bytes) -> tuple[int | None, int | None]:
@@ -114,22 +115,24 @@ DETAILS = "gtid string, last_committed long, sequence_number long, database_name
 def details(events: DataFrame) -> DataFrame:
     """events (event_type, payload) with what their bodies hold, by the decoder of their type; null for what a type does not have."""
 
+    fields = [(c.split()[0], pa.int64() if c.endswith("long") else pa.string()) for c in DETAILS.split(", ")]
+
     @F.arrow_udf(f"struct<{DETAILS.replace(' ', ':').replace(',:', ',')}>")
     def read_body(kinds: pa.Array, bodies: pa.Array) -> pa.Array:
-        out = []
-        for kind, body in zip(kinds.to_pylist(), bodies.to_pylist(), strict=True):
-            r = dict.fromkeys([c.split()[0] for c in DETAILS.split(", ")])
-            r["decoder"] = DECODERS.get(kind, "header")
+        n = len(kinds)
+        gtid, committed, sequence, database, statement, file, pos, xid = ([None] * n for _ in range(8))
+        kinds = kinds.to_pylist()
+        for i, (kind, body) in enumerate(zip(kinds, bodies.to_pylist(), strict=True)):
             if kind == 33:
-                r["gtid"], (r["last_committed"], r["sequence_number"]) = gtid_of(body), group_commit_of(body)
+                gtid[i], (committed[i], sequence[i]) = gtid_of(body), group_commit_of(body)
             elif kind == 2:
-                r["database_name"], r["statement"] = query_of(body)
+                database[i], statement[i] = query_of(body)
             elif kind == 4:
-                r["next_file"], r["next_file_pos"] = rotate_of(body)
+                file[i], pos[i] = rotate_of(body)
             elif kind == 16:
-                r["xid"] = struct.unpack_from("<q", body)[0]
-            out.append(r)
-        return pa.array(out, pa.struct([(c.split()[0], pa.int64() if c.endswith("long") else pa.string()) for c in DETAILS.split(", ")]))
+                (xid[i],) = struct.unpack_from("<q", body)
+        cols = [gtid, committed, sequence, database, statement, file, pos, xid, [DECODERS.get(k, "header") for k in kinds]]
+        return pa.StructArray.from_arrays([pa.array(c, t) for c, (_, t) in zip(cols, fields, strict=True)], names=[c for c, _ in fields])
 
     return events.withColumn("_d", read_body("event_type", "payload")).select(*events.columns, "_d.*")
 
