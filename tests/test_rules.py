@@ -212,6 +212,27 @@ def test_id_sets_over_many_spans(spark):
     assert {r.set_id: r.contained for r in gtid.contains(df.drop("set_id"), inner).collect()} == {1: True, 2: False, 3: False}
 
 
+def test_large_id_sets_are_merged_without_a_window_over_all(spark, monkeypatch):
+    """Whatever the intervals are, and a window over a whole set sees two rows a range at most; the text is made of pieces in order."""
+    rng, seen, islands = random.Random(11), [], gtid.islands
+    monkeypatch.setattr(gtid, "islands", lambda df, *by: (seen.append((by, df.count())), islands(df, *by))[1])
+    rows = [(s, u, lo, lo + (rng.randint(0, 90) if rng.random() < 0.05 else rng.randint(0, 3))) for s, u, step in ((0, "u", 6), (1, "u", 3), (1, "v", 2), (2, "w", 9)) for lo in range(0, 2000, step)] + [(0, "u", 700, 1190), (2, "w", 64, 64), (2, "w", 127, 127), (2, "w", -5, -1)]
+    want = {}
+    for s, u, lo, hi in sorted(rows):
+        own = want.setdefault((s, u), [])
+        if own and lo <= own[-1][1] + 1:
+            own[-1][1] = max(own[-1][1], hi)
+        else:
+            own.append([lo, hi])
+    df = spark.createDataFrame(rows, "set_id long, uuid string, lo long, hi long")
+    merged = gtid.merge(df, rows=300, near=64)
+    assert sorted((r.set_id, r.uuid, r.lo, r.hi) for r in merged.collect()) == sorted((*k, *x) for k, v in want.items() for x in v)
+    assert len(rows) > 1000 and all(by or n <= 2 * 4 * (2000 // 64 + 2) for by, n in seen)
+    monkeypatch.setattr(gtid, "NEAR", 64)
+    texts = {(s, u): ":".join(str(lo) if lo == hi else f"{lo}-{hi}" for lo, hi in v) for (s, u), v in want.items()}
+    assert {r.set_id: r.gtid_text for r in gtid.to_text(merged).collect()} == {s: ",".join(f"{u}:{x}" for (t, u), x in sorted(texts.items()) if t == s) for s in (0, 1, 2)}
+
+
 def test_delivery_is_tried_again(spark, tmp_path, monkeypatch):
     from tidelog.sources import topic_log
 

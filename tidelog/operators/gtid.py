@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.stored import stored
+
 
 def parse(sets: DataFrame) -> DataFrame:
     """From (set_id, gtid_text `uuid:1-5:7,uuid2:3`) to intervals, not merged yet."""
@@ -14,8 +16,10 @@ def parse(sets: DataFrame) -> DataFrame:
     return each.select("set_id", "uuid", lo.alias("lo"), hi.alias("hi"))
 
 
-#: Numbers of a range within which intervals are joined first, so that one uuid with many of them is many tasks.
-SPAN = 1 << 20
+#: Numbers of a range, so that one uuid with many of them is many tasks: of the lookups by number, and within which intervals are joined first.
+SPAN, NEAR = 1 << 20, 1 << 17
+#: Intervals of a task, about, and of a table that is not dealt out; rows of a table that is broadcast, four numbers and a uuid each, at most.
+ROWS, MOST = 500_000, 100_000
 
 
 def islands(intervals: DataFrame, *by: str) -> DataFrame:
@@ -25,10 +29,28 @@ def islands(intervals: DataFrame, *by: str) -> DataFrame:
     return marked.groupBy("set_id", "uuid", *by, "island").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).drop("island")
 
 
-def merge(intervals: DataFrame) -> DataFrame:
-    """The same sets with touching and overlapping intervals joined: within ranges of SPAN numbers first, then what is left of each range."""
-    near = islands(intervals.withColumn("_span", F.floor(F.col("lo") / SPAN)), "_span").drop("_span")
-    return islands(near)
+def merge(intervals: DataFrame, rows: int = ROWS, near: int = NEAR) -> DataFrame:
+    """The same sets with touching and overlapping intervals joined.
+
+    Intervals are joined within ranges of `near` numbers first. Of what is left, only the last interval of a range can touch the next one, and those that
+    it or one before touches in a later range are one with it; so a window over a whole set sees two rows a range at most, and all others stay where they are."""
+    key = ["set_id", "uuid", "_span"]
+    own = stored(intervals.select("set_id", "uuid", "lo", "hi"))
+    tasks = -(-own.count() // rows)
+    own = own.withColumn("_span", F.floor(F.col("lo") / near))
+    if tasks <= 1:
+        return islands(islands(own, "_span").drop("_span"))
+    left = stored(islands(own.repartition(max(tasks, int(own.sparkSession.conf.get("spark.sql.shuffle.partitions"))), *key), "_span"))
+    last = F.floor((F.col("hi") + 1) / near) > F.col("_span")
+    sets = left.filter(last).select("set_id", "uuid").distinct()
+    tops = left.join(sets, ["set_id", "uuid"], "left_semi").groupBy(*key).agg(F.max("hi").alias("hi"))
+    far = F.max("hi").over(Window.partitionBy("set_id", "uuid").orderBy("_span").rowsBetween(Window.unboundedPreceding, -1))
+    met = stored(tops.select(*key, far.alias("_far")).filter(F.floor((F.col("_far") + 1) / near) >= F.col("_span")))
+    small = (lambda df: F.broadcast(df)) if met.count() <= MOST else (lambda df: df)
+    both = left.join(small(met), key, "left").withColumn("_met", F.coalesce(F.col("lo") <= F.col("_far") + 1, F.lit(False)))
+    edges = both.filter(F.col("_met") | last).groupBy(*key, "_met").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    columns = ["set_id", "uuid", "lo", "hi"]
+    return both.filter(~(F.col("_met") | last)).select(*columns).unionByName(islands(edges.select(*columns)))
 
 
 def add(sets: DataFrame, more: DataFrame) -> DataFrame:
@@ -37,9 +59,11 @@ def add(sets: DataFrame, more: DataFrame) -> DataFrame:
 
 
 def to_text(intervals: DataFrame) -> DataFrame:
-    """set_id, gtid_text of merged intervals, uuids in order."""
+    """set_id, gtid_text of merged intervals, uuids in order. The text of a large set is made of pieces, one for each range of numbers."""
     span = F.when(F.col("lo") == F.col("hi"), F.col("lo").cast("string")).otherwise(F.concat_ws("-", "lo", "hi"))
-    u = intervals.groupBy("set_id", "uuid").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("lo", span.alias("s")))), lambda x: x["s"]), ":").alias("s"))
+    joined = lambda order: F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(order, "s"))), lambda x: x["s"]), ":")
+    pieces = intervals.select("set_id", "uuid", "lo", F.floor(F.col("lo") / NEAR).alias("_piece"), span.alias("s")).groupBy("set_id", "uuid", "_piece").agg(joined("lo").alias("s"))
+    u = pieces.groupBy("set_id", "uuid").agg(joined("_piece").alias("s"))
     return u.groupBy("set_id").agg(F.array_join(F.sort_array(F.collect_list(F.concat_ws(":", "uuid", "s"))), ",").alias("gtid_text"))
 
 
