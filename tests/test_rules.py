@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidelog.functions import stored
-from tidelog.functions.sequence import range_number, ranges_of
+from tidelog.functions.sequence import range_number, ranges_of, with_previous, with_running_sum
 from tidelog.operators import accept, filters, gtid, inspect, metrics, package, schema_store, wire
 from tidelog.plans import catalog
 from tidelog.sources import binlog, change_log, sinks, state
@@ -381,3 +381,10 @@ def test_files_of_a_large_log_are_dealt_to_many_tasks(spark):
     assert sorted(map(tuple, few.collect())) == sorted(map(tuple, many.collect()))
     got = binlog.details(binlog.decoded(many, checksums=True)).collect()
     assert sorted((int(r.path), r.xid, r.decoder, r.gtid) for r in got) == [(k // 20, k, "xid", None) for k in range(400)]
+
+
+def test_ranges_are_tasks_however_few_bytes_they_have(spark):
+    df = stored.stored(spark.createDataFrame([(k, k % 7) for k in range(2000)], "k long, v long"))
+    for got in (with_running_sum(df, "k", F.col("v"), "s", rows=100), with_previous(df, "k", {"p": F.col("v")}, rows=100)):
+        tasks = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+        assert len(tasks) >= 15 and max(tasks) <= 200 and sum(tasks) == 2000

@@ -1,8 +1,8 @@
 """Windows over one global order that still run in many tasks.
 
 A plain window without a partition puts all rows into one task. Here the order is cut into ranges of a key that hold about
-equally many rows, whatever the key's values are; each range is a partition, and what crosses a border goes through a table of one
-row a range. The input is read more than once: hand over a stored table, or one that is cheap to derive, and the borders if they are known.
+equally many rows, whatever the key's values are; each range is a task's, however few bytes its rows are shuffled as, and what crosses a border goes
+through a table of one row a range. The input is read more than once: hand over a stored table, or one that is cheap to derive, and the borders if they are known.
 """
 
 from __future__ import annotations
@@ -43,27 +43,34 @@ def ranged(df: DataFrame, key: str, rows: int = ROWS, borders: list[int] | None
     return df.withColumn("_range", range_number(F.col(key), ranges_of(df, key, rows) if borders is None else borders))
 
 
+def each_its_own(df: DataFrame, borders: list[int]) -> DataFrame:
+    """A table of ranged() with a task for each range: tasks that hold a number of bytes would hold more and more rows, as numbers that go up compress well."""
+    return df.repartitionById(len(borders) + 1, F.col("_range")) if borders else df
+
+
 def with_previous(df: DataFrame, key: str, values: dict[str, Column], rows: int = ROWS, by: list[str] | None = None, borders: list[int] | None = None) -> DataFrame:
     """df and, by name, the values of the row before in the order of key (null for the first), within the columns `by`.
 
     Range borders: the last row of each range is taken by one aggregation, and a window over one row a range
     carries it to the next range that has rows."""
     by = by or []
+    borders = ranges_of(df, key, rows) if borders is None else borders
     df = ranged(df, key, rows, borders)
     own = Window.partitionBy(*by, "_range").orderBy(key)
     row = F.struct(*[v.alias(n) for n, v in values.items()])
     tails = df.groupBy(*by, "_range").agg(F.max_by(row, F.col(key)).alias("_tail"))
     tails = tails.withColumn("_before", F.lag("_tail").over(Window.partitionBy(*by).orderBy("_range"))).drop("_tail")
-    inner = df.withColumn("_lag", F.lag(row).over(own)).withColumn("_first", F.row_number().over(own) == 1)
-    joined = inner.join(tails, [*by, "_range"], "left")
+    inner = each_its_own(df, borders).withColumn("_lag", F.lag(row).over(own)).withColumn("_first", F.row_number().over(own) == 1)
+    joined = inner.join(tails if by else F.broadcast(tails), [*by, "_range"], "left")  # without `by`, a row a range
     before = F.when(F.col("_first"), F.col("_before")).otherwise(F.col("_lag"))
     return joined.withColumns({n: before[n] for n in values}).drop("_range", "_lag", "_first", "_before")
 
 
 def with_running_sum(df: DataFrame, key: str, value: Column, name: str, rows: int = ROWS, borders: list[int] | None = None) -> DataFrame:
     """df and the sum of value up to and with the row, in the order of key."""
+    borders = ranges_of(df, key, rows) if borders is None else borders
     df = ranged(df, key, rows, borders).withColumn("_value", value)
     own = Window.partitionBy("_range").orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
     sums = df.groupBy("_range").agg(F.sum("_value").alias("_sum"))
     sums = sums.withColumn("_base", F.coalesce(F.sum("_sum").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_sum")
-    return df.withColumn("_own", F.sum("_value").over(own)).join(sums, "_range").withColumn(name, F.col("_own") + F.col("_base")).drop("_range", "_value", "_own", "_base")
+    return each_its_own(df, borders).withColumn("_own", F.sum("_value").over(own)).join(F.broadcast(sums), "_range").withColumn(name, F.col("_own") + F.col("_base")).drop("_range", "_value", "_own", "_base")
