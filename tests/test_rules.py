@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tidelog.functions import stored
 from tidelog.functions.sequence import range_number, ranges_of, with_previous, with_running_sum
-from tidelog.operators import accept, filters, gtid, inspect, metrics, package, schema_store, wire
+from tidelog.operators import accept, filters, gtid, inspect, metrics, package, schema_store, segment, wire
 from tidelog.plans import catalog
 from tidelog.sources import binlog, change_log, sinks, state
 
@@ -388,3 +388,11 @@ def test_ranges_are_tasks_however_few_bytes_they_have(spark):
     for got in (with_running_sum(df, "k", F.col("v"), "s", rows=100), with_previous(df, "k", {"p": F.col("v")}, rows=100)):
         tasks = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
         assert len(tasks) >= 15 and max(tasks) <= 200 and sum(tasks) == 2000
+
+
+def test_a_log_is_segmented_in_as_many_tasks_as_ranges(spark):
+    ev = stored.stored(spark.createDataFrame([(k, (33, 2, 16)[k % 3], "BEGIN" if k % 3 == 1 else "") for k in range(1500)], "order_key long, event_type long, statement string"))
+    got = segment.segment(ev, rows=100)
+    tasks = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(tasks) >= 12 and max(tasks) <= 250
+    assert {r.order_key: r.group_no for r in got.collect()} == {k: k // 3 + 1 for k in range(1500)}

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.folds import SPAN, cut, dealt, rows_of
-from ..functions.sequence import ROWS, ranged
+from ..functions.sequence import ROWS, each_its_own, ranged, ranges_of
 from ..functions.stored import stored
 
 #: State after each class of event, from each state; errors are marked with `!`.
@@ -90,10 +90,12 @@ def segment(ev: DataFrame, base: int = 0, rows: int = ROWS) -> DataFrame:
     A group ends where the state becomes NONE, and the next has the next number, from base + 1; an error drops the open group, whose
     number is used again in the next attempt. The order is cut into ranges. Each range is read from every state that it can start
     in, which gives a map of states; the maps, one a range, are chained, and each range is read once more from its true state. Ranges hold
-    about rows events, and a task holds one range's classes, no statements. ev is read several times: hand over a stored table."""
+    about rows events, and a task holds one range's classes, no statements; the join has as many tasks as there are ranges. ev is read several times: hand over a stored table."""
     kind = boundary_class(F.col("event_type"), F.col("statement"))
     code = F.element_at(F.create_map(*[F.lit(x) for i, k in enumerate(CLASSES) for x in (k, i)]), kind)
-    own = ranged(ev.select("order_key", code.cast("byte").alias("kind"), "event_type", "statement"), "order_key", rows).select("_range", "order_key", "kind")
+    borders = ranges_of(ev, "order_key", rows)
+    own = ranged(ev.select("order_key", code.cast("byte").alias("kind"), "event_type", "statement"), "order_key", rows, borders).select("_range", "order_key", "kind")
+    own = each_its_own(own, borders)
 
     def in_order(t: pa.Table) -> tuple[int, pa.Table]:
         return t.column("_range")[0].as_py(), t.sort_by("order_key")
@@ -129,7 +131,8 @@ def segment(ev: DataFrame, base: int = 0, rows: int = ROWS) -> DataFrame:
             group, attempt = group + ends, attempt + error
         return pa.table([t.column("order_key"), pa.array(groups_, pa.int64()), pa.array(attempts, pa.int64()), pa.array(states, pa.string()), pa.array(errors), pa.array(ends_), pa.array(marks)], names=["order_key", "group_no", "attempt", "state", "error", "ends", "mark"])
 
-    return ev.join(own.groupBy("_range").applyInArrow(run, SEGMENTED), "order_key")
+    read, tasks = own.groupBy("_range").applyInArrow(run, SEGMENTED), len(borders) + 1
+    return ev.repartition(tasks, "order_key").join(read.repartition(tasks, "order_key"), "order_key") if borders else ev.join(read, "order_key")
 
 
 class Paths:

@@ -152,7 +152,8 @@ MESSY = f"WITH {EV}, s AS (SELECT *, dense_rank() OVER (ORDER BY truth) AS group
 
 
 def messy(spark, d):
-    return stored(spark.sql(change_log.MESSY, ev=ev(spark, d)))
+    own = stored(ev(spark, d).select("trans_seq_no", "ev_idx", "event_type", "table_name", "statement", "size"))
+    return stored(spark.sql(change_log.MESSY, ev=own))
 
 
 @query(f"{MESSY} SELECT order_key, group_no FROM s")
