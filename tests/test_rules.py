@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tidelog.functions import stored
 from tidelog.functions.sequence import range_number, ranges_of, with_previous, with_running_sum
-from tidelog.operators import accept, filters, gtid, inspect, metrics, package, schema_store, segment, wire
+from tidelog.operators import accept, continuity, filters, gtid, inspect, metrics, package, schema_store, segment, wire
 from tidelog.plans import catalog
 from tidelog.sources import binlog, change_log, sinks, state
 
@@ -396,3 +396,12 @@ def test_a_log_is_segmented_in_as_many_tasks_as_ranges(spark):
     tasks = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
     assert len(tasks) >= 12 and max(tasks) <= 250
     assert {r.order_key: r.group_no for r in got.collect()} == {k: k // 3 + 1 for k in range(1500)}
+
+
+def test_transactions_and_breaks_of_a_large_log_are_dealt_to_many_tasks(spark):
+    ev = stored.stored(change_log.events(spark, SF))
+    lossy = ev.filter("(trans_seq_no * 7 + ev_idx) % 13 <> 0")
+    tasks = lambda df: df.groupBy(F.spark_partition_id()).count().count()
+    for few, many in ((continuity.summaries(ev), continuity.summaries(ev, 40)), (continuity.event_breaks(lossy), continuity.event_breaks(lossy, 40))):
+        assert many.exceptAll(few).isEmpty() and few.exceptAll(many).isEmpty() and not few.isEmpty()
+        assert tasks(many) > 20 > tasks(few)

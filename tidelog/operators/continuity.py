@@ -12,20 +12,28 @@ from ..functions.sequence import ROWS, ranges_of, with_previous
 MOST_EPOCHS = 100_000
 
 
-def summaries(ev: DataFrame) -> DataFrame:
-    """One row a transaction: place of its first event, place after its last, counts and sums. A rotate event moves the end to the next file."""
-    ord_ = F.col("ev_idx")
-    rotated = F.max(F.when(F.col("event_type") == 4, F.col("file_no") + 1))
-    return ev.groupBy("trans_seq_no").agg(
-        F.max("gtid").alias("gtid"), F.max("epoch").alias("epoch"), F.min_by("file_no", ord_).alias("file_no"), F.min_by("position", ord_).alias("position"),
-        F.coalesce(rotated, F.max_by("file_no", ord_)).alias("next_file_no"), F.when(rotated.isNotNull(), F.lit(4).cast("long")).otherwise(F.max_by("next_position", ord_)).alias("next_position"),
-        F.count(F.lit(1)).alias("n_events"), F.sum("n_rows").alias("n_rows"), F.sum("size").alias("bytes"), F.max("ts").alias("ts"),
+def summaries(ev: DataFrame, tasks: int | None = None) -> DataFrame:
+    """One row a transaction: place of its first event, place after its last, counts and sums. A rotate event moves the end to the next file.
+
+    tasks: how many a large log asks for. Events are summed up within a file first, where the log is dealt by files, and what is left of transactions is
+    dealt to so many."""
+    place = lambda file, position: F.struct("ev_idx", F.col(file).alias("file_no"), F.col(position).alias("position"))
+    parts = ev.groupBy("trans_seq_no", "file_no").agg(
+        F.max("gtid").alias("gtid"), F.max("epoch").alias("epoch"), F.min(place("file_no", "position")).alias("first"), F.max(place("file_no", "next_position")).alias("last"),
+        F.max(F.when(F.col("event_type") == 4, F.col("file_no") + 1)).alias("rotated"), F.count(F.lit(1)).alias("n_events"), F.sum("n_rows").alias("n_rows"), F.sum("size").alias("bytes"), F.max("ts").alias("ts"),
+    )
+    rotated = F.max("rotated")
+    return (parts.repartition(tasks, "trans_seq_no") if tasks else parts).groupBy("trans_seq_no").agg(
+        F.max("gtid").alias("gtid"), F.max("epoch").alias("epoch"), F.min("first")["file_no"].alias("file_no"), F.min("first")["position"].alias("position"),
+        F.coalesce(rotated, F.max("last")["file_no"]).alias("next_file_no"), F.when(rotated.isNotNull(), F.lit(4).cast("long")).otherwise(F.max("last")["position"]).alias("next_position"),
+        F.sum("n_events").alias("n_events"), F.sum("n_rows").alias("n_rows"), F.sum("bytes").alias("bytes"), F.max("ts").alias("ts"),
     )
 
 
-def event_breaks(ev: DataFrame) -> DataFrame:
-    """Events after which the next one of the same transaction and file does not follow on."""
+def event_breaks(ev: DataFrame, tasks: int | None = None) -> DataFrame:
+    """Events after which the next one of the same transaction and file does not follow on. tasks: how many a large log asks for."""
     w = Window.partitionBy("trans_seq_no").orderBy("ev_idx")
+    ev = ev.repartition(tasks, "trans_seq_no") if tasks else ev
     n = ev.withColumns({"after": F.lead("position").over(w), "after_file": F.lead("file_no").over(w)})
     return n.filter((F.col("after_file") == F.col("file_no")) & (F.col("after") != F.col("next_position"))).select("trans_seq_no", "ev_idx", "next_position", "after")
 

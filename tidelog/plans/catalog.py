@@ -49,7 +49,7 @@ ev = change_log.events
 
 
 def trx(spark: SparkSession, d: str) -> DataFrame:
-    return continuity.summaries(ev(spark, d))
+    return continuity.summaries(ev(spark, d), change_log.tasks_of(spark, d))
 
 
 def pkg(spark: SparkSession, d: str) -> DataFrame:
@@ -109,7 +109,8 @@ SELECT trans_seq_no, ev_idx, next_position, after FROM l WHERE after_file = file
 
 @query(EVENT_BREAKS)
 def continuity_event(spark, d):
-    return continuity.event_breaks(ev(spark, d).filter("(trans_seq_no * 7 + ev_idx) % 911 <> 0"))
+    lossy = ev(spark, d).select("trans_seq_no", "ev_idx", "file_no", "position", "next_position").filter("(trans_seq_no * 7 + ev_idx) % 911 <> 0")
+    return continuity.event_breaks(lossy, change_log.tasks_of(spark, d))
 
 
 @query(f"SELECT 'event' AS error, count(*) AS broken_count FROM ({EVENT_BREAKS}) UNION ALL SELECT 'transaction', count(*) FROM ({CONTINUITY})")
