@@ -43,7 +43,7 @@ def merge(intervals: DataFrame, rows: int = ROWS, near: int = NEAR) -> DataFrame
     left = stored(islands(own.repartition(max(tasks, int(own.sparkSession.conf.get("spark.sql.shuffle.partitions"))), *key), "_span"))
     last = F.floor((F.col("hi") + 1) / near) > F.col("_span")
     sets = left.filter(last).select("set_id", "uuid").distinct()
-    tops = left.join(sets, ["set_id", "uuid"], "left_semi").groupBy(*key).agg(F.max("hi").alias("hi"))
+    tops = left.groupBy(*key).agg(F.max("hi").alias("hi")).join(sets, ["set_id", "uuid"], "left_semi")  # a row a range before a set is one task's
     far = F.max("hi").over(Window.partitionBy("set_id", "uuid").orderBy("_span").rowsBetween(Window.unboundedPreceding, -1))
     met = stored(tops.select(*key, far.alias("_far")).filter(F.floor((F.col("_far") + 1) / near) >= F.col("_span")))
     small = (lambda df: F.broadcast(df)) if met.count() <= MOST else (lambda df: df)
